@@ -6,7 +6,9 @@ view("fx_roster", """
 SELECT CAST(10000 + c_custkey AS STRING) AS id, c_name AS nom, c_mktsegment AS prenom,
        CASE WHEN c_custkey % 9 = 0 THEN '' ELSE concat('u', CAST(c_custkey AS STRING), '@x.org') END AS email,
        c_custkey AS ord
-FROM {customer}""")
+FROM {customer}
+UNION ALL SELECT CAST(5000000 + s_suppkey AS STRING), s_name, 'GUEST', concat('g', CAST(s_suppkey AS STRING), '@x.org'), 1000000000 + s_suppkey
+FROM {supplier}""")
 
 view("fx_copy", """
 SELECT o_orderkey AS copy_key, substr(o_orderpriority, 1, 1) AS batch, o_orderkey AS page,

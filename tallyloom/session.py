@@ -21,6 +21,7 @@ def local_session(cpus: int = 8, shuffle_partitions: int | None = None, memory:
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("tallyloom")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cpus))
     )

@@ -95,7 +95,7 @@ def main(argv):
         try:
             status, seconds, detail = check(spark, con, folder, name, fn, oracle.get(name))
         except Exception as exc:  # report and go on
-            status, seconds, detail = "ERROR", 0.0, str(exc)[:1500]
+            status, seconds, detail = "ERROR", 0.0, str(exc)[:400]
         times[name] = seconds
         if status not in ("ok", "rows"):
             bad += 1
