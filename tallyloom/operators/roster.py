@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.numbers import zfill
-from tallyloom.functions.text import as_column, cell_text, norm_name
+from tallyloom.functions.text import cell_text, norm_name
+from tallyloom.session import durable
 
 MIN_ID_WIDTH = 3
 ALPHABETIC = r"^\p{L}[^\d]*$"
@@ -133,7 +134,7 @@ def column_labels(table: DataFrame, starts: DataFrame) -> DataFrame:
 
 def analyze_roster(table: DataFrame) -> DataFrame:
     """Guessed columns of each sheet: number, family name, first name, e-mail and first data row."""
-    prof = profile(table)
+    prof = durable(profile(table))  # one row per column
     score = F.when(F.col("modal_width") >= MIN_ID_WIDTH, F.col("n_digit")).otherwise(0)
     picks = prof.groupBy("sheet").agg(
         F.max(score).alias("id_score"), F.max_by("col", F.struct(score, -F.col("col"))).alias("id_col"),

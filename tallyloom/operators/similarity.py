@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyloom.functions.text import norm_name
+from tallyloom.session import durable
 
 # Fixed value: letters of normalised names from rare to frequent; only speed depends on it.
 RARITY = "kwxyzjqfvbhgpmcdulotrnisae "
@@ -84,7 +85,9 @@ def closest(reads: DataFrame, known: DataFrame, n: int, cutoff: float) -> DataFr
 
 def by_name(raws: DataFrame, index: DataFrame, cutoff: float = 0.7) -> DataFrame:
     """``(raw, id, score)`` of the best student for each distinct raw name; unmatched names are absent."""
-    named = raws.select("raw").distinct().withColumn("read", norm_name("raw"))
+    # both sides are used several times: the distinct names are written once
+    named = durable(raws.select("raw").distinct().withColumn("read", norm_name("raw")))
+    index = durable(index.select("norm", "id"))
     exact = named.join(index.withColumnRenamed("norm", "read"), "read").select("raw", "id", F.lit(1.0).alias("score"))
     left = named.join(index.select(F.col("norm").alias("read")), "read", "left_anti")
     best = closest(left, index.select(F.col("norm").alias("known")), 1, cutoff)
@@ -94,7 +97,8 @@ def by_name(raws: DataFrame, index: DataFrame, cutoff: float = 0.7) -> DataFrame
 
 def candidates(raws: DataFrame, index: DataFrame, n: int = 5, cutoff: float = 0.4) -> DataFrame:
     """``(raw, rank, id, score)``: the ``n`` closest students of each distinct raw name."""
-    named = raws.select("raw").distinct().withColumn("read", norm_name("raw"))
+    named = durable(raws.select("raw").distinct().withColumn("read", norm_name("raw")))
+    index = durable(index.select("norm", "id"))
     near = closest(named, index.select(F.col("norm").alias("known")), n, cutoff)
     return named.join(near, "read").join(index.withColumnRenamed("norm", "known"), "known").select("raw", "rank", "id", "score")
 
@@ -105,7 +109,8 @@ def by_edit_distance(raws: DataFrame, index: DataFrame, limit: int) -> DataFrame
     Deleting up to ``limit`` characters of both names must give a common text, so deletion
     variants join by equality. Practical for one or two edits.
     """
-    named = raws.select("raw").distinct().withColumn("read", norm_name("raw")).filter("read <> ''")
+    named = durable(raws.select("raw").distinct().withColumn("read", norm_name("raw")).filter("read <> ''"))
+    index = durable(index.select("norm", "id"))
     a = _deletions(named.select(F.col("read").alias("name")).distinct(), limit)
     b = _deletions(index.select(F.col("norm").alias("name")).distinct(), limit).withColumnRenamed("name", "known")
     pairs = a.join(b, "variant").select(F.col("name").alias("read"), "known").distinct()

@@ -50,7 +50,7 @@ SELECT l_orderkey AS copy_key, l_linenumber AS q, substr('ABCD', CAST(floor(l_qu
 FROM {lineitem} GROUP BY 1, 2, 3""")
 
 view("fx_exam_mark", """
-SELECT o_orderstatus AS path, CAST(10000 + o_custkey AS STRING) AS id, max(o_totalprice) / 20000 AS raw
+SELECT o_orderstatus AS path, CAST(10000 + o_custkey AS STRING) AS id, floor(max(o_totalprice) / 1000) / 16 AS raw
 FROM {orders} GROUP BY 1, 2""")
 
 view("fx_import", """
