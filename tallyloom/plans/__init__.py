@@ -4,7 +4,9 @@ import importlib
 
 from tallyloom.plans.registry import QUERIES, TWINS, Tables, twin_sql
 
-_MODULES = ("views", "scalar_plans", "scoring_plans", "identity_plans", "marks_plans", "review_plans", "cells_plans")
+_MODULES = (
+    "views", "scalar_plans", "scoring_plans", "identity_plans", "marks_plans", "review_plans", "cells_plans", "bank_plans",
+)
 for _name in _MODULES:
     importlib.import_module(f"tallyloom.plans.{_name}")
 
