@@ -67,7 +67,7 @@ def strip_accents(value) -> Column:
     source, target = _single_fold()
     # the slow branch runs only for rows that hold such a character
     folded = F.translate(F.when(text.rlike(pattern), spelled).otherwise(text), source, target)
-    return F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(folded, r"\p{M}", "")).otherwise(text)
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.regexp_replace(folded, r"\p{Mn}", "")).otherwise(text)
 
 
 def norm_name(value) -> Column:

@@ -33,10 +33,10 @@ SUBJECT = T.StructType([T.StructField("blocks", T.ArrayType(T.StructType([
         T.StructField("answers", T.ArrayType(T.StructType([
             T.StructField("correct", T.BooleanType()), T.StructField("bareme", T.StringType())])))]))])))])
 
-#: the normalised reading that the streaming jobs exchange
+#: a page reading as it arrives (JSON keys are text)
 READING = T.StructType([
     T.StructField("batch", T.StringType()), T.StructField("page", T.LongType()), T.StructField("student_id", T.StringType()),
-    T.StructField("answers", T.MapType(T.IntegerType(), T.ArrayType(T.StringType()))), T.StructField("flags", T.ArrayType(T.StringType()))])
+    T.StructField("answers", _letters), T.StructField("flags", T.ArrayType(T.StringType()))])
 
 REVIEW_EVENT = T.StructType([
     T.StructField("ts", T.TimestampType()), T.StructField("event_id", T.LongType()), T.StructField("copy_key", T.LongType()),
