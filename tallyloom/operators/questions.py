@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.operators.scoring import belongs, mask_letters
+from tallyloom.operators.scoring import belongs, key_by_copy_group, mask_letters
 
 PERFECT = 1e-9
 
@@ -19,8 +19,8 @@ def score_distribution(copies: DataFrame, scored: DataFrame, key: DataFrame) ->
     """
     answered = scored.join(copies.select("copy_key", "grp"), "copy_key").filter(belongs(F.col("q_grp"), F.col("grp"))) \
         .groupBy("q", "score").agg(F.count("*").alias("n"))
-    sizes = copies.groupBy(F.col("grp").alias("copy_grp")).agg(F.count("*").alias("n_copies"))
-    carried = key.select("q", "grp", "blank_score").join(sizes, belongs(F.col("grp"), F.col("copy_grp"))) \
+    sizes = copies.groupBy("grp").agg(F.count("*").alias("n_copies"))
+    carried = key_by_copy_group(key.select("q", "grp", "blank_score"), sizes).join(sizes.withColumnRenamed("grp", "copy_grp"), "copy_grp") \
         .groupBy("q", "blank_score").agg(F.sum("n_copies").alias("n_copies"))
     done = answered.groupBy("q").agg(F.sum("n").alias("n_done"))
     blanks = carried.join(done, "q", "left").select(

@@ -13,7 +13,7 @@ from tallyloom.functions.answers import match_answer
 from tallyloom.functions.numbers import uncertainty
 from tallyloom.functions.text import cell_key, split_cell_key
 from tallyloom.operators.ordering import with_neighbours
-from tallyloom.operators.scoring import belongs
+from tallyloom.operators.scoring import belongs, key_by_copy_group
 
 CELL = ["copy_key", "q", "ch"]
 # Reasons and flags as stored.
@@ -56,8 +56,8 @@ def structural_reason(qtype, n_selected) -> Column:
 def structural_flags(copies: DataFrame, current: DataFrame, questions: DataFrame, options: DataFrame) -> DataFrame:
     """``(copy_key, q, reason)`` of single questions with no or several valid ticks."""
     picked = current.join(options.select("q", "ch"), ["q", "ch"]).groupBy("copy_key", "q").agg(F.count("*").alias("n"))
-    single = questions.filter("qtype = 'single'").select("q", "qtype", F.col("grp").alias("q_grp"))
-    asked = copies.select("copy_key", "grp").join(single, belongs(F.col("q_grp"), F.col("grp")))
+    single = key_by_copy_group(questions.filter("qtype = 'single'").select("q", "qtype", "grp"), copies).select("q", "qtype", "copy_grp")
+    asked = copies.select("copy_key", F.col("grp").alias("copy_grp")).join(single, "copy_grp")
     return asked.join(picked, ["copy_key", "q"], "left").select(
         "copy_key", "q", structural_reason("qtype", "n").alias("reason")).filter("reason IS NOT NULL")
 

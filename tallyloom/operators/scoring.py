@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions.numbers import frac, frac_or_zero
-from tallyloom.operators.ordering import with_rank
+from tallyloom.operators.ordering import with_rank, with_running_sums
 
 
 def explode_answers(copies: DataFrame, keys: list[str], answers: str = "answers") -> DataFrame:
@@ -131,11 +131,20 @@ def score_copies(copies: DataFrame, scored: DataFrame, key: DataFrame, total_flo
     return based.select("copy_key", "grp", F.greatest(total, F.lit(total_floor).cast("double")).alias("total"))
 
 
+def key_by_copy_group(key: DataFrame, groups: DataFrame) -> DataFrame:
+    """Key rows under every copy group they belong to (``copy_grp``), so that copies meet them by equality.
+
+    ``groups(grp)`` are the groups in use: one per version of the subject.
+    """
+    used = groups.agg(F.collect_set("grp"))
+    target = F.when(F.col("grp") == "", used.scalar()).otherwise(F.array("grp"))
+    return key.withColumn("copy_grp", F.explode(target))
+
+
 def copy_questions(copies: DataFrame, scored: DataFrame, key: DataFrame) -> DataFrame:
     """Every question a copy carries with its score, blank ones included."""
     carried = copies.select("copy_key", F.col("grp").alias("copy_grp")).join(
-        key.select("q", "grp", "max_score", "blank_score", "correct_mask"),
-        belongs(F.col("grp"), F.col("copy_grp")))
+        key_by_copy_group(key.select("q", "grp", "max_score", "blank_score", "correct_mask"), copies), "copy_grp")
     found = scored.select("copy_key", "q", "picked", "score")
     return carried.join(found, ["copy_key", "q"], "left").select(
         "copy_key", "q", "max_score", "correct_mask", F.coalesce("picked", F.lit(0).cast("bigint")).alias("picked"),
@@ -222,10 +231,9 @@ def question_map(boxes: DataFrame, names: DataFrame, questions: DataFrame) -> di
 
 def version_copy_ranges(versions: DataFrame) -> DataFrame:
     """Contiguous numbering of copies, version after version, inside each subject."""
-    size = F.greatest(F.lit(1), F.col("num_copies"))
-    running = Window.partitionBy("subject").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
-    hi = F.sum(size).over(running)
-    return versions.select("*", (hi - size + 1).cast("bigint").alias("first_copy"), hi.cast("bigint").alias("last_copy"))
+    size = F.greatest(F.lit(1), F.col("num_copies")).cast("bigint")
+    running = with_running_sums(versions.withColumn("_size", size), ["ord"], ["subject"], {"last_copy": "_size"})
+    return running.select(*versions.columns, (F.col("last_copy") - F.col("_size") + 1).alias("first_copy"), "last_copy")
 
 
 def version_of_copy(numbers: DataFrame, ranges: DataFrame) -> DataFrame:

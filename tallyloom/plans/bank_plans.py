@@ -470,7 +470,8 @@ SELECT * FROM (SELECT coalesce(l.copy, k.copy) AS copy, coalesce(l.q, k.q) AS q,
  FROM l FULL JOIN k ON k.copy = l.copy AND k.q = l.q) WHERE issue IS NOT NULL""")
 def o1(t):
     layout = t.lineitem.groupBy(F.col("l_orderkey").alias("copy"), F.col("l_linenumber").alias("q")).agg(F.count("*").alias("n_boxes"))
-    carried = t.fx_copy.select(F.col("copy_key").alias("copy"), F.col("grp").alias("g")).join(t.fx_question.select("q", "grp"), scoring.belongs(F.col("grp"), F.col("g")))
+    asked = scoring.key_by_copy_group(t.fx_question.select("q", "grp"), t.fx_copy).select("q", "copy_grp")
+    carried = t.fx_copy.select(F.col("copy_key").alias("copy"), F.col("grp").alias("copy_grp")).join(asked, "copy_grp")
     return quality.layout_consistency(layout, carried.select("copy", "q", (F.col("q") % 3 + 1).cast("bigint").alias("n_answers")))
 
 
@@ -578,16 +579,17 @@ def a4(t):
 
 
 def _subjects(t):
-    """Subjects as documents: the parts of a brand are its blocks, in key order."""
+    """Subjects as documents of at most twenty blocks: neighbouring parts, in key order."""
     options = t.fx_item_option.groupBy("q").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "correct", "pts"))),
                                                           lambda o: F.struct(o["correct"].alias("correct"), o["pts"].alias("bareme"))).alias("answers"))
     joined = t.fx_item.join(options, "q").join(t.part.select(F.col("p_partkey").alias("q"), "p_size"), "q")
     block = F.struct(F.when(F.col("p_size") % 5 == 0, "text").otherwise("question_qcm").alias("kind"), F.col("grp").alias("group"),
                      F.struct(F.concat(F.lit("t"), F.col("q").cast("string")).alias("tag"), "qtype", "value", F.col("lo").cast("string").alias("floor"), "answers").alias("data"))
-    return joined.groupBy("subject").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("q", block.alias("b")))), lambda x: x["b"]).alias("blocks"))).alias("json"))
+    subject = F.concat(F.lit("s"), F.floor(F.col("q") / 20).cast("string"))
+    return joined.groupBy(subject.alias("subject")).agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("q", block.alias("b")))), lambda x: x["b"]).alias("blocks"))).alias("json"))
 
 
-_KEY = """WITH i AS (SELECT subject, i.q AS k, qtype, value, lo, grp FROM fx_item i JOIN part ON p_partkey = i.q WHERE p_size % 5 <> 0 AND i.q IN (SELECT q FROM fx_item_option)),
+_KEY = """WITH i AS (SELECT 's' || CAST(CAST(floor(i.q / 20) AS BIGINT) AS VARCHAR) AS subject, i.q AS k, qtype, value, lo, grp FROM fx_item i JOIN part ON p_partkey = i.q WHERE p_size % 5 <> 0 AND i.q IN (SELECT q FROM fx_item_option)),
 n AS (SELECT *, CAST(row_number() OVER (PARTITION BY subject ORDER BY k) AS INT) AS q FROM i) """
 
 

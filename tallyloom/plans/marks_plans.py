@@ -159,9 +159,9 @@ def exam_copies(t):
 
 
 def exam_rows(t):
-    copies = exam_copies(t)
-    gone = identity.absentees(t.fx_roster, copies.select(F.nullif("id", F.lit("")).alias("matched_id")))
-    return marks.student_rows(copies.drop("copy_key"), gone)
+    # who is absent depends on the links alone, not on the marks
+    gone = identity.absentees(t.fx_roster, resolved_links(t))
+    return marks.student_rows(exam_copies(t).drop("copy_key"), gone)
 
 
 view("fx_tw_rows", """

@@ -36,11 +36,11 @@ SELECT * FROM (VALUES (1,'single','1',NULL,NULL,''), (2,'mult','0',-0.5,NULL,'')
   (4,'mult','0',NULL,NULL,'morning'), (5,'single','1/2',NULL,NULL,'afternoon'), (6,'mult','0',-1.0,0.5,'afternoon'),
   (7,'single','1',NULL,NULL,'')) AS t(q, qtype, pts, lo, hi, grp)""")
 
-view("fx_option", """
-SELECT q.q, o.pos, o.ch, (o.pos + q.q) % 4 IN (0, CASE WHEN q.q % 2 = 0 THEN 1 ELSE 0 END) AS correct,
-       CASE WHEN q.q % 2 = 1 THEN '0' WHEN (o.pos + q.q) % 4 IN (0, 1) THEN '1/2' ELSE '-1/2' END AS pts
-FROM (VALUES (1),(2),(3),(4),(5),(6),(7)) AS q(q)
-CROSS JOIN (VALUES (1,'A'),(2,'B'),(3,'C'),(4,'D')) AS o(pos, ch)""")
+_OPTIONS = ", ".join(f"({q}, {pos}, '{ch}')" for q in range(1, 8) for pos, ch in enumerate("ABCD", 1))
+view("fx_option", f"""
+SELECT q, pos, ch, (pos + q) % 4 IN (0, CASE WHEN q % 2 = 0 THEN 1 ELSE 0 END) AS correct,
+       CASE WHEN q % 2 = 1 THEN '0' WHEN (pos + q) % 4 IN (0, 1) THEN '1/2' ELSE '-1/2' END AS pts
+FROM (VALUES {_OPTIONS}) AS o(q, pos, ch)""")
 
 view("fx_cell", """
 SELECT l_orderkey AS copy_key, l_linenumber AS q, substr('ABCD', CAST(floor(l_quantity) AS INT) % 4 + 1, 1) AS ch,

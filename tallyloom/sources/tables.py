@@ -45,8 +45,9 @@ def read_table(spark: SparkSession, path: str, sheet: str | None = None, n_colum
     another one would give a plausible, wrong result.
     """
     if sheet is not None:
-        found = sorted(r["sheet"] for r in spark.read.text(path).select("sheet").distinct().limit(1000).collect())
-        if sheet not in found:
+        sheets = spark.read.text(path).select("sheet").distinct()
+        if sheets.filter(F.col("sheet") == sheet).isEmpty():
+            found = sorted(r["sheet"] for r in sheets.limit(50).collect())
             raise ValueError(f"no sheet {sheet!r}; present: {', '.join(found)}")
         path = f"{path}/sheet={sheet}"
     elif not path.lower().endswith(EXTENSIONS) and "." in path.rsplit("/", 1)[-1]:
