@@ -13,6 +13,7 @@ from tallyloom.functions.numbers import rescale
 from tallyloom.functions.text import norm_name
 from tallyloom.operators.marks import weighted_mean
 from tallyloom.operators.stats import series_stats
+from tallyloom.session import durable
 
 UNKNOWN = ("", "?")
 
@@ -98,10 +99,15 @@ def file_members(series: DataFrame, exam_ord: int = 1_000_000) -> DataFrame:
         F.lit("").alias("email"), F.col("value").alias("raw"), F.lit(False).alias("absent"))
 
 
-def cohort_marks(members: DataFrame, columns: DataFrame) -> DataFrame:
-    """``(id, key, raw, note, weight)`` after folding: the last value of a student in a column wins."""
-    persons = people(members)
-    canon = identity_map(persons)["map"].join(persons.select("id", "place"), "id")
+def folded_people(members: DataFrame) -> DataFrame:
+    """``(id, name, email, place, canonical)``: one row per identifier, written once since every step needs it."""
+    persons = durable(people(members))
+    return durable(persons.join(identity_map(persons)["map"], "id"))
+
+
+def cohort_marks(members: DataFrame, columns: DataFrame, folded: DataFrame | None = None) -> DataFrame:
+    """``(id, key, raw, weight, mark)`` after folding: the last value of a student in a column wins."""
+    canon = (folded_people(members) if folded is None else folded).select("id", "place", "canonical")
     rows = members.filter("id <> '' AND NOT absent AND raw IS NOT NULL").join(canon, "id").join(columns, "path")
     last = rows.groupBy(F.col("canonical").alias("id"), "key").agg(
         F.max_by("raw", F.struct("place", "exam_ord", "ord")).alias("raw"),
@@ -111,16 +117,16 @@ def cohort_marks(members: DataFrame, columns: DataFrame) -> DataFrame:
 
 def build_table(members: DataFrame, columns: DataFrame, threshold: float) -> DataFrame:
     """One row per student: folded identity, marks per column (map), count, final and absences."""
-    persons = people(members)
-    canon = identity_map(persons)["map"]
+    folded = folded_people(members)
+    canon = folded.select("id", "canonical")
     known = ~F.col("name").isin(*UNKNOWN)
-    merged = persons.join(canon, "id").groupBy(F.col("canonical").alias("id")).agg(
+    merged = folded.groupBy(F.col("canonical").alias("id")).agg(
         F.coalesce(F.min_by(F.when(known, F.col("name")), F.when(known, F.col("place"))), F.min_by("name", "place")).alias("name"),
         F.coalesce(F.min_by("email", F.when(F.col("email") != "", F.col("place"))), F.lit("")).alias("email"),
         F.count("*").alias("n_ids"))
     gone = members.filter("id <> '' AND absent").join(canon, "id").join(columns.select("path", "label"), "path") \
         .groupBy(F.col("canonical").alias("id")).agg(F.array_sort(F.collect_set("label")).alias("absent_in"))
-    per = cohort_marks(members, columns).groupBy("id").agg(
+    per = cohort_marks(members, columns, folded).groupBy("id").agg(
         F.map_from_entries(F.collect_list(F.struct("key", F.round("mark", 3)))).alias("notes"),
         F.map_from_entries(F.collect_list(F.struct("key", F.round("raw", 2)))).alias("raws"),
         F.count("*").alias("n_columns"), F.round(weighted_mean(threshold), 2).alias("final"))
@@ -158,7 +164,8 @@ def cohort_export(table: DataFrame, columns: list[tuple[str, str]]) -> DataFrame
 
 
 def cohort_summary(table: DataFrame, n_columns: int, n_unlinked: DataFrame) -> DataFrame:
-    stats = series_stats(table.select("final"), [], "final")
+    table = durable(table.select("n_columns", "final"))
+    stats = series_stats(table, [], "final")
     counts = table.agg(
         F.count("*").alias("n_students"), F.count_if(F.col("n_columns") == n_columns).alias("n_complete"),
         F.count_if((F.col("n_columns") > 0) & (F.col("n_columns") < n_columns)).alias("n_partial"))
