@@ -6,6 +6,7 @@ from tallyloom.operators import bank, notify, quality, roster, scoring, tree, va
 from tallyloom.plans.marks_plans import exam_rows
 from tallyloom.plans.registry import query, view
 from tallyloom.plans.scoring_plans import item_key
+from tallyloom.session import scratch_folder
 from tallyloom.sources import documents, sinks, tables
 
 view("fx_entry", """
@@ -445,6 +446,18 @@ def m5(t):
     return notify.pending(_people(t), t.fx_sent).select("id", "email")
 
 
+@query("m6_append_log", """
+SELECT email, full_name AS name, score, status, substr(detail, 1, 200) AS detail FROM (SELECT *, CASE WHEN score > 5000 THEN 'ok' ELSE 'failed' END AS status, repeat(full_name, 20) AS detail FROM fx_tw_recipient)
+UNION ALL SELECT email, full_name, score, 'ok', 'sent again' FROM fx_tw_recipient WHERE score <= 5000""")
+def m6(t):
+    path = scratch_folder(t.spark, "log")
+    status = F.when(F.col("score") > 5000, "ok").otherwise("failed")
+    sent = _people(t).select(F.lit("2024-01-01T08:00:00").alias("ts"), "email", F.col("full_name").alias("name"), "score", status.alias("status"), F.repeat("full_name", F.lit(20)).alias("detail"))
+    sinks.append_log(sent, path)
+    sinks.append_log(sent.filter("status = 'failed'").withColumn("status", F.lit("ok")).withColumn("detail", F.lit("sent again")), path)
+    return t.spark.read.parquet(path).drop("ts")
+
+
 view("fx_call", """
 SELECT event_type AS backend, concat('m', CAST(user_id % 4 AS STRING)) AS model, CAST(floor(value * 100) AS BIGINT) AS input_tokens, CAST(floor(value * 10) AS BIGINT) AS output_tokens, CAST(floor(value) AS BIGINT) AS cache_creation,
   CAST(event_id % 5 AS BIGINT) AS cache_read, CASE WHEN event_id % 3 = 0 THEN value / 1000 END AS cost FROM {events}""")
@@ -573,9 +586,10 @@ def a3(t):
     return out.select("src", "row_no", F.size("cells").cast("bigint").alias("n_cells"), F.get("cells", F.lit(0)).alias("c0"), F.get("cells", F.lit(1)).alias("c1"))
 
 
-@query("a4_sheet_rows", "SELECT sheet, count(*) AS n_rows, max(row_no) AS last_row FROM fx_sheet_line GROUP BY 1")
+@query("a4_select_sheet", "SELECT 'named' AS asked, row_no, line FROM fx_sheet_line WHERE sheet = 'MACHINERY' UNION ALL SELECT 'first', row_no, line FROM fx_sheet_line WHERE sheet = (SELECT min(sheet) FROM fx_sheet_line)")
 def a4(t):
-    return t.fx_sheet_line.groupBy("sheet").agg(F.count("*").alias("n_rows"), F.max("row_no").alias("last_row"))
+    named = tables.select_sheet(t.fx_sheet_line, "MACHINERY").select(F.lit("named").alias("asked"), "row_no", "line")
+    return named.unionByName(tables.select_sheet(t.fx_sheet_line).select(F.lit("first").alias("asked"), "row_no", "line"))
 
 
 def _subjects(t):

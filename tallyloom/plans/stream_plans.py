@@ -22,7 +22,8 @@ def s1(t):
 def _events(t):
     """The event table as a stream."""
     source = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)
-    return source.select(F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("user_id").alias("copy_key"), F.col("event_type").alias("batch"), "value")
+    instant = F.concat(F.col("ts").cast("string"), F.lit("+00:00")).cast("timestamp")  # whatever the session time zone
+    return source.select(instant.alias("ts"), "event_id", F.col("user_id").alias("copy_key"), F.col("event_type").alias("batch"), "value")
 
 
 @query("s2_activity", """

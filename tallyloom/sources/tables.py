@@ -38,6 +38,21 @@ def split_lines(lines: DataFrame, delimiters: DataFrame) -> DataFrame:
     return cut.join(width, "src").select("src", F.col("line_no").alias("row_no"), padded.alias("cells"))
 
 
+def select_sheet(table: DataFrame, sheet: str | None = None) -> DataFrame:
+    """Rows of one sheet of ``table(sheet, row_no, cells)``: the named one, else the only or first one.
+
+    A named sheet that is missing raises, it is never replaced by another.
+    """
+    if sheet is None:
+        first = table.agg(F.min("sheet"))
+        return table.filter(F.col("sheet") == first.scalar())
+    rows = table.filter(F.col("sheet") == sheet)
+    if rows.isEmpty():
+        present = sorted(r["sheet"] for r in table.select("sheet").distinct().limit(50).collect())
+        raise ValueError(f"no sheet {sheet!r}; present: {', '.join(present)}")
+    return rows
+
+
 def read_table(spark: SparkSession, path: str, sheet: str | None = None, n_columns: int | None = None) -> DataFrame:
     """``(row_no, cells)`` of one delimited file, or of one sheet of a folder partitioned by ``sheet=``.
 
