@@ -58,7 +58,7 @@ def _prepare(names: DataFrame, column: str, cutoff: float, tag: str) -> DataFram
 
 
 def similar_pairs(reads: DataFrame, known: DataFrame, cutoff: float) -> DataFrame:
-    """``(read, known, rank_score, score)`` for the pairs of distinct normalised names at or above ``cutoff``."""
+    """``(read, known, rank_score)`` for the pairs of distinct normalised names at or above ``cutoff``."""
     a = _prepare(reads.select("read").filter("read <> ''").distinct(), "read", cutoff, "a")
     b = _prepare(known.select("known").filter("known <> ''").distinct(), "known", cutoff, "b")
     # the admissible lengths join by equality too: a frequent token is split by length
@@ -66,13 +66,17 @@ def similar_pairs(reads: DataFrame, known: DataFrame, cutoff: float) -> DataFram
     high = F.floor(F.col("a_len") * F.lit((2 - cutoff) / cutoff) + 1e-9).cast("int")
     a = a.withColumn("tok", F.explode("a_head")).withColumn("b_len", F.explode(F.sequence(F.greatest(low, F.lit(1)), high)))
     b = b.withColumn("tok", F.explode("b_head"))
+    # few bytes but much work per row: a fixed number of partitions, which the join then reuses
+    parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a = a.repartition(parts, "tok", "b_len")
     pairs = a.join(b, ["tok", "b_len"])
     # keep a pair only at its first shared token, then the character bound
     first = F.get(F.array_intersect("a_head", "b_head"), F.lit(0))
     enough = F.size(F.array_intersect("a_tok", "b_tok")) >= (F.col("a_len") + F.col("b_len")) * F.lit(cutoff / 2) - 1e-9
     pairs = pairs.filter((F.col("tok") == first) & enough).select(F.col("a_name").alias("read"), F.col("b_name").alias("known"))
-    scored = pairs.withColumn("rank_score", ratio("known", "read")).filter(F.col("rank_score") >= cutoff)
-    return scored.withColumn("score", ratio("read", "known"))
+    # spread evenly again for the scoring, whatever token brought the pairs together
+    pairs = pairs.repartition(parts, "read", "known")
+    return pairs.withColumn("rank_score", ratio("known", "read")).filter(F.col("rank_score") >= cutoff)
 
 
 def closest(reads: DataFrame, known: DataFrame, n: int, cutoff: float) -> DataFrame:
@@ -80,7 +84,9 @@ def closest(reads: DataFrame, known: DataFrame, n: int, cutoff: float) -> DataFr
     # the rank limit is applied before the shuffle too, so a popular read keeps n rows per task
     order = Window.partitionBy("read").orderBy(F.desc("rank_score"), F.desc("known"))
     pairs = similar_pairs(reads, known, cutoff)
-    return pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+    best = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+    # the reported score is measured the other way round, on the kept pairs only
+    return best.withColumn("score", ratio("read", "known"))
 
 
 def by_name(raws: DataFrame, index: DataFrame, cutoff: float = 0.7) -> DataFrame:
