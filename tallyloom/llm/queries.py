@@ -6,13 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import decontaminate, packing, secret_scan, token_counts
+from tallyloom.llm import decontaminate, html_extract, packing, pii, secret_scan, simhash, token_counts
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: key of the registered query; a real run takes its own from a secret store
+PSEUDONYM_KEY = b"tallyloom registered query"
+
+
+def op1_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return pii.pseudonymize(docs, PSEUDONYM_KEY)
+
+
 def op4_pack(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.pack(table(spark, folder, "documents").select("doc_id", "text"))
     return pieces.selectExpr("doc_id", "start", "length", "crc32(ids) AS ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
@@ -24,6 +33,10 @@ def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op7_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extract.extract(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 def op8_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = secret_scan.digest(secret_scan.scan(docs))
@@ -35,7 +48,12 @@ def op9_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.count_tokens(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_pack, op6_decontaminate, op8_secret_scan, op9_token_counts)
+    f.__name__: f for f in (op1_pseudonyms, op4_pack, op6_decontaminate, op7_main_text, op8_secret_scan, op9_token_counts, op10_simhash)
 }
 TWINS: dict[str, str] = {}
