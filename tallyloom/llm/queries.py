@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import decontaminate, html_extract, packing, pii, secret_scan, simhash, token_counts
+from tallyloom.llm import decontaminate, html_extract, lm_score, packing, pii, quality, secret_scan, simhash, token_counts
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,6 +22,16 @@ def op1_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
     return pii.pseudonymize(docs, PSEUDONYM_KEY)
 
 
+def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return quality.classify(docs, table(spark, folder, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op3_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return lm_score.score(docs)
+
+
 def op4_pack(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.pack(table(spark, folder, "documents").select("doc_id", "text"))
     return pieces.selectExpr("doc_id", "start", "length", "crc32(ids) AS ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
@@ -54,6 +64,6 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pseudonyms, op4_pack, op6_decontaminate, op7_main_text, op8_secret_scan, op9_token_counts, op10_simhash)
+    f.__name__: f for f in (op1_pseudonyms, op2_quality, op3_lm_score, op4_pack, op6_decontaminate, op7_main_text, op8_secret_scan, op9_token_counts, op10_simhash)
 }
 TWINS: dict[str, str] = {}
