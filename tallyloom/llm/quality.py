@@ -15,8 +15,6 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.session import durable
-
 
 def statistics(text: str | Column) -> dict[str, Column]:
     """Statistics of a whole text (null: empty), by name."""
@@ -29,16 +27,16 @@ def statistics(text: str | Column) -> dict[str, Column]:
         return F.regexp_count(t, F.lit(pattern)) / F.greatest(chars, F.lit(1.0))
 
     return {
-        "log_chars": F.log1p(chars),
-        "word_length": chars / n_words,
-        "distinct_words": F.size(F.array_distinct(words)) / n_words,
-        "distinct_lines": F.size(F.array_distinct(lines)) / n_lines,
-        "words_per_line": F.log1p(n_words / n_lines),
-        "upper": share("\\p{Lu}"),
-        "digits": share("[0-9]"),
-        "sentence_signs": share("[.,;:?]"),
-        "other_signs": share("[^\\p{L}\\p{N}\\s.,;:?'\"()-]"),
-        "bars": share("[|\\t]"),
+        "stat_log_chars": F.log1p(chars),
+        "stat_word_length": chars / n_words,
+        "stat_distinct_words": F.size(F.array_distinct(words)) / n_words,
+        "stat_distinct_lines": F.size(F.array_distinct(lines)) / n_lines,
+        "stat_words_per_line": F.log1p(n_words / n_lines),
+        "stat_upper": share("\\p{Lu}"),
+        "stat_digits": share("[0-9]"),
+        "stat_sentence_signs": share("[.,;:?]"),
+        "stat_other_signs": share("[^\\p{L}\\p{N}\\s.,;:?'\"()-]"),
+        "stat_bars": share("[|\\t]"),
     }
 
 
@@ -122,22 +120,34 @@ def logit(p: float) -> float:
     return math.log(p / (1 - p))
 
 
-def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", threshold: float = 0.3,
-             held_out: Column | None = None, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
-    """A row per row of ``docs``: ``key``, held_out, score (0 to 1) and predicted (1 if score >= ``threshold``), then the statistics.
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
+          held_out: Column | None = None, settings: Settings = Settings()) -> Rules:  # noqa: B008
+    """Rules from the labels of rows of ``docs`` that are not held out (see ``is_held_out``; null counts as held out).
+
+    At most ``max_labelled`` labels, by hash of the key, are looked at; those that are null or neither 0 nor 1 never. Without labels
+    of both classes the rules give the smoothed share of what there is.
+    """
+    sample = (labels.select(labels[key].alias("labelled"), labels[label].alias("given")).where("labelled is not null and given in (0, 1)")
+              .orderBy(F.xxhash64("labelled"), "given").limit(settings.max_labelled))
+    out = is_held_out(key) if held_out is None else held_out
+    learnable = docs.select(docs[key].alias(key), docs[text].alias("doc_text")).where(~F.coalesce(out, F.lit(True)))
+    # the sample is bounded, so it may be sent to every task; only its texts are measured
+    labelled = learnable.join(F.broadcast(sample), F.col(key) == F.col("labelled"))
+    names = tuple(statistics("doc_text"))
+    return fit(labelled.select(key, "given", *[c.alias(n) for n, c in statistics("doc_text").items()]), names, "given", key, settings)
+
+
+def is_held_out(key: str) -> Column:
+    return F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0
+
+
+def add_score(docs: DataFrame, rules: Rules, text: str = "text", threshold: float = 0.3) -> DataFrame:
+    """``docs`` with score (0 to 1) and predicted (1 if score >= ``threshold``); columns of these names are replaced.
 
-    Labels of rows with ``held_out`` (crc32 of the key as text modulo 5 is 0, unless given; null counts as held out) are never
-    read; those that are null or neither 0 nor 1 neither. Inputs of the score are statistics of the text alone. A null text
-    counts as empty and is scored; rows with equal texts get equal scores; a null key is scored and held out. Without labels of both
-    classes the score is their smoothed share. Empty ``docs`` give none; other columns are not read.
+    Inputs of the score are statistics of the text alone. A null text counts as empty and is scored; rows with equal texts get equal
+    scores; repeated rows, nulls elsewhere and other columns pass through; an empty table gives an empty table.
     """
-    out = F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0 if held_out is None else held_out
-    measured = statistics("doc_text")
-    names = tuple(measured)
-    table = docs.select(docs[key].alias(key), docs[text].alias("doc_text"))
-    table = durable(table.select(key, F.coalesce(out, F.lit(True)).alias("held_out"), *[c.alias(n) for n, c in measured.items()]))
-    known = labels.select(labels[key].alias("labelled"), labels[label].alias("given_label"))
-    labelled = table.where("not held_out").join(known, F.col(key) == F.col("labelled"))
-    rules = fit(labelled, names, "given_label", key, settings)
-    return table.withColumn("score", rules.score()).select(
-        key, "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *names)
+    kept = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
+    # generated, so that the optimizer does not copy the statistics into each rule
+    measured = docs.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in statistics(text).items()]))))
+    return measured.select(*kept, rules.score().alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyloom.llm import decontaminate, html_extract, lm_score, packing, pii, quality, secret_scan, simhash, token_counts
+from tallyloom.llm import ann, decontaminate, html_extract, lm_score, packing, pii, quality, secret_scan, simhash, token_counts
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,7 +25,8 @@ def op1_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
 
 def op2_quality(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return quality.classify(docs, table(spark, folder, "labels")).select("doc_id", "held_out", "score", "predicted")
+    rules = quality.train(docs, table(spark, folder, "labels"))
+    return quality.add_score(docs, rules).select("doc_id", quality.is_held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
 def op3_lm_score(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,6 +39,10 @@ def op4_pack(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.selectExpr("doc_id", "start", "length", "crc32(ids) AS ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
 
 
+def op5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op6_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = decontaminate.report(decontaminate.find_overlaps(docs, table(spark, folder, "benchmark")))
@@ -64,6 +70,6 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pseudonyms, op2_quality, op3_lm_score, op4_pack, op6_decontaminate, op7_main_text, op8_secret_scan, op9_token_counts, op10_simhash)
+    f.__name__: f for f in (op1_pseudonyms, op2_quality, op3_lm_score, op4_pack, op5_neighbours, op6_decontaminate, op7_main_text, op8_secret_scan, op9_token_counts, op10_simhash)
 }
 TWINS: dict[str, str] = {}
