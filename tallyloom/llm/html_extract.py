@@ -124,8 +124,9 @@ class Lines(HTMLParser):
     def handle_data(self, data):
         self.text.append(data)
 
-    def unknown_decl(self, data):
-        pass  # such as CDATA sections outside foreign elements: no text
+    def parse_marked_section(self, i, report=1):
+        """``<![...>`` in a page is a comment that ends at the next ``>``, however it is written."""
+        return self.rawdata.find(">", i) + 1 or -1
 
     def close(self):
         super().close()
