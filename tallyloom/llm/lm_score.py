@@ -1,8 +1,8 @@
 """Language-model scores by online logistic context mixing, beside the scores of smoothed token counts.
 
 A text is a sequence of tokens: its words, then one end. The model predicts the sequence byte by byte (words with a blank after
-each, then a line end), every byte as the binary decisions of a Huffman code. Several predictors hash a context (two, three
-and five bytes, the word so far, the word so far after the word before) and the node of the code to a slot with counts
+each, then a line end), every byte as the binary decisions of a Huffman code. Several predictors hash a context (three and
+five bytes, the word so far, the word so far after the word before) and the node of the code to a slot with counts
 of both outcomes. Their log odds are combined by weights that a gate selects, the gate being which of the longer contexts
 have been seen; within a text the weights are refined after each block of decisions, so the total is a probability.
 
@@ -35,14 +35,15 @@ from tallyloom.session import durable
 END = b"\n"
 PAD = 5  # bytes before a text, so that no context reaches into another
 SEGMENT = 256 << 10  # bytes of a text that are in work at once; contexts go on across segments
-GROUP = 128 << 10  # bytes of short texts that are in work at once
-PREDICTORS = 5
+GROUP = 32 << 10  # bytes of short texts that are in work at once
+PREDICTORS = 4
+NODES = 256  # a table has so many slots more, for the nodes of the last context
 #: what a count starts at, by predictor: the longer a context, the more its first outcomes say
-START = (0.4, 0.3, 0.15, 0.1, 0.03)
+START = (0.3, 0.15, 0.1, 0.03)
 #: the gate: the predictors it looks at, and the sizes of log odds (steps of a byte) at which it changes; below 1 is unseen
-GATE, STEPS = (2, 3, 4), (1, 24, 56)
+GATE, STEPS = (1, 2, 3), (1, 24, 56)
 GATES = (1 + len(STEPS)) ** len(GATE)
-STEP_OF = np.array([sum(abs(v) >= t for t in STEPS) for v in np.arange(256, dtype=np.uint8).view(np.int8).astype(int)], np.int64)
+STEP_OF = np.array([sum(abs(v) >= t for t in STEPS) for v in np.arange(256, dtype=np.uint8).view(np.int8).astype(int)], np.uint8)
 UNIT = 8 / 127  # log odds of one step of a byte
 MULTIPLIER = 0x9E3779B1
 BLOCK_SLOTS = 1 << 18  # slots of one row of counts
@@ -52,14 +53,14 @@ FAN_IN = 32  # tables added up by one task
 @dataclass(frozen=True)
 class Settings:
     """table_bits: binary logarithm of the slots, by predictor; calibration: one of so many training texts is for the weights first;
-    first_block: decisions before the first refinement (blocks double); inertia: how firmly a text's weights stay; inputs_per_table:
-    input partitions of one counting task at most, as its table has a fixed size (fewer while cores would be idle)."""
+    first_block: decisions before the first refinement (blocks double); inertia: how firmly a text's weights stay; bytes_per_table:
+    text of one counting task at least while no core would be idle, as its table has a fixed size."""
 
-    table_bits: tuple[int, ...] = (18, 21, 22, 24, 24)
+    table_bits: tuple[int, ...] = (21, 22, 23, 23)
     calibration: int = 16
     first_block: int = 512
     inertia: float = 20_000.0
-    inputs_per_table: int = 8
+    bytes_per_table: int = 256 << 20
 
 
 def words_of(text: str) -> list[bytes]:
@@ -88,16 +89,17 @@ def huffman(histogram: np.ndarray) -> Code:
         children.append((a, b))
         heapq.heappush(heap, (m + n, 256 + len(children), 255 + len(children)))
     found: dict[int, tuple[list[int], list[int]]] = {}
-    stack = [(heap[0][2], [], [])]
-    order: dict[int, int] = {}
-    while stack:
-        at, nodes, bits = stack.pop()
-        if at < 256:
-            found[at] = (nodes, bits)
-            continue
-        number = order.setdefault(at, len(order))
-        for bit, child in enumerate(children[at - 256]):
-            stack.append((child, [*nodes, number], [*bits, bit]))
+    level, numbers = [(heap[0][2], [], [])], 0
+    while level:  # level by level, so that the nodes of frequent bytes are close together
+        below = []
+        for at, nodes, bits in level:
+            if at < 256:
+                found[at] = (nodes, bits)
+                continue
+            for bit, child in enumerate(children[at - 256]):
+                below.append((child, [*nodes, numbers], [*bits, bit]))
+            numbers += 1
+        level = below
     lengths = np.array([len(found[b][0]) for b in range(256)], np.int64)
     return Code(lengths, np.concatenate(([0], np.cumsum(lengths)[:-1])),
                 np.array([n for b in range(256) for n in found[b][0]], np.int64), np.array([x for b in range(256) for x in found[b][1]], np.uint8))
@@ -130,15 +132,14 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate((np.ones(1, np.uint32), np.multiply.accumulate(np.full(n - 1, k, np.uint32), dtype=np.uint32))) for k in (MULTIPLIER, inverse))
 
 
-def contexts(data: np.ndarray) -> list[np.ndarray]:
+def contexts(data: np.ndarray, table_bits: tuple[int, ...]) -> list[np.ndarray]:
     """The slot base of each predictor at each byte of ``data``, from the bytes before it."""
     n = len(data)
     up, down = (p[:n] for p in powers(1 << max(16, n.bit_length())))
     before = np.zeros((5, n), np.uint32)
     for k in range(5):
         before[k, k + 1:] = data[:n - k - 1]
-    two = before[0] | before[1] << np.uint32(8)
-    three = two | before[2] << np.uint32(16)
+    three = before[0] | before[1] << np.uint32(8) | before[2] << np.uint32(16)
     five = (three * np.uint32(MULTIPLIER)) ^ ((before[3] | before[4] << np.uint32(8)) * np.uint32(0x85EBCA6B))
     # the word so far: a polynomial hash of its bytes, by prefix sums
     sums = np.cumsum((data.astype(np.uint32) + np.uint32(1)) * up, dtype=np.uint32)
@@ -152,12 +153,12 @@ def contexts(data: np.ndarray) -> list[np.ndarray]:
     previous = np.concatenate((np.zeros(1, np.uint32), ended))[number]
     pair = word * np.uint32(0xC2B2AE35) ^ previous * np.uint32(0x27D4EB2F) ^ np.uint32(0x165667B1)
     out = []
-    for k, h in enumerate((two, three, five, word, pair)):
+    for k, (h, bits) in enumerate(zip((three, five, word, pair), table_bits, strict=True)):
         h = (h + np.uint32(k + 1)) * np.uint32(MULTIPLIER)
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x85EBCA6B)
         h ^= h >> np.uint32(13)
-        out.append(h.astype(np.int64))
+        out.append((h & np.uint32((1 << bits) - 1)).astype(np.int64))
     return out
 
 
@@ -174,7 +175,7 @@ def decisions(units: list[tuple[bytes, bytes]], code: Code, table_bits: tuple[in
     data = np.frombuffer(b"".join(lead + own for lead, own in units), np.uint8)
     leads = np.array([len(lead) for lead, _ in units])
     sizes = np.array([len(own) for _, own in units])
-    bases = contexts(data)
+    bases = contexts(data, table_bits)
     counted = np.repeat(np.tile([False, True], len(units)), np.column_stack((leads, sizes)).ravel())
     own = data[counted]
     lengths = code.lengths[own]
@@ -182,10 +183,9 @@ def decisions(units: list[tuple[bytes, bytes]], code: Code, table_bits: tuple[in
     places = np.arange(ends[-1]) + np.repeat(code.offsets[own] - ends + lengths, lengths)
     nodes = code.nodes[places]
     slots = []
-    for base, bits in zip(bases, table_bits, strict=True):
+    for base in bases:
         slot = np.repeat(base[counted], lengths)
         slot += nodes
-        slot &= (1 << bits) - 1
         slots.append(slot)
     last = np.cumsum(sizes) - 1
     return Decisions(slots, code.bits[places], np.concatenate(([0], ends[last])))
@@ -214,12 +214,15 @@ def groups_of_texts(texts: list[str]) -> Iterator[tuple[list[int], list[tuple[by
 
 def odds_of(found: Decisions, tables: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Log odds of each predictor, float32 by predictor and decision, and the gate of each decision."""
-    steps = [table[slot] for table, slot in zip(tables, found.slots, strict=True)]
-    gates = np.zeros(len(found.bits), np.int64)
-    for p in GATE:
-        gates *= 1 + len(STEPS)
-        gates += STEP_OF[steps[p].view(np.uint8)]
-    return np.stack(steps).astype(np.float32) * np.float32(UNIT), gates
+    n = len(found.bits)
+    odds, gates = np.empty((PREDICTORS, n), np.float32), np.zeros(n, np.uint8)
+    for p, (table, slot) in enumerate(zip(tables, found.slots, strict=True)):
+        steps = table.take(slot)
+        np.multiply(steps, np.float32(UNIT), out=odds[p])
+        if p in GATE:
+            gates *= np.uint8(1 + len(STEPS))
+            gates += STEP_OF.take(steps.view(np.uint8))
+    return odds, gates.astype(np.int64)
 
 
 def certain(z: np.ndarray) -> np.ndarray:
@@ -229,8 +232,7 @@ def certain(z: np.ndarray) -> np.ndarray:
 def mixed(found: Decisions, tables: list[np.ndarray], weights: np.ndarray, settings: Settings) -> list[float]:
     """Natural logarithm of the probability of each unit. ``weights``: by gate and predictor."""
     odds, gates = odds_of(found, tables)
-    by_gate = weights.astype(np.float32)
-    fixed = sum(by_gate[gates, p] * odds[p] for p in range(PREDICTORS))
+    fixed = sum(own.take(gates) * odds[p] for p, own in enumerate(weights.T.astype(np.float32).copy()))
     bits = found.bits.astype(np.float32)
     out = []
     for start, end in zip(found.begins[:-1].tolist(), found.begins[1:].tolist(), strict=True):
@@ -277,7 +279,7 @@ class SlotCounts:
     """Counts of both outcomes by predictor and slot."""
 
     def __init__(self, table_bits: tuple[int, ...]):
-        self.counts = [np.zeros(2 << bits, np.uint32) for bits in table_bits]
+        self.counts = [np.zeros((2 << bits) + 2 * NODES, np.uint32) for bits in table_bits]
 
     def add(self, found: Decisions) -> None:
         for own, slot in zip(self.counts, found.slots, strict=True):
@@ -336,7 +338,7 @@ def tables_of(counts: DataFrame, table_bits: tuple[int, ...]):
             for row in batch.to_pylist():
                 yield pa.RecordBatch.from_pylist([row | {"counts": odds_bytes(unpacked(row["counts"]), START[row["predictor"]]).tobytes()}], batch.schema)
 
-    tables = [np.zeros(1 << bits, np.int8) for bits in table_bits]
+    tables = [np.zeros((1 << bits) + NODES, np.int8) for bits in table_bits]
     for row in counts.mapInArrow(run, COUNT_ROWS).collect():
         start = row["block"] * BLOCK_SLOTS
         own = np.frombuffer(row["counts"], np.int8)
@@ -554,13 +556,16 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", held_out: Co
     inputs = table.rdd.getNumPartitions()
     spark = docs.sparkSession
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), inputs)
-    parts = max(1, min(inputs, max(spark.sparkContext.defaultParallelism, -(-inputs // settings.inputs_per_table))))
 
     tokens = durable(token_counts(training, buckets))
     totals = tokens.agg(F.sum("types").alias("types"), F.sum("total").alias("total")).first()
-    code = huffman(histogram_of(training))
+    histogram = histogram_of(training)
+    code = huffman(histogram)
+    parts = max(1, min(inputs, max(spark.sparkContext.defaultParallelism, -(-int(histogram.sum()) // settings.bytes_per_table))))
     most = durable(counted(training.where("not first"), code, settings, parts))
-    weights = learnt(training.where("first"), code, tables_of(most, settings.table_bits), settings)
+    sent = tables_of(most, settings.table_bits)
+    weights = learnt(training.where("first"), code, sent, settings)
+    sent.destroy()
     tables = tables_of(merged(most, counted(training.where("first"), code, settings, parts)), settings.table_bits)
     found = scored(table, key, buckets, code, tables, weights, settings)
     met = met_tokens(found, tokens, key)
