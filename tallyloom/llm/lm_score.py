@@ -37,6 +37,8 @@ PAD = 5  # bytes before a text, so that no context reaches into another
 SEGMENT = 256 << 10  # bytes of a text that are in work at once; contexts go on across segments
 GROUP = 32 << 10  # bytes of short texts that are in work at once
 PREDICTORS = 4
+#: of each predictor before anything is learnt
+FIRST_WEIGHT = 0.3
 NODES = 256  # a table has so many slots more, for the nodes of the last context
 #: what a count starts at, by predictor: the longer a context, the more its first outcomes say
 START = (0.3, 0.15, 0.1, 0.03)
@@ -254,22 +256,32 @@ def mixed(found: Decisions, tables: list[np.ndarray], weights: np.ndarray, setti
 
 
 class Weights:
-    """Weights by gate, learnt online: a Newton step after every group, on all curvature so far."""
+    """Weights by gate, learnt online by Newton steps on all curvature so far: first what all gates share, then what each differs by."""
 
     def __init__(self):
-        n = GATES
-        self.weights = np.full((n, PREDICTORS), 0.4)
-        self.curvature = np.tile(np.eye(PREDICTORS) * 100.0, (n, 1, 1))
-        self.seen = np.zeros(n)
+        self.shared = np.full(PREDICTORS, FIRST_WEIGHT)
+        self.own = np.zeros((GATES, PREDICTORS))
+        self.shared_curvature = np.eye(PREDICTORS) * 100.0
+        self.curvature = np.tile(np.eye(PREDICTORS) * 300.0, (GATES, 1, 1))
+        self.seen = 0
+
+    @property
+    def weights(self) -> np.ndarray:
+        return self.shared + self.own
 
     def learn(self, found: Decisions, tables: list[np.ndarray]) -> None:
         odds, gates = odds_of(found, tables)
+        odds, bits = odds.astype(np.float64), found.bits.astype(np.float64)
+        p = certain((self.weights[gates].T * odds).sum(axis=0))
+        self.shared_curvature += (odds * (p * (1 - p))) @ odds.T
+        self.shared += np.linalg.solve(self.shared_curvature, odds @ (bits - p))
         for gate in np.unique(gates):
-            own = odds[:, gates == gate].astype(np.float64)
-            p = certain(self.weights[gate] @ own)
+            at = gates == gate
+            own = odds[:, at]
+            p = certain((self.shared + self.own[gate]) @ own)
             self.curvature[gate] += (own * (p * (1 - p))) @ own.T
-            self.weights[gate] += np.linalg.solve(self.curvature[gate], own @ (found.bits[gates == gate] - p))
-            self.seen[gate] += own.shape[1]
+            self.own[gate] += np.linalg.solve(self.curvature[gate], own @ (bits[at] - p))
+        self.seen += len(bits)
 
 
 # ---- counts of slots
@@ -429,7 +441,6 @@ def counted(texts: DataFrame, code: Code, settings: Settings, parts: int) -> Dat
 
 def learnt(texts: DataFrame, code: Code, tables, settings: Settings) -> np.ndarray:
     """Weights by gate and predictor: learnt online in each task, averaged by the decisions that each saw."""
-    n = GATES
 
     def run(batches):
         own = Weights()
@@ -437,16 +448,16 @@ def learnt(texts: DataFrame, code: Code, tables, settings: Settings) -> np.ndarr
             for batch in chunks(whole, "doc_text"):
                 for _, units in groups_of_texts([t or "" for t in batch.column(0).to_pylist()]):
                     own.learn(decisions(units, code, settings.table_bits), tables.value)
-        place = np.arange(n * PREDICTORS, dtype=np.int32)
-        seen = np.repeat(own.seen, PREDICTORS)
+        place = np.arange(GATES * PREDICTORS, dtype=np.int32)
+        seen = np.full(len(place), float(own.seen))
         yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(own.weights.ravel() * seen), pa.array(seen)], ["place", "w", "seen"])
 
-    out = np.full(n * PREDICTORS, 0.4)
+    out = np.full(GATES * PREDICTORS, FIRST_WEIGHT)
     sums = texts.select("doc_text").mapInArrow(run, "place int, w double, seen double").groupBy("place").agg(F.sum("w").alias("w"), F.sum("seen").alias("seen"))
     for row in sums.collect():
         if row.seen:
             out[row.place] = row.w / row.seen
-    return out.reshape(n, PREDICTORS)
+    return out.reshape(GATES, PREDICTORS)
 
 
 def merged(a: DataFrame, b: DataFrame) -> DataFrame:
