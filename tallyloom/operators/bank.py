@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 from tallyloom.functions.text import CATEGORY_ID, auto_title, fold, is_status, search_text
 from tallyloom.operators import variants
 
-PAGE_CAP = 20_000
-
 
 def bank_index(questions: DataFrame, evals: DataFrame) -> DataFrame:
     """Browse fields of each question with its search text and totals, ready to be stored."""
@@ -95,10 +93,13 @@ def list_questions(index: DataFrame, condition: Column | None = None, flat: bool
     return folded.orderBy(F.desc("modified_at"), "bank_id")
 
 
-def first_rows(rows: DataFrame, order: list, cap: int = PAGE_CAP) -> DataFrame:
-    """The listing the reader gets: at most ``cap`` rows, each saying whether the list was cut."""
-    total = rows.agg(F.count("*") > cap)
-    return rows.orderBy(*order).limit(cap).withColumn("truncated", total.scalar())
+def page_rows(rows: DataFrame, order: list, size: int, number: int = 0) -> DataFrame:
+    """Page ``number`` (from 0) of ``size`` rows in the order of ``order``, each row saying whether more follow.
+
+    ``order`` must break every tie, so that pages are disjoint and together give all rows.
+    """
+    more = rows.agg(F.count("*") > (number + 1) * size)
+    return rows.orderBy(*order).offset(number * size).limit(size).withColumn("truncated", more.scalar())
 
 
 def facets(questions: DataFrame) -> DataFrame:

@@ -119,28 +119,31 @@ def intensity_features(crops: DataFrame, pixels: str, width: int) -> DataFrame:
 # ------------------------------------------------------------ decisions and flags
 
 
-def decide_cell(proba: str, e2: str, masked: str) -> tuple[Column, Column]:
-    """``(ticked, no_masked)``: the model decides, unless it is missing or its masked measure is."""
+def decide_cell(proba: str, e2: str, masked: str) -> tuple[Column, Column, Column]:
+    """``(ticked, published, no_masked)``: the model decides, unless it is missing or its masked measure is.
+
+    Without the masked measure the model's probability means nothing, and none is published.
+    """
     p, threshold, lost = F.col(proba), F.col(e2), F.isnan(masked)
     model = p >= 0.5
     ticked = F.when(p.isNull() | lost, threshold).otherwise(model)
-    return ticked, F.when(p.isNotNull() & lost, model != threshold).otherwise(F.lit(False))
+    return ticked, F.when(~lost, p), F.when(p.isNotNull() & lost, model != threshold).otherwise(F.lit(False))
 
 
 def flag_reasons(cells: DataFrame) -> DataFrame:
-    """Adds the three verdicts and the reasons to look at a cell.
+    """Adds the three verdicts, the published probability and the reasons to look at a cell.
 
     Needs ``proba``, ``masked`` (NaN when missing), ``ratio`` and ``threshold``.
     """
     base = cells.withColumn("e2", F.col("ratio") > F.col("threshold"))
-    ticked, no_masked = decide_cell("proba", "e2", "masked")
+    ticked, published, no_masked = decide_cell("proba", "e2", "masked")
     e1 = F.when(~F.isnan("masked"), F.col("masked") > MASKED_INK)
-    base = base.select("*", e1.alias("e1"), ticked.alias("ticked"), no_masked.alias("_nm"))
+    base = base.select("*", e1.alias("e1"), ticked.alias("ticked"), published.alias("published"), no_masked.alias("_nm"))
     verdicts = F.array_distinct(F.array_compact(F.array("e1", "e2", "ticked")))
     reasons = F.array_compact(F.array(
-        F.when(F.size(verdicts) > 1, "disagree"), F.when(F.col("proba").between(UNSURE_LOW, UNSURE_HIGH), "uncertain"),
+        F.when(F.size(verdicts) > 1, "disagree"), F.when(F.col("published").between(UNSURE_LOW, UNSURE_HIGH), "uncertain"),
         F.when(F.col("_nm"), "no_masked")))
-    return base.select(*cells.columns, "e1", "e2", "ticked", reasons.alias("reasons"))
+    return base.select(*cells.columns, "e1", "e2", "ticked", "published", reasons.alias("reasons"))
 
 
 def assemble_answers(judged: DataFrame) -> DataFrame:

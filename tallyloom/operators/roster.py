@@ -163,20 +163,14 @@ def analyze_roster(table: DataFrame) -> DataFrame:
         "mail_idx", F.coalesce("data_start", F.lit(1)).alias("data_start"))
 
 
-def sheet_summaries(table: DataFrame, max_sheets: int = 20) -> DataFrame:
-    """Rows, columns and usable students of each sheet; null students when not understood.
-
-    Only the first ``max_sheets`` names are summarised, which is what the list shows.
-    """
-    names = table.select("sheet").distinct()
-    first = names.orderBy("sheet").limit(max_sheets)
-    seen = table.join(first, "sheet", "left_semi")
-    sizes = seen.groupBy("sheet").agg(F.count("*").alias("nrow"), F.max(F.size("cells")).alias("ncol"))
-    guess = analyze_roster(seen)
-    usable = seen.join(guess.filter("id_idx >= 0 AND nom_idx >= 0"), "sheet").filter(
+def sheet_summaries(table: DataFrame) -> DataFrame:
+    """Rows, columns and usable students of every sheet; null students when not understood."""
+    sizes = table.groupBy("sheet").agg(F.count("*").alias("nrow"), F.max(F.size("cells")).alias("ncol"))
+    guess = analyze_roster(table)
+    usable = table.join(guess.filter("id_idx >= 0 AND nom_idx >= 0"), "sheet").filter(
         (F.col("row_no") >= F.col("data_start")) & (cell_text(F.get("cells", F.col("id_idx"))) != ""))
     counts = usable.groupBy("sheet").agg(F.count("*").alias("n_students"))
-    return names.join(sizes, "sheet", "left").join(counts, "sheet", "left")
+    return sizes.join(counts, "sheet", "left")
 
 
 # ------------------------------------------------------------ ambiguities

@@ -1,7 +1,7 @@
 """Category tree: closure, checks, annotation and edits. Rows are ``(id, parent_id, name, position)``.
 
-The depth is limited, so ancestors come from a fixed number of joins on the parent; siblings and
-subtrees stay rows whatever their size.
+Six levels are a rule for new and moved nodes; what is stored is read whatever its depth. Siblings and subtrees stay
+rows whatever their size.
 """
 
 from __future__ import annotations
@@ -20,25 +20,32 @@ def _parent():
     return F.nullif("parent_id", F.lit(""))
 
 
-def closure(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """``(id, ancestor, distance)`` with each node as its own ancestor at distance 0."""
-    base = durable(nodes.select("id", _parent().alias("parent_id")))
-    step = base.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance"))
-    parents = base.select(F.col("id").alias("ancestor"), F.col("parent_id").alias("_up"))
-    known = base.select(F.col("id").alias("_up"))
-    out = step
-    for distance in range(1, max_depth):
-        step = step.join(parents, "ancestor").filter("_up IS NOT NULL").join(known, "_up", "left_semi").select(
-            "id", F.col("_up").alias("ancestor"), F.lit(distance).alias("distance")).filter("ancestor <> id")
-        out = out.unionByName(step)
-    return out
+def closure(nodes: DataFrame) -> DataFrame:
+    """``(id, ancestor, distance)`` up to the root, with each node as its own ancestor at distance 0.
+
+    Pointer doubling: every round doubles the distance that is covered, whatever the depth of the tree. A walk that enters a
+    cycle meets each node of it once, at its first distance; a parent that does not exist ends the walk.
+    """
+    base = nodes.select("id", _parent().alias("up")).filter("id IS NOT NULL").distinct()
+    jump = durable(base.join(base.select(F.col("id").alias("up")).distinct(), "up", "left_semi").filter("id <> up").select("id", "up"))
+    closed, known, reach = durable(base.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance")).distinct()), None, 1
+    while True:
+        size = closed.count()
+        if size == known:
+            return closed
+        known = size
+        further = jump.join(closed.select(F.col("id").alias("up"), "ancestor", "distance"), "up").select(
+            "id", "ancestor", (F.col("distance") + reach).alias("distance"))
+        closed = durable(closed.unionByName(further).groupBy("id", "ancestor").agg(F.min("distance").alias("distance")))
+        jump = durable(jump.join(jump.select(F.col("id").alias("up"), F.col("up").alias("_next")), "up").select("id", F.col("_next").alias("up")))
+        reach *= 2
 
 
 def paths(nodes: DataFrame, closed: DataFrame) -> DataFrame:
     """1-based depth, names from the root and the sort key of prefix order, for each node."""
     info = nodes.select(F.col("id").alias("ancestor"), "name", F.coalesce("position", F.lit(0)).cast("int").alias("position"))
     joined = closed.join(info, "ancestor")
-    # at most one row per level of the tree
+    # one row per level above the node
     chain = F.array_sort(F.collect_list(F.struct(
         (-F.col("distance")).alias("d"), "position", F.lower("name").alias("k"), F.col("ancestor").alias("a"), "name")))
     return joined.groupBy("id").agg(chain.alias("c")).select(
@@ -95,7 +102,7 @@ def validate_nodes(nodes: DataFrame, max_depth: int = MAX_DEPTH, check_ids: bool
     rooted = follow(pointers)
     found.append(rooted.filter("cyclic").select("id", F.lit("cycle").alias("violation")))
     acyclic = unique.join(rooted.filter("NOT cyclic").select("id"), "id", "left_semi")
-    depths = closure(acyclic, max_depth + 1).groupBy("id").agg(F.count("*").alias("depth"))
+    depths = closure(acyclic).groupBy("id").agg(F.count("*").alias("depth"))
     found.append(depths.filter(F.col("depth") > max_depth).select("id", F.lit("too_deep").alias("violation")))
     keyed = base.withColumn("k", sibling_key("name"))
     first = keyed.groupBy("parent_id", "k").agg(F.count("*").alias("n"), F.min("id").alias("first")).filter("n > 1")

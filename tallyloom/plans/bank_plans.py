@@ -114,7 +114,13 @@ def l8(t):
 
 @query("l9_first_rows", "SELECT bank_id, modified_at, (SELECT count(*) FROM fx_entry) > 100 AS truncated FROM fx_entry ORDER BY modified_at DESC, bank_id LIMIT 100")
 def l9(t):
-    return bank.first_rows(entries(t).select("bank_id", "modified_at"), [F.desc("modified_at"), "bank_id"], cap=100)
+    return bank.page_rows(entries(t).select("bank_id", "modified_at"), [F.desc("modified_at"), "bank_id"], 100)
+
+
+@query("l9_second_page", """
+SELECT bank_id, modified_at, (SELECT count(*) FROM fx_entry) > 120 AS truncated FROM fx_entry ORDER BY modified_at DESC, bank_id LIMIT 60 OFFSET 60""")
+def l9_second(t):
+    return bank.page_rows(entries(t).select("bank_id", "modified_at"), [F.desc("modified_at"), "bank_id"], 60, 1)
 
 
 @query("l10_facets", "SELECT tag, count(*) AS n FROM (SELECT ptype AS tag FROM fx_entry UNION ALL SELECT brand FROM fx_entry) WHERE tag <> '' GROUP BY 1")
@@ -195,6 +201,26 @@ def l15(t):
     return tree.paths(t.fx_category, tree.closure(t.fx_category)).select("id", "depth", F.array_join("path", "/").alias("path"))
 
 
+# chains of ten levels
+view("fx_deep_category", """
+SELECT concat('p', CAST(p_partkey AS STRING)) AS id, CASE WHEN p_partkey % 10 <> 1 THEN concat('p', CAST(p_partkey - 1 AS STRING)) END AS parent_id,
+       p_name AS name, p_size AS position FROM {part}""")
+_DEEP = """
+WITH RECURSIVE w AS (SELECT id, id AS ancestor, 0 AS distance FROM fx_deep_category
+  UNION ALL SELECT w.id, p.parent_id, w.distance + 1 FROM w JOIN fx_deep_category p ON p.id = w.ancestor WHERE p.parent_id IS NOT NULL)"""
+
+
+@query("l16_deep_closure", f"{_DEEP.strip()} SELECT id, ancestor, distance FROM w")
+def l16_deep(t):
+    return tree.closure(t.fx_deep_category)
+
+
+@query("l15_deep_paths", f"""{_DEEP.strip()}
+SELECT w.id, CAST(count(*) AS INT) AS depth, string_agg(p.name, '/' ORDER BY distance DESC) AS path FROM w JOIN fx_deep_category p ON p.id = w.ancestor GROUP BY 1""")
+def l15_deep(t):
+    return tree.paths(t.fx_deep_category, tree.closure(t.fx_deep_category)).select("id", "depth", F.array_join("path", "/").alias("path"))
+
+
 @query("l16_closure", "SELECT id, ancestor, distance FROM fx_tw_closure")
 def l16(t):
     return tree.closure(t.fx_category)

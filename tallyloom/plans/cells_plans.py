@@ -68,22 +68,22 @@ def measured(t):
 
 
 view("fx_tw_decided", """
-SELECT *, CASE WHEN proba IS NULL OR isnan(masked) THEN e2 ELSE proba >= 0.5 END AS ticked, coalesce(isnan(masked) AND (proba >= 0.5) <> e2, false) AS no_masked, CASE WHEN NOT isnan(masked) THEN masked > 0.12::DOUBLE END AS e1
+SELECT *, CASE WHEN proba IS NULL OR isnan(masked) THEN e2 ELSE proba >= 0.5 END AS ticked, coalesce(isnan(masked) AND (proba >= 0.5) <> e2, false) AS no_masked, CASE WHEN NOT isnan(masked) THEN masked > 0.12::DOUBLE END AS e1, CASE WHEN NOT isnan(masked) THEN proba END AS published
 FROM (SELECT c.copy_key, c.q, c.ch, ratio, masked, truth, m.threshold, ratio > m.threshold AS e2, CASE WHEN c.copy_key % 4 > 0 THEN proba END AS proba FROM {fx_cell} c JOIN {fx_tw_measure} m ON m.copy_key = c.copy_key AND m.q = c.q)""")
 view("fx_tw_reason", """
-SELECT *, concat_ws(';', CASE WHEN (e1 IS NOT NULL AND e1 <> e2) OR (e1 IS NOT NULL AND e1 <> ticked) OR e2 <> ticked THEN 'disagree' END, CASE WHEN proba BETWEEN 0.3 AND 0.7 THEN 'uncertain' END, CASE WHEN no_masked THEN 'no_masked' END) AS reasons FROM {fx_tw_decided}""")
+SELECT *, concat_ws(';', CASE WHEN (e1 IS NOT NULL AND e1 <> e2) OR (e1 IS NOT NULL AND e1 <> ticked) OR e2 <> ticked THEN 'disagree' END, CASE WHEN published BETWEEN 0.3 AND 0.7 THEN 'uncertain' END, CASE WHEN no_masked THEN 'no_masked' END) AS reasons FROM {fx_tw_decided}""")
 
 
-@query("j6_decide_cell", "SELECT copy_key, q, ch, ticked, no_masked FROM fx_tw_decided")
+@query("j6_decide_cell", "SELECT copy_key, q, ch, ticked, published, no_masked FROM fx_tw_decided")
 def j6(t):
     base = measured(t).withColumn("e2", F.col("ratio") > F.col("threshold"))
-    ticked, no_masked = cells.decide_cell("proba", "e2", "masked")
-    return base.select("copy_key", "q", "ch", ticked.alias("ticked"), no_masked.alias("no_masked"))
+    ticked, published, no_masked = cells.decide_cell("proba", "e2", "masked")
+    return base.select("copy_key", "q", "ch", ticked.alias("ticked"), published.alias("published"), no_masked.alias("no_masked"))
 
 
-@query("j7_flag_reasons", "SELECT copy_key, q, ch, e1, e2, ticked, reasons FROM fx_tw_reason")
+@query("j7_flag_reasons", "SELECT copy_key, q, ch, e1, e2, ticked, published, reasons FROM fx_tw_reason")
 def j7(t):
-    return cells.flag_reasons(measured(t)).select("copy_key", "q", "ch", "e1", "e2", "ticked", F.array_join("reasons", ";").alias("reasons"))
+    return cells.flag_reasons(measured(t)).select("copy_key", "q", "ch", "e1", "e2", "ticked", "published", F.array_join("reasons", ";").alias("reasons"))
 
 
 view("fx_digit", """
@@ -106,7 +106,7 @@ def j9(t):
 
 view("fx_bit", """
 SELECT l_orderkey AS page_key, CAST(1 + (l_linenumber - 1) % 3 AS INT) AS kind, CAST(1 + floor((l_linenumber - 1) / 3.0) AS INT) AS rank, max(l_tax * 10) AS ratio
-FROM {lineitem} WHERE l_linenumber <= 6 GROUP BY 1, 2, 3""")
+FROM {lineitem} GROUP BY 1, 2, 3""")
 view("fx_known_code", "SELECT DISTINCT s_suppkey % 4 AS copy, (s_suppkey + 1) % 4 AS page, s_suppkey % 3 AS checksum FROM {supplier}")
 view("fx_tw_code", """
 WITH s AS (SELECT page_key, ratio, row_number() OVER w AS rn, lead(ratio) OVER w AS nx FROM {fx_bit} WINDOW w AS (PARTITION BY page_key ORDER BY ratio DESC)),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.operators.ordering import with_rank
+
 # Candidate separators in order of preference, and file kinds read as sheets.
 DELIMITERS = (";", ",", "\t", "|")
 EXTENSIONS = (".csv", ".tsv", ".txt")
@@ -71,11 +73,20 @@ def read_table(spark: SparkSession, path: str, sheet: str | None = None, n_colum
     head = [r["value"] for r in text.limit(SNIFF_LINES).collect()]
     probe = spark.createDataFrame([("f", i, line) for i, line in enumerate(head)] or [("f", 0, "")], "src string, line_no int, line string")
     delimiter = sniff_delimiter(probe).first()["delimiter"]
-    widest = n_columns or max((line.count(delimiter) + 1 for line in head), default=1)
+    widest = n_columns or widest_row(spark, path, delimiter)
     schema = ", ".join(f"c{i} string" for i in range(widest))
-    rows = spark.read.csv(path, schema=schema, sep=delimiter, header=False, multiLine=True, encoding="UTF-8", mode="PERMISSIVE")
-    cells = F.array(*[F.nullif(F.regexp_replace(f"c{i}", "^﻿", ""), F.lit("")) for i in range(widest)])
-    return rows.select(F.monotonically_increasing_id().alias("row_no"), cells.alias("cells"))
+    rows = spark.read.csv(path, schema=schema, sep=delimiter, header=False, multiLine=True, encoding="UTF-8", mode="PERMISSIVE", escape='"')
+    cells = F.array(*[F.nullif(F.regexp_replace(f"c{i}", "^\ufeff", ""), F.lit("")) for i in range(widest)])
+    # a file is read by one task, so inside it the ids follow the rows
+    placed = rows.select(cells.alias("cells"), F.input_file_name().alias("_file"), F.monotonically_increasing_id().alias("_place"))
+    return with_rank(placed, ["_file", "_place"], name="_rank").select((F.col("_rank") - 1).alias("row_no"), "cells")
+
+
+def widest_row(spark: SparkSession, path: str, delimiter: str) -> int:
+    """Cells of the widest row of all files: separators outside quotes, whose text may hold line ends."""
+    files = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", '(?s)"[^"]*"', "").alias("bare"))
+    lines = files.select(F.explode(F.split("bare", r"\r?\n|\r")).alias("line"))
+    return lines.agg(F.max(F.regexp_count("line", F.lit("\\Q" + delimiter + "\\E")))).first()[0] + 1 if not files.isEmpty() else 1
 
 
 def discover_scans(files: DataFrame, explicit: DataFrame, excluded: DataFrame) -> DataFrame:

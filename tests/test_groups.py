@@ -128,9 +128,29 @@ def test_ranks_and_running_sums_with_one_dominant_key(spark):
 
 def test_cell_decisions(spark):
     nan = float("nan")
-    df = spark.createDataFrame([(0.42, True, nan), (0.42, False, nan), (0.9, False, 0.3), (None, True, 0.0)], "p double, e2 boolean, m double")
-    ticked, lost = cells.decide_cell("p", "e2", "m")
-    assert [tuple(r) for r in df.select(ticked, lost).collect()] == [(True, True), (False, False), (True, False), (True, False)]
+    rows = [(0.42, True, nan), (0.42, False, nan), (0.42, True, 0.9), (0.93, False, 0.9), (None, True, nan), (None, False, 0.9)]
+    df = spark.createDataFrame(rows, "p double, e2 boolean, m double")
+    got = [tuple(r) for r in df.select(*cells.decide_cell("p", "e2", "m")).collect()]
+    assert got == [(True, None, True), (False, None, False), (False, 0.42, False), (True, 0.93, False), (True, None, False), (False, None, False)]
+
+
+def test_void_probability_flags_nothing(spark):
+    rows = [(0.42, float("nan"), 0.1, 0.5), (0.42, float("nan"), 0.9, 0.5), (0.42, 0.02, 0.1, 0.5)]
+    out = cells.flag_reasons(spark.createDataFrame(rows, "proba double, masked double, ratio double, threshold double")).collect()
+    assert [(r["published"], r["reasons"]) for r in out] == [(None, []), (None, ["no_masked"]), (0.42, ["uncertain"])]
+
+
+def test_closure_goes_to_the_root_and_through_cycles_once(spark):
+    chain = [(f"n{i}", f"n{i - 1}" if i > 1 else None) for i in range(1, 10)]
+    rows = [*chain, ("c", "a"), ("a", "b"), ("b", "a"), ("self", "self"), ("lost", "nowhere")]
+    table = spark.createDataFrame([(i, p, i.upper(), 0) for i, p in rows], "id string, parent_id string, name string, position int")
+    got = {}
+    for r in tree.closure(table).collect():
+        got.setdefault(r["id"], {})[r["ancestor"]] = r["distance"]
+    assert got["n9"] == {f"n{i}": 9 - i for i in range(1, 10)}
+    assert got["c"] == {"c": 0, "a": 1, "b": 2} and got["a"] == {"a": 0, "b": 1} and got["self"] == {"self": 0} and got["lost"] == {"lost": 0}
+    path = {r["id"]: (r["depth"], "/".join(r["path"])) for r in tree.paths(table, tree.closure(table)).collect()}
+    assert path["n9"] == (9, "/".join(f"N{i}" for i in range(1, 10))) and path["c"] == (3, "B/A/C")
 
 
 def test_printed_code_bits(spark):

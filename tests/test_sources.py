@@ -80,3 +80,16 @@ def test_stream_equals_batch_whatever_the_arrival(spark, tmp_path):
         fresh.filter(F.col("page") % 2 == part).coalesce(1).write.mode("append").json(incoming)
     ingest.ingest_readings(spark, incoming, store, state, files_per_trigger=1).awaitTermination()
     assert canonical(ingest.read_store(spark, store)) == canonical(merging.upsert_readings(old_copies(t), new_readings(t)))
+
+
+def test_rows_keep_their_width_and_order(spark, tmp_path):
+    folder = tmp_path / "sheet"
+    folder.mkdir()
+    (folder / "a.csv").write_text("".join(f"{i};x;y\n" for i in range(12)) + '99;a;b;LOST\n"q;q";"two\nlines ""q""";z\n', encoding="utf-8")
+    (folder / "b.csv").write_text("100;m;n\n101;;o\n", encoding="utf-8")
+    (folder / "c.csv").write_text("200;p;q\n" * 500, encoding="utf-8")
+    rows = tables.read_table(spark, str(folder)).orderBy("row_no").collect()
+    assert [r["row_no"] for r in rows] == list(range(len(rows))) and len(rows) == 516
+    cells = [r["cells"] for r in rows]
+    assert cells[12] == ["99", "a", "b", "LOST"] and cells[13] == ["q;q", 'two\nlines "q"', "z", None]
+    assert cells[0] == ["0", "x", "y", None] and cells[14:16] == [["100", "m", "n", None], ["101", None, "o", None]] and cells[-1][0] == "200"
