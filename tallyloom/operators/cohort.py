@@ -127,9 +127,9 @@ def build_table(members: DataFrame, columns: DataFrame, threshold: float) -> Dat
     gone = members.filter("id <> '' AND absent").join(canon, "id").join(columns.select("path", "label"), "path") \
         .groupBy(F.col("canonical").alias("id")).agg(F.array_sort(F.collect_set("label")).alias("absent_in"))
     per = cohort_marks(members, columns, folded).groupBy("id").agg(
-        F.map_from_entries(F.collect_list(F.struct("key", F.round("mark", 3)))).alias("notes"),
-        F.map_from_entries(F.collect_list(F.struct("key", F.round("raw", 2)))).alias("raws"),
-        F.count("*").alias("n_columns"), F.round(weighted_mean(threshold), 2).alias("final"))
+        F.map_from_entries(F.collect_list(F.struct("key", F.bround("mark", 3)))).alias("notes"),
+        F.map_from_entries(F.collect_list(F.struct("key", F.bround("raw", 2)))).alias("raws"),
+        F.count("*").alias("n_columns"), F.bround(weighted_mean(threshold), 2).alias("final"))
     table = merged.join(per, "id", "left").join(gone, "id", "left")
     return table.select("id", "name", "email", "n_ids", "notes", "raws", F.coalesce("n_columns", F.lit(0)).alias("n_columns"),
                         "final", F.coalesce("absent_in", F.array().cast("array<string>")).alias("absent_in"))
@@ -176,7 +176,7 @@ def cohort_summary(table: DataFrame, n_columns: int, n_unlinked: DataFrame) -> D
 
 def calibration_series(marks: DataFrame) -> DataFrame:
     """Column marks (already capped) in long form, ready for the histogram."""
-    return marks.select("id", "key", F.round("mark", 3).alias("mark"))
+    return marks.select("id", "key", F.bround("mark", 3).alias("mark"))
 
 
 def candidates(found: DataFrame, listed: DataFrame) -> DataFrame:

@@ -88,8 +88,8 @@ def chart_guides(series: DataFrame, granularity: float, pass_mark: float) -> Dat
 
 def scatter(marks: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     """One row per student: a mark per listed column, null where missing, and the final."""
-    wide = marks.groupBy("id").pivot("key", keys).agg(F.round(F.first("mark"), 3))
-    final = finals(marks, threshold).select("id", F.round("final", 3).alias("final"))
+    wide = marks.groupBy("id").pivot("key", keys).agg(F.bround(F.first("mark"), 3))
+    final = finals(marks, threshold).select("id", F.bround("final", 3).alias("final"))
     return wide.join(final, "id")
 
 

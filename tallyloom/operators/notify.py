@@ -62,7 +62,7 @@ def pending(people: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def usage_totals(calls: DataFrame, prices: DataFrame, default_price: tuple[float, float]) -> DataFrame:
-    """Calls, tokens and cost by backend and model, with subtotals (null) and the grand total.
+    """Calls, tokens and cost by backend and model, with the totals of each alone (null for the other) and the grand total.
 
     ``calls(backend, model, input_tokens, output_tokens, cache_creation, cache_read, cost)``;
     ``prices(model, price_in, price_out)`` per million tokens fills an unknown cost.
@@ -71,6 +71,6 @@ def usage_totals(calls: DataFrame, prices: DataFrame, default_price: tuple[float
     price_in, price_out = F.coalesce("price_in", F.lit(default_price[0])), F.coalesce("price_out", F.lit(default_price[1]))
     estimate = (F.col("input_tokens") * price_in + F.col("output_tokens") * price_out) / 1e6
     costed = joined.withColumn("cost", F.coalesce("cost", estimate))
-    return costed.rollup("backend", "model").agg(
+    return costed.cube("backend", "model").agg(
         F.count("*").alias("n_calls"), F.sum("input_tokens").alias("input_tokens"), F.sum("output_tokens").alias("output_tokens"),
         F.sum("cache_creation").alias("cache_creation"), F.sum("cache_read").alias("cache_read"), F.sum("cost").alias("cost"))

@@ -203,7 +203,7 @@ def l15(t):
 
 # chains of ten levels
 view("fx_deep_category", """
-SELECT concat('p', CAST(p_partkey AS STRING)) AS id, CASE WHEN p_partkey % 10 <> 1 THEN concat('p', CAST(p_partkey - 1 AS STRING)) END AS parent_id,
+SELECT concat('p', CAST(p_partkey AS STRING)) AS id, CASE WHEN p_partkey % 10 <> 0 THEN concat('p', CAST(p_partkey - 1 AS STRING)) END AS parent_id,
        p_name AS name, p_size AS position FROM {part}""")
 _DEEP = """
 WITH RECURSIVE w AS (SELECT id, id AS ancestor, 0 AS distance FROM fx_deep_category
@@ -492,7 +492,7 @@ SELECT event_type AS backend, concat('m', CAST(user_id % 4 AS STRING)) AS model,
 @query("m7_usage_totals", """
 WITH c AS (SELECT *, coalesce(cost, (input_tokens * CASE model WHEN 'm0' THEN 1 WHEN 'm1' THEN 3 ELSE 2 END + output_tokens * CASE model WHEN 'm0' THEN 5 WHEN 'm1' THEN 15 ELSE 10 END) / 1e6) AS k FROM fx_call)
 SELECT backend, model, count(*) AS n_calls, CAST(sum(input_tokens) AS BIGINT) AS input_tokens, CAST(sum(output_tokens) AS BIGINT) AS output_tokens, CAST(sum(cache_creation) AS BIGINT) AS cache_creation, CAST(sum(cache_read) AS BIGINT) AS cache_read, round(sum(k), 6) AS cost
-FROM c GROUP BY ROLLUP (backend, model)""")
+FROM c GROUP BY CUBE (backend, model)""")
 def m7(t):
     prices = t.region.filter("r_regionkey < 2").select(
         F.concat(F.lit("m"), F.col("r_regionkey").cast("string")).alias("model"), F.when(F.col("r_regionkey") == 0, 1.0).otherwise(3.0).alias("price_in"),

@@ -107,18 +107,18 @@ def j9(t):
 view("fx_bit", """
 SELECT l_orderkey AS page_key, CAST(1 + (l_linenumber - 1) % 3 AS INT) AS kind, CAST(1 + floor((l_linenumber - 1) / 3.0) AS INT) AS rank, max(l_tax * 10) AS ratio
 FROM {lineitem} GROUP BY 1, 2, 3""")
-view("fx_known_code", "SELECT DISTINCT s_suppkey % 4 AS copy, (s_suppkey + 1) % 4 AS page, s_suppkey % 3 AS checksum FROM {supplier}")
+view("fx_known_code", "SELECT DISTINCT s_suppkey % 8 AS copy, (s_suppkey + 1) % 4 AS page, s_suppkey % 3 AS checksum FROM {supplier}")
 view("fx_tw_code", """
 WITH s AS (SELECT page_key, ratio, row_number() OVER w AS rn, lead(ratio) OVER w AS nx FROM {fx_bit} WINDOW w AS (PARTITION BY page_key ORDER BY ratio DESC)),
 g AS (SELECT page_key, ratio - nx AS gap, (ratio + nx) / 2 AS mid FROM (SELECT *, row_number() OVER (PARTITION BY page_key ORDER BY ratio - nx DESC, rn) AS k FROM s WHERE nx IS NOT NULL AND ratio > nx) WHERE k = 1),
 b AS (SELECT b.*, CASE WHEN g.gap >= 0.15::DOUBLE THEN g.mid ELSE 0.5 END AS thr FROM {fx_bit} b LEFT JOIN g ON g.page_key = b.page_key)
-SELECT page_key, CAST(sum(CASE WHEN ratio > thr THEN 1 << (2 - rank) ELSE 0 END) FILTER (kind = 1) AS BIGINT) AS copy, CAST(sum(CASE WHEN ratio > thr THEN 1 << (2 - rank) ELSE 0 END) FILTER (kind = 2) AS BIGINT) AS page,
-  CAST(sum(CASE WHEN ratio > thr THEN 1 << (2 - rank) ELSE 0 END) FILTER (kind = 3) AS BIGINT) AS checksum FROM b GROUP BY 1
+SELECT page_key, CAST(sum(CASE WHEN ratio > thr THEN 1 << (3 - rank) ELSE 0 END) FILTER (kind = 1) AS BIGINT) AS copy, CAST(sum(CASE WHEN ratio > thr THEN 1 << greatest(0, 2 - rank) ELSE 0 END) FILTER (kind = 2) AS BIGINT) AS page,
+  CAST(sum(CASE WHEN ratio > thr THEN 1 << greatest(0, 2 - rank) ELSE 0 END) FILTER (kind = 3) AS BIGINT) AS checksum FROM b GROUP BY 1
 HAVING count(*) FILTER (kind = 1) > 0 AND count(*) FILTER (kind = 2) > 0 AND count(*) FILTER (kind = 3) > 0""")
 
 
 def _codes(t):
-    return cells.decode_page_codes(t.fx_bit, {1: 2, 2: 2, 3: 2})
+    return cells.decode_page_codes(t.fx_bit, {1: 3, 2: 2, 3: 2})
 
 
 @query("j10_decode_page_codes", """

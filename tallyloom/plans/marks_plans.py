@@ -154,8 +154,8 @@ def exam_copies(t):
     joined = linked.join(totals, "copy_key").join(who, "matched_id", "left")
     return joined.select(
         "batch", "page", F.coalesce("matched_id", F.lit("")).alias("id"), F.coalesce("name", F.lit("?")).alias("name"),
-        F.coalesce("email", F.lit("")).alias("email"), F.col("student_id").alias("id_read"), F.round("total", 2).alias("raw"),
-        F.round("total", 2).alias("mark"), F.array_contains("flags", "validated").alias("validated"), "flags", "copy_key")
+        F.coalesce("email", F.lit("")).alias("email"), F.col("student_id").alias("id_read"), F.bround("total", 2).alias("raw"),
+        F.bround("total", 2).alias("mark"), F.array_contains("flags", "validated").alias("validated"), "flags", "copy_key")
 
 
 def exam_rows(t):
@@ -166,7 +166,7 @@ def exam_rows(t):
 
 view("fx_tw_rows", """
 SELECT l.batch, l.page, coalesce(l.matched_id, '') AS id, CASE WHEN r.id IS NULL THEN '?' ELSE r.nom || ' ' || r.prenom END AS name, coalesce(r.email, '') AS email, l.student_id AS id_read,
-  round(s.total, 2) AS raw, contains(flag_text, 'validated') AS validated, flag_text AS flags, false AS absent
+  round_even(s.total, 2) AS raw, contains(flag_text, 'validated') AS validated, flag_text AS flags, false AS absent
 FROM {fx_tw_link} l JOIN {fx_tw_total} s ON s.copy_key = l.copy_key LEFT JOIN {fx_roster} r ON r.id = l.matched_id
 UNION ALL SELECT '', NULL, id, nom || ' ' || prenom, email, '', NULL, NULL, 'absent', true FROM {fx_roster}
  WHERE id NOT IN (SELECT matched_id FROM {fx_tw_link} WHERE matched_id IS NOT NULL)""")
@@ -255,8 +255,8 @@ def f7(t):
 
 
 @query("f8_scatter", """
-SELECT id, round(max(mark) FILTER (key = 'F'), 3) AS "F", round(max(mark) FILTER (key = 'O'), 3) AS "O", round(max(mark) FILTER (key = 'P'), 3) AS "P",
-  round(least(sum(weight * mark) / sum(weight), 20.0::DOUBLE), 3) AS final FROM fx_tw_marks GROUP BY 1""")
+SELECT id, round_even(max(mark) FILTER (key = 'F'), 3) AS "F", round_even(max(mark) FILTER (key = 'O'), 3) AS "O", round_even(max(mark) FILTER (key = 'P'), 3) AS "P",
+  round_even(least(sum(weight * mark) / sum(weight), 20.0::DOUBLE), 3) AS final FROM fx_tw_marks GROUP BY 1""")
 def f8(t):
     return marks.scatter(_marks(t), ["F", "O", "P"], 20.0)
 
@@ -328,7 +328,7 @@ SELECT m.*, least(m.raw / 20.0::DOUBLE, 1.0::DOUBLE) * CASE WHEN m.key = 'P' THE
 view("fx_tw_table", """
 SELECT p.id, p.name, p.email, p.n_ids, coalesce(n.n_columns, 0) AS n_columns, n.final, coalesce(a.absent_in, '') AS absent_in FROM (
  SELECT canonical AS id, coalesce(arg_min(name, place) FILTER (name NOT IN ('', '?')), arg_min(name, place)) AS name, coalesce(arg_min(email, place) FILTER (email <> ''), '') AS email, count(*) AS n_ids FROM {fx_tw_canon} GROUP BY 1) p
-LEFT JOIN (SELECT id, count(*) AS n_columns, round(least(sum(weight * note) / sum(weight), 25.0::DOUBLE), 2) AS final FROM {fx_tw_notes} GROUP BY 1) n ON n.id = p.id
+LEFT JOIN (SELECT id, count(*) AS n_columns, round_even(least(sum(weight * note) / sum(weight), 25.0::DOUBLE), 2) AS final FROM {fx_tw_notes} GROUP BY 1) n ON n.id = p.id
 LEFT JOIN (SELECT c.canonical AS id, string_agg(DISTINCT m.path, ';' ORDER BY m.path) AS absent_in FROM {fx_member} m JOIN {fx_tw_canon} c ON c.id = m.id WHERE m.absent GROUP BY 1) a ON a.id = p.id""")
 
 
@@ -402,7 +402,7 @@ SELECT t.id AS id_canonique, name AS nom_prenom, email AS courriel, {cells},
   coalesce(CAST(final AS VARCHAR), '') AS note_finale, absent_in AS absent_de
 FROM fx_tw_table t LEFT JOIN (SELECT id, max(raw) FILTER (key = 'F') AS rf, max(note) FILTER (key = 'F') AS nf, max(raw) FILTER (key = 'O') AS ro, max(note) FILTER (key = 'O') AS no,
   max(raw) FILTER (key = 'P') AS rp, max(note) FILTER (key = 'P') AS np FROM fx_tw_notes GROUP BY 1) n ON n.id = t.id""".replace("{cells}", ", ".join(
-    f"coalesce(CAST(round({p}{k.lower()}, {d}) AS VARCHAR), CASE WHEN contains(absent_in, '{k}') THEN 'ABS' ELSE '' END) AS \"{k}{s}\""
+    f"coalesce(CAST(round_even({p}{k.lower()}, {d}) AS VARCHAR), CASE WHEN contains(absent_in, '{k}') THEN 'ABS' ELSE '' END) AS \"{k}{s}\""
     for k in "FOP" for p, d, s in (("r", 2, "_brut"), ("n", 3, ""))))
 
 
@@ -429,7 +429,7 @@ def g9(t):
     return out.select(*[F.round(c, 6).alias(c) if c in ("mean", "variance", "std") else c for c in out.columns])
 
 
-@query("g10_calibration_series", "SELECT id, key, round(note, 3) AS mark FROM fx_tw_notes")
+@query("g10_calibration_series", "SELECT id, key, round_even(note, 3) AS mark FROM fx_tw_notes")
 def g10(t):
     return cohort.calibration_series(cohort.cohort_marks(t.fx_member, _joint_columns(t)))
 
