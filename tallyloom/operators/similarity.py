@@ -3,8 +3,10 @@
 The ratio cannot exceed 2*m/(la+lb), m being the number of characters two names have in
 common (with repeats). A pair can reach the cutoff only if m is large enough, so names are
 turned into (character, occurrence) tokens, sorted rarest first, and only the head of each
-list needs to share a token (the classical prefix filter). The filter loses no pair; the
-exact ratio is then computed on the survivors, in Arrow batches, on distinct names only.
+list needs to share a token (the classical prefix filter). The edit distance bounds the ratio too,
+as a common part of m characters leaves at least la+lb-2*m edits. Neither filter loses a pair; the
+exact ratio is then computed on the survivors, in Arrow batches, on distinct names only. Best matches
+are looked for from a high cutoff downwards, and only reads that still lack matches go on.
 """
 
 from __future__ import annotations
@@ -19,8 +21,10 @@ from pyspark.sql import types as T
 from tallyloom.functions.text import norm_name
 from tallyloom.session import durable
 
-# Fixed value: letters of normalised names from rare to frequent; only speed depends on it.
+# Tuning constant: letters of normalised names from rare to frequent; only speed depends on it.
 RARITY = "kwxyzjqfvbhgpmcdulotrnisae "
+# Tuning constants: cutoffs tried before a lower one; results do not depend on them.
+LEVELS = (0.9, 0.8, 0.7, 0.6, 0.5)
 
 
 def ratio(left: str, right: str):
@@ -57,36 +61,52 @@ def _prepare(names: DataFrame, column: str, cutoff: float, tag: str) -> DataFram
         .withColumn(f"{tag}_head", F.slice(f"{tag}_tok", F.lit(1), (length - needed + 1).cast("int")))
 
 
-def similar_pairs(reads: DataFrame, known: DataFrame, cutoff: float) -> DataFrame:
-    """``(read, known, rank_score)`` for the pairs of distinct normalised names at or above ``cutoff``."""
+def candidate_pairs(reads: DataFrame, known: DataFrame, cutoff: float) -> DataFrame:
+    """``(read, known)``: the pairs of distinct normalised names whose bounds allow the cutoff."""
     a = _prepare(reads.select("read").filter("read <> ''").distinct(), "read", cutoff, "a")
     b = _prepare(known.select("known").filter("known <> ''").distinct(), "known", cutoff, "b")
-    # the admissible lengths join by equality too: a frequent token is split by length
+    # the admissible lengths join by equality too: a frequent token is split by length, and what is still large by the engine
     low = F.ceil(F.col("a_len") * F.lit(cutoff / (2 - cutoff)) - 1e-9).cast("int")
     high = F.floor(F.col("a_len") * F.lit((2 - cutoff) / cutoff) + 1e-9).cast("int")
     a = a.withColumn("tok", F.explode("a_head")).withColumn("b_len", F.explode(F.sequence(F.greatest(low, F.lit(1)), high)))
     b = b.withColumn("tok", F.explode("b_head"))
-    # few bytes but much work per row: a fixed number of partitions, which the join then reuses
-    parts = int(a.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    a = a.repartition(parts, "tok", "b_len")
     pairs = a.join(b, ["tok", "b_len"])
-    # keep a pair only at its first shared token, then the character bound
+    # keep a pair only at its first shared token, then the bounds
     first = F.get(F.array_intersect("a_head", "b_head"), F.lit(0))
-    enough = F.size(F.array_intersect("a_tok", "b_tok")) >= (F.col("a_len") + F.col("b_len")) * F.lit(cutoff / 2) - 1e-9
-    pairs = pairs.filter((F.col("tok") == first) & enough).select(F.col("a_name").alias("read"), F.col("b_name").alias("known"))
-    # spread evenly again for the scoring, whatever token brought the pairs together
-    pairs = pairs.repartition(parts, "read", "known")
+    both = F.col("a_len") + F.col("b_len")
+    enough = F.size(F.array_intersect("a_tok", "b_tok")) >= both * F.lit(cutoff / 2) - 1e-9
+    close = F.levenshtein("a_name", "b_name") <= both * F.lit(1 - cutoff) + 1e-9
+    return pairs.filter((F.col("tok") == first) & enough).filter(close).select(F.col("a_name").alias("read"), F.col("b_name").alias("known"))
+
+
+def similar_pairs(reads: DataFrame, known: DataFrame, cutoff: float) -> DataFrame:
+    """``(read, known, rank_score)`` for the pairs of distinct normalised names at or above ``cutoff``."""
+    # pairs are distinct, so they spread evenly for the scoring, whatever token brought them together
+    parts = int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pairs = candidate_pairs(reads, known, cutoff).repartition(parts, "read", "known")
     return pairs.withColumn("rank_score", ratio("known", "read")).filter(F.col("rank_score") >= cutoff)
 
 
 def closest(reads: DataFrame, known: DataFrame, n: int, cutoff: float) -> DataFrame:
-    """The ``n`` best known names of each distinct read name, ties to the larger text."""
+    """The ``n`` best known names of each distinct read name, ties to the larger text.
+
+    All pairs above a level are known when it is done, so ``n`` matches above it are final.
+    """
     # the rank limit is applied before the shuffle too, so a popular read keeps n rows per task
     order = Window.partitionBy("read").orderBy(F.desc("rank_score"), F.desc("known"))
-    pairs = similar_pairs(reads, known, cutoff)
-    best = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+    left, found = reads.select("read").distinct(), None
+    for level in [c for c in LEVELS if c > cutoff] + [cutoff]:
+        best = similar_pairs(left, known, level).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
+        if level > cutoff:
+            best = durable(best)
+            done = best.filter(F.col("rank") == n).select("read")
+            left = durable(left.join(done, "read", "left_anti"))
+            best = best.join(done, "read", "left_semi")
+        found = best if found is None else found.unionByName(best)
+        if level > cutoff and left.isEmpty():
+            break
     # the reported score is measured the other way round, on the kept pairs only
-    return best.withColumn("score", ratio("read", "known"))
+    return found.withColumn("score", ratio("read", "known"))
 
 
 def by_name(raws: DataFrame, index: DataFrame, cutoff: float = 0.7) -> DataFrame:
@@ -113,8 +133,10 @@ def by_edit_distance(raws: DataFrame, index: DataFrame, limit: int) -> DataFrame
     """``(raw, id, distance)``: closest name within ``limit`` edits, all in the JVM.
 
     Deleting up to ``limit`` characters of both names must give a common text, so deletion
-    variants join by equality. Practical for one or two edits.
+    variants join by equality. Their number grows with the length to the power of ``limit``, so more than two edits are refused.
     """
+    if not 0 <= limit <= 2:
+        raise ValueError("at most two edits")
     named = durable(raws.select("raw").distinct().withColumn("read", norm_name("raw")).filter("read <> ''"))
     index = durable(index.select("norm", "id"))
     a = _deletions(named.select(F.col("read").alias("name")).distinct(), limit)

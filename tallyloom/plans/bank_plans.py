@@ -324,14 +324,14 @@ def l21_refused(t):
 
 
 def _assign(t, remove):
-    asked = t.lineitem.filter("l_returnflag = 'A'").select(
+    asked = t.lineitem.select(
         F.when(F.col("l_linenumber") == 1, "none").otherwise(F.col("l_partkey").cast("string")).alias("bank_id"),
         F.when(F.col("l_linenumber") == 2, "zz").otherwise(F.concat(F.lit("s"), F.col("l_suppkey").cast("string"))).alias("category_id"))
     return tree.assign_category(t.fx_question_category, t.fx_bank, t.fx_category, asked, remove, check_ids=False)
 
 
 _ASSIGN = """
-WITH a AS (SELECT DISTINCT CASE WHEN l_linenumber = 1 THEN 'none' ELSE CAST(l_partkey AS VARCHAR) END AS bank_id, CASE WHEN l_linenumber = 2 THEN 'zz' ELSE 's' || CAST(l_suppkey AS VARCHAR) END AS category_id FROM lineitem WHERE l_returnflag = 'A'),
+WITH a AS (SELECT DISTINCT CASE WHEN l_linenumber = 1 THEN 'none' ELSE CAST(l_partkey AS VARCHAR) END AS bank_id, CASE WHEN l_linenumber = 2 THEN 'zz' ELSE 's' || CAST(l_suppkey AS VARCHAR) END AS category_id FROM lineitem),
 j AS (SELECT a.*, l.bank_id IS NOT NULL AS held, c.id IS NULL AS nocat, b.bank_id IS NULL AS noq FROM a LEFT JOIN fx_question_category l ON l.bank_id = a.bank_id AND l.category_id = a.category_id LEFT JOIN fx_category c ON c.id = a.category_id LEFT JOIN fx_bank b ON b.bank_id = a.bank_id) """
 
 

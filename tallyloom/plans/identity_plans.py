@@ -245,7 +245,11 @@ def d16(t):
 
 @query("d16_resolve_by_name")
 def d16_names(t):
-    copies = t.fx_copy.withColumn("student_name", F.concat(F.lit("Custoner "), F.initcap(F.substring("batch", 1, 1)), F.lit(" machinery")))
+    """Every copy bears the name of its own student with one letter lost; thousands of distinct names on each side."""
+    people = t.fx_roster.select("id", F.concat("nom", F.lit(" "), "prenom").alias("full"))
+    place = 1 + F.col("copy_key") % F.length("full")
+    worn = F.concat(F.substring("full", F.lit(1), place.cast("int") - 1), F.substring("full", place.cast("int") + 1, F.length("full")))
+    copies = t.fx_copy.join(people.withColumnRenamed("id", "true_id"), "true_id").withColumn("student_name", worn).drop("full")
     names = similarity.by_name(copies.select(F.col("student_name").alias("raw")), roster.name_index(t.fx_roster))
     return identity.resolve(copies, t.fx_roster, names).select("copy_key", "matched_id", "method", "match_score")
 

@@ -74,7 +74,7 @@ UNION ALL SELECT concat('s', CAST(s_suppkey AS STRING)), concat('n', CAST(s_nati
 
 view("fx_question_category", """
 SELECT DISTINCT CAST(l_partkey AS STRING) AS bank_id, concat('s', CAST(l_suppkey AS STRING)) AS category_id
-FROM {lineitem} WHERE l_returnflag = 'R'""")
+FROM {lineitem}""")
 
 view("fx_eval", """
 SELECT l_partkey AS question_id, l_suppkey AS user_id, l_returnflag AS project_name, count(*) AS n_eval,
@@ -89,11 +89,11 @@ FROM {events} GROUP BY 1, 2""")
 
 view("fx_edit", """
 SELECT ts, event_id, user_id AS copy_key, CAST(1 + event_id % 7 AS INT) AS q,
-       substr('ABCD', CAST(floor(value) AS INT) % 4 + 1, 1) AS ch
-FROM {events} WHERE event_type = 'click' AND value >= 0""")
+       substr('ABCD', CAST(floor(abs(value)) AS INT) % 4 + 1, 1) AS ch
+FROM {events} WHERE event_type = 'click'""")
 
 view("fx_free_answer", """
-SELECT conv_id, turn, text AS answer FROM {conversations} WHERE role = 'user'""")
+SELECT conv_id, turn, text AS answer FROM {conversations}""")
 
 view("fx_intensity", """
 SELECT vec_id AS cell_key, embedding AS pixels FROM {embeddings}""")

@@ -107,3 +107,22 @@ def test_wildcards_keep_everybody_when_nothing_matches(spark):
     reads = spark.createDataFrame([("302?",), ("?9?9",), ("88?8",), ("?2??",)], "student_id string")
     got = {r["student_id"]: (r["n_candidates"], r["first_id"]) for r in identity.narrow(reads, people).collect()}
     assert got == {"302?": (2, "13022"), "?9?9": (1, "14999"), "88?8": (3, "13022"), "?2??": (3, "13022")}
+
+
+def test_few_pairs_reach_the_ratio(spark, monkeypatch):
+    """The bounds and the levels leave a small share of all pairs, at both cutoffs."""
+    from tallyloom.plans import Tables
+    t, seen, plain = Tables(spark, "/root/testdata/sf0.001"), [], similarity.candidate_pairs
+
+    def counted(reads, known, cutoff):
+        pairs = plain(reads, known, cutoff)
+        seen.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(similarity, "candidate_pairs", counted)
+    index = roster.name_index(t.fx_name_roster)
+    total = t.fx_name_read.select("raw").distinct().count() * index.select("norm").distinct().count()
+    for operator, share in ((similarity.by_name, 0.04), (similarity.candidates, 0.5)):
+        seen.clear()
+        operator(t.fx_name_read, index).count()
+        assert sum(seen) <= share * total
