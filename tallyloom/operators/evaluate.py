@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -181,13 +183,14 @@ def flag_bands(decided: DataFrame) -> DataFrame:
     return decided.agg(*counts).select("n_errors", "n", F.explode(rows).alias("r")).select("r.band", "r.n_caught", "r.n_flagged", "n_errors", "n")
 
 
-def error_nature(decided: DataFrame, n_examples: int = 12) -> dict[str, DataFrame]:
-    """False positives and negatives, with the first examples of each."""
-    wrong = decided.filter(F.col("label") != F.col("prediction")).withColumn("kind", F.when(F.col("prediction") == 1, "FP").otherwise("FN"))
+def error_nature(decided: dict[str, DataFrame], n_examples: int = 12) -> dict[str, DataFrame]:
+    """False positives and negatives of each measure's decisions, with the first examples of each."""
+    rows = [own.select(F.lit(measure).alias("measure"), "copy_key", "q", "ch", "label", "prediction") for measure, own in decided.items()]
+    wrong = reduce(DataFrame.unionByName, rows).filter(F.col("label") != F.col("prediction")).withColumn("kind", F.when(F.col("prediction") == 1, "FP").otherwise("FN"))
     # the rank limit also runs before the shuffle: each task sends the examples only
-    first = Window.partitionBy("kind").orderBy("q", "ch", "copy_key")
-    examples = wrong.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= n_examples).select("kind", "rank", "q", "ch", "copy_key")
-    return {"counts": wrong.groupBy("kind").agg(F.count("*").alias("n")), "examples": examples}
+    first = Window.partitionBy("measure", "kind").orderBy("q", "ch", "copy_key")
+    examples = wrong.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= n_examples).select("measure", "kind", "rank", "q", "ch", "copy_key")
+    return {"counts": wrong.groupBy("measure", "kind").agg(F.count("*").alias("n")), "examples": examples}
 
 
 def flag_strategies(new: DataFrame, old: DataFrame, questions: DataFrame) -> DataFrame:

@@ -122,6 +122,12 @@ def id_match_report(raws: DataFrame, students: DataFrame) -> DataFrame:
         F.count("student_id").alias("n_matched"), F.count_if(F.col("student_id").isNull()).alias("n_unmatched"))
 
 
+def id_match_problems(raws: DataFrame, students: DataFrame) -> DataFrame:
+    """``(path, row_no, raw)`` of the non-blank cells of a number column that name no student."""
+    rows = raws.filter(strip(F.col("raw")) != "")
+    return rows.join(resolve_ids(rows, students).select("raw"), "raw", "left_anti").select("path", "row_no", "raw")
+
+
 def upsert_grade_files(old: DataFrame, new: DataFrame) -> DataFrame:
     """Column settings after (re)adding files: replaced by path, old parameters kept by index.
 

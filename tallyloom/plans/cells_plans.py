@@ -385,16 +385,24 @@ def k16(t):
     return evaluate.flag_bands(_against(t, "masked"))
 
 
-@query("k17_error_nature", "SELECT CASE WHEN prediction = 1 THEN 'FP' ELSE 'FN' END AS kind, count(*) AS n FROM fx_tw_dec_new WHERE label <> prediction GROUP BY 1")
+_WRONG = """
+WITH e AS (SELECT 'masked' AS measure, * FROM (SELECT copy_key, q, ch, label, prediction FROM fx_tw_dec_new) UNION ALL SELECT 'ratio', * FROM (SELECT copy_key, q, ch, label, prediction FROM fx_tw_dec_old)),
+w AS (SELECT *, CASE WHEN prediction = 1 THEN 'FP' ELSE 'FN' END AS kind FROM e WHERE label <> prediction)"""
+
+
+def _natures(t):
+    return evaluate.error_nature({measure: _against(t, measure) for measure in ("masked", "ratio")})
+
+
+@query("k17_error_nature", f"{_WRONG.strip()} SELECT measure, kind, count(*) AS n FROM w GROUP BY 1, 2")
 def k17(t):
-    return evaluate.error_nature(_against(t, "masked"))["counts"]
+    return _natures(t)["counts"]
 
 
-@query("k17_error_examples", """
-SELECT kind, CAST(rank AS INT) AS rank, q, ch, copy_key FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY q, ch, copy_key) AS rank FROM (
- SELECT *, CASE WHEN prediction = 1 THEN 'FP' ELSE 'FN' END AS kind FROM fx_tw_dec_new WHERE label <> prediction)) WHERE rank <= 12""")
+@query("k17_error_examples", f"""{_WRONG.strip()}
+SELECT measure, kind, CAST(rank AS INT) AS rank, q, ch, copy_key FROM (SELECT *, row_number() OVER (PARTITION BY measure, kind ORDER BY q, ch, copy_key) AS rank FROM w) WHERE rank <= 12""")
 def k17_examples(t):
-    return evaluate.error_nature(_against(t, "masked"))["examples"]
+    return _natures(t)["examples"]
 
 
 @query("k18_flag_strategies", """

@@ -89,6 +89,11 @@ def e5_id(t):
     return imports.id_match_report(table(t).select("path", F.get("cells", F.lit(0)).alias("raw")), t.fx_roster)
 
 
+@query("e5_id_match_problems", "SELECT path, row_no, raw FROM fx_tw_import WHERE student_id IS NULL AND trim(raw) <> ''")
+def e5_id_problems(t):
+    return imports.id_match_problems(table(t).select("path", "row_no", F.get("cells", F.lit(0)).alias("raw")), t.fx_roster)
+
+
 def _name_report(t):
     raws = t.fx_name_read.select(F.lit("list").alias("path"), F.col("copy_key").alias("row_no"), "raw")
     ruled = t.part.filter("p_partkey % 20 = 0").select(
