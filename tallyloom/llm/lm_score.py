@@ -3,8 +3,8 @@
 A text is a sequence of tokens: its words, then one end. The model predicts the sequence byte by byte (words with a blank after
 each, then a line end), every byte as the binary decisions of a Huffman code. Several predictors hash a context (three and
 five bytes, the word so far, the word so far after the word before) and the node of the code to a slot with counts
-of both outcomes. Their log odds are combined by weights that a gate selects, the gate being which of the longer contexts
-have been seen; within a text the weights are refined after each block of decisions, so the total is a probability.
+of both outcomes. Their log odds are combined by weights that a gate selects, the gate being how surely the longer contexts
+speak, or whether they are new; within a text the weights are refined after each block of decisions, so the total is a probability.
 
 All training texts are counted. Tables of counts have a fixed number of slots; the tables of tasks are added up by a tree of
 bounded groups, and what the scoring tasks get is one byte a slot. The weights are learnt on a share of the
