@@ -34,6 +34,7 @@ from tallyloom.session import durable
 
 END = b"\n"
 PAD = 5  # bytes before a text, so that no context reaches into another
+CHUNK = 2 << 20  # bytes of texts of a batch that are in work at once
 SEGMENT = 256 << 10  # bytes of a text that are in work at once; contexts go on across segments
 GROUP = 32 << 10  # bytes of short texts that are in work at once
 PREDICTORS = 4
@@ -58,7 +59,7 @@ class Settings:
     first_block: decisions before the first refinement (blocks double); inertia: how firmly a text's weights stay; bytes_per_table:
     text of one counting task at least while no core would be idle, as its table has a fixed size."""
 
-    table_bits: tuple[int, ...] = (21, 22, 23, 23)
+    table_bits: tuple[int, ...] = (20, 22, 23, 23)
     calibration: int = 16
     first_block: int = 512
     inertia: float = 20_000.0
@@ -240,16 +241,14 @@ def mixed(found: Decisions, tables: list[np.ndarray], weights: np.ndarray, setti
     for start, end in zip(found.begins[:-1].tolist(), found.begins[1:].tolist(), strict=True):
         total, size, at = 0.0, settings.first_block, start
         own = np.zeros(PREDICTORS, np.float32)
-        firm = np.full(PREDICTORS, settings.inertia, np.float32)
         while at < end:
             stop = min(at + size, end)
             block = odds[:, at:stop]
             p = certain(fixed[at:stop] + own @ block if at > start else fixed[at:stop].copy())
             error = bits[at:stop] - p
-            total += float(np.log1p(-np.abs(error)).sum(dtype=np.float64))
+            total += float(np.log(1 - np.abs(error)).sum(dtype=np.float64))
             if stop < end:
-                firm += (block * block) @ (p * (1 - p))
-                own += (block @ error) / firm
+                own += (block @ error) / np.float32(settings.inertia + stop - start)
             at, size = stop, 2 * size
         out.append(total)
     return out
@@ -275,12 +274,15 @@ class Weights:
         p = certain((self.weights[gates].T * odds).sum(axis=0))
         self.shared_curvature += (odds * (p * (1 - p))) @ odds.T
         self.shared += np.linalg.solve(self.shared_curvature, odds @ (bits - p))
-        for gate in np.unique(gates):
-            at = gates == gate
-            own = odds[:, at]
-            p = certain((self.shared + self.own[gate]) @ own)
-            self.curvature[gate] += (own * (p * (1 - p))) @ own.T
-            self.own[gate] += np.linalg.solve(self.curvature[gate], own @ (bits[at] - p))
+        order = np.argsort(gates, kind="stable")
+        odds, bits = odds[:, order], bits[order]
+        ends = np.cumsum(np.bincount(gates, minlength=GATES))
+        for gate, (start, end) in enumerate(zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)):
+            if end > start:
+                own = odds[:, start:end]
+                p = certain((self.shared + self.own[gate]) @ own)
+                self.curvature[gate] += (own * (p * (1 - p))) @ own.T
+                self.own[gate] += np.linalg.solve(self.curvature[gate], own @ (bits[start:end] - p))
         self.seen += len(bits)
 
 
@@ -384,7 +386,7 @@ def token_counts(training: DataFrame, buckets: int) -> DataFrame:
 
     def count(batches):
         for whole in batches:
-            for batch in chunks(whole, "doc_text"):
+            for batch in chunks(whole, "doc_text", CHUNK):
                 texts = [words_of(t or "") for t in batch.column(0).to_pylist()]
                 found, n = np.unique(np.concatenate([hashes_of(w) for w in texts] + [np.full(len(texts), END_HASH, np.uint64)]), return_counts=True)
                 rows = [(b, found[at].tobytes(), n[at].astype(np.int64).tobytes()) for b, at in by_bucket(found, buckets)]
@@ -408,7 +410,7 @@ def histogram_of(training: DataFrame) -> np.ndarray:
     def count(batches):
         total = np.zeros(256, np.int64)
         for whole in batches:
-            for batch in chunks(whole, "doc_text"):
+            for batch in chunks(whole, "doc_text", CHUNK):
                 texts = batch.column(0).to_pylist()
                 total += np.bincount(np.frombuffer("".join(t or "" for t in texts).encode("utf-8").lower(), np.uint8), minlength=256)
                 total[0x0A] += len(texts)
@@ -430,7 +432,7 @@ def counted(texts: DataFrame, code: Code, settings: Settings, parts: int) -> Dat
     def run(batches):
         own = SlotCounts(settings.table_bits)
         for whole in batches:
-            for batch in chunks(whole, "doc_text"):
+            for batch in chunks(whole, "doc_text", CHUNK):
                 for _, units in groups_of_texts([t or "" for t in batch.column(0).to_pylist()]):
                     own.add(decisions(units, code, settings.table_bits))
         for row in own.rows(TaskContext.get().partitionId()):
@@ -445,7 +447,7 @@ def learnt(texts: DataFrame, code: Code, tables, settings: Settings) -> np.ndarr
     def run(batches):
         own = Weights()
         for whole in batches:
-            for batch in chunks(whole, "doc_text"):
+            for batch in chunks(whole, "doc_text", CHUNK):
                 for _, units in groups_of_texts([t or "" for t in batch.column(0).to_pylist()]):
                     own.learn(decisions(units, code, settings.table_bits), tables.value)
         place = np.arange(GATES * PREDICTORS, dtype=np.int32)
@@ -476,7 +478,7 @@ def scored(table: DataFrame, key: str, buckets: int, code: Code, tables, weights
     def run(batches):
         chunk = TaskContext.get().partitionId() << 33
         for whole in batches:
-            for batch in chunks(whole, "doc_text"):
+            for batch in chunks(whole, "doc_text", CHUNK):
                 texts = [words_of(t or "") for t in batch.column(0).to_pylist()]
                 logs, sizes = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
                 for owners, units in groups_of((i, lead, own) for i, words in enumerate(texts) for lead, own in units_of(words)):
