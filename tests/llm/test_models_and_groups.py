@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tallyloom.llm import ann, lm_score, quality, queries, simhash
+from tallyloom.llm import ann, jaccard, lm_score, quality, queries, simhash
 
 FOLDER = "/root/testdata/sf0.001"
 REPO = Path(__file__).resolve().parents[2]
@@ -94,6 +94,48 @@ def test_one_of_each_group_stays(spark):
     assert simhash.keep_one(frame(spark, [])).count() == 0 and simhash.near_duplicates(frame(spark, [])).count() == 0
 
 
+def brute_kept(docs, n=5):
+    sets = {}
+    for i, t in docs:
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        sets[i] = {" ".join(words[k:k + n]) for k in range(max(1, len(words) - n + 1))} if words else set()
+    left, kept = sorted(sets), []
+    while left:
+        kept.append(left[0])
+        todo = [left.pop(0)]
+        while todo:
+            a = sets[todo.pop()]
+            near = [i for i in left if a == sets[i] or 5 * len(a & sets[i]) >= 4 * len(a | sets[i]) > 0]
+            left = [i for i in left if i not in near]
+            todo += near
+    return kept
+
+
+@pytest.mark.parametrize("most_common", [0, 200_000])
+def test_the_stage_keeps_one_of_each_group_at_a_similarity_of_four_fifths(spark, monkeypatch, most_common):
+    import corpus_pipeline
+
+    monkeypatch.setattr(jaccard, "MOST_COMMON", most_common)
+    rng = np.random.default_rng(7)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
+    for family in range(12):
+        base = rng.choice(vocabulary, int(rng.integers(60, 400))).tolist()
+        for _ in range(6):  # some pairs just above, some just below, some only through a third
+            base = [w if rng.random() > rng.choice([0.005, 0.02, 0.03]) else str(rng.choice(vocabulary)) for w in base]
+            docs.append((10_000 + len(docs), " ".join(base)))
+    docs += [(30_000, ""), (30_001, None), (30_002, "One two"), (30_003, "one  TWO"), (30_004, "one")]
+    kept = corpus_pipeline.near_duplicates(spark, frame(spark, docs), FOLDER)
+    assert sorted(r.doc_id for r in kept.collect()) == brute_kept(docs)
+
+
+def test_one_of_each_similar_group_stays(spark):
+    rows = [(5, "same text here", 1), (3, "Same text here", 2), (3, "same TEXT here", 3), (3, "third text of this key", 8), (9, "other words altogether", 4), (None, "same text here", 5), (None, "lonely row of words", 6), (None, "lonely row of words", 7)]
+    kept = jaccard.keep_one(frame(spark, rows, "doc_id long, text string, fp int")).collect()
+    assert sorted((r.doc_id or 0, r.text.lower()) for r in kept) == [(0, "lonely row of words"), (3, "same text here"), (3, "third text of this key"), (9, "other words altogether")]
+    assert jaccard.keep_one(frame(spark, [])).count() == 0
+
+
 # ---- neighbours
 
 
