@@ -277,9 +277,9 @@ def k5(t):
 
 @query("k6_train_and_predict")
 def k6(t):
-    data = _training(t)
-    fitted = model.train(data, FEATURES, max_iter=10)
-    return model.predict(fitted, data, FEATURES).select("copy_key", "q", "ch", "label", "proba", "prediction")
+    split = evaluate.split_by_copy(_training(t))
+    fitted = model.train(split.filter("NOT is_test"), FEATURES)
+    return model.predict(fitted, split.filter("is_test"), FEATURES).select("copy_key", "q", "ch", "label", "proba", "prediction")
 
 
 FEATURES = ["ratio", "masked", "ratio_minus_q_median", "ratio_minus_copy_baseline", "ratio_above_threshold"]
@@ -294,7 +294,7 @@ def _training(t):
 def k7(t):
     data = _training(t)
     split = evaluate.split_by_copy(data)
-    fitted = model.train(split.filter("NOT is_test"), FEATURES, max_iter=10)
+    fitted = model.train(split.filter("NOT is_test"), FEATURES)
     return evaluate.evaluate(model.predict(fitted, split.filter("is_test"), FEATURES))
 
 
@@ -318,7 +318,7 @@ def k10(t):
 
 @query("k10_cross_validate")
 def k10_scores(t):
-    return model.cross_validation_summary(model.cross_validate(_training(t), FEATURES, k=5, max_iter=3))
+    return model.cross_validation_summary(model.cross_validate(_training(t), FEATURES, k=5))
 
 
 view("fx_tw_bench", """
@@ -479,6 +479,6 @@ def k21(t):
 
 @query("k22_permutation_importance")
 def k22(t):
-    data = _training(t)
-    fitted = model.train(data, FEATURES, max_iter=3)
-    return model.permutation_importance(fitted, data, FEATURES)
+    split = evaluate.split_by_copy(_training(t))
+    fitted = model.train(split.filter("NOT is_test"), FEATURES)
+    return model.permutation_importance(fitted, split.filter("is_test"), FEATURES)

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.functions import answers, numbers, text
@@ -126,3 +127,31 @@ def test_unlinked_copies_are_counted_apart(spark):
     rows = spark.createDataFrame([("a", 0, 1, "", "?", "", 1.0, False), ("a", 0, 2, "11", "X", "", 2.0, False), ("b", 1, 1, "", "?", "", None, True)],
                                  "path string, exam_ord long, ord long, id string, name string, email string, raw double, absent boolean")
     assert cohort.unlinked(rows).first()["n_unlinked"] == 1
+
+
+@pytest.mark.parametrize("name", ["k6_train_and_predict", "k7_model_scores", "k10_cross_validate", "k22_permutation_importance"])
+def test_model_queries_fit_all_rounds_and_score_other_copies(spark, monkeypatch, name):
+    import __spark_entry__ as entry
+    from tallyloom.operators import model
+
+    rounds, learnt, scored = [], [], []
+    copies = {r.copy_key for r in entry.Tables(spark, "/root/testdata/sf0.001").fx_cell.select("copy_key").distinct().collect()}
+
+    def copies_of(data):
+        return {r.copy_key for r in data.select("copy_key").distinct().collect()}
+
+    def train(data, features, max_iter=model.MAX_ITER, seed=42):
+        rounds.append(max_iter)
+        learnt.append(copies_of(data))
+        return fit(data, features, 1, seed)
+
+    def seen(fn):
+        return lambda fitted, data, *rest, **named: scored.append(copies_of(data)) or fn(fitted, data, *rest, **named)
+
+    fit = model.train
+    monkeypatch.setattr(model, "train", train)
+    monkeypatch.setattr(model, "predict", seen(model.predict))
+    monkeypatch.setattr(model, "permutation_importance", seen(model.permutation_importance))
+    entry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert rounds and set(rounds) == {300}
+    assert all(a and b and not a & b and a | b == copies for a, b in zip(learnt, scored, strict=True))
