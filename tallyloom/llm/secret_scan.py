@@ -23,7 +23,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+LEAST, SIGNS = 20, "+/_=-"
+CANDIDATE = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 HEX_ONLY = re.compile(r"[0-9a-fA-F]+")
 ALNUM_ONLY = re.compile(r"[A-Za-z0-9]+")
 #: never secrets: words and paths of letters, numbers, UUIDs, words joined by signs with short numbers between them
@@ -85,11 +86,20 @@ class Scanner:
         return sorted(found)
 
     def added(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """Random pieces of the candidates; what a stated pattern covers is cut out first, and the signs at a cut do not count."""
         found = []
         for m in CANDIDATE.finditer(text):
-            start, end = m.span()
-            if not any(a < end and start < b for a, _, b in base) and self.is_random(m.group()):
-                found.append((start, 3, end))
+            first, last = m.span()
+            start = first
+            for a, _, b in [*(x for x in base if x[0] < last and first < x[2]), (last, 3, last)]:
+                end = min(a, last)
+                if end - start >= LEAST:
+                    piece = text[start:end]
+                    piece = piece.lstrip(SIGNS) if start > first else piece
+                    piece = piece.rstrip(SIGNS) if end < last else piece
+                    if self.is_random(piece):
+                        found.append((start, 3, end))
+                start = max(start, b)
         return found
 
 
