@@ -2,8 +2,9 @@
 
 The parser's events make lines (blocks of text between block-level tags), each with its characters and its tags. The ratios of
 the lines are smoothed with a Gaussian kernel and split by a threshold into content and the rest. The content lines
-name the region: the innermost article, or else container, that holds nearly all of their text. Within it every line is kept but those of
-menus, forms, notices, adverts, comments and the like, which the tags and their names mark.
+name the region: the articles that hold nearly all of their text, or else the innermost container that holds all of it. Within it every
+line is kept but those of menus, forms, notices, adverts, comments and the like, which the tags and their names mark. A name
+never drops the page, an article or an element with most of the content.
 """
 
 from __future__ import annotations
@@ -32,7 +33,9 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSED_BY = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 #: elements that can be the region: those that name the article, else any container
 ARTICLES, CONTAINERS = frozenset(("article", "main")), frozenset("article body center div html main section table tbody td".split())
-#: words in class, id or role that mark what does not belong to the article
+#: never dropped for their names
+KEPT = frozenset("html body article main".split())
+#: words that mark, in class, id or role, what does not belong to the article: a class marks if it has no other words
 MARKED = frozenset(
     "ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promotion banner masthead nav navbar navigation menu menubar breadcrumb "
     "breadcrumbs sidebar aside complementary footer contentinfo header topbar toolbar cookie cookies consent gdpr notice notices popup modal overlay dialog alert "
@@ -45,7 +48,7 @@ BLANKS = re.compile(r"\s+")
 
 @dataclass(frozen=True)
 class Settings:
-    """sigma: width of the kernel in lines; share: part of the deviation that a content line's ratio exceeds; held: part of the content's text that the region holds."""
+    """sigma: width of the kernel in lines; share: part of the deviation that a content line's ratio exceeds; held: part of the content's text that articles hold to be the region."""
 
     sigma: float = 1.0
     share: float = 0.5
@@ -57,7 +60,8 @@ class Lines(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # tag, number, whether its text is dropped
+        self.open: list[tuple[str, int, bool]] = []  # tag, number, whether its text is dropped whatever it holds
+        self.named: set[int] = set()  # elements that their names mark
         self.numbers = 0
         self.tag_of = {0: "html"}
         self.lines: list[tuple[str, int, tuple[int, ...], bool]] = []
@@ -80,8 +84,9 @@ class Lines(HTMLParser):
     def handle_starttag(self, tag, attrs):
         self.tags += 1
         block = tag in BLOCKS
-        drops = tag in DROPPED or any(marks(k, v) for k, v in attrs)
-        if block or drops:
+        drops = tag in DROPPED or any(hides(k, v) for k, v in attrs)
+        named = tag not in KEPT and any(marks(k, v) for k, v in attrs)
+        if block or drops or named:
             self.flush()
         if tag in VOID:
             if tag == "br":
@@ -101,6 +106,8 @@ class Lines(HTMLParser):
         self.numbers += 1
         if tag in CONTAINERS:
             self.tag_of[self.numbers] = tag
+        if named:
+            self.named.add(self.numbers)
         self.open.append((tag, self.numbers, outer or drops))
         self.moved()
 
@@ -113,7 +120,7 @@ class Lines(HTMLParser):
         self.tags += 1
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] == tag:
-                if any(name in BLOCKS or drop for name, _, drop in self.open[at:]):
+                if any(name in BLOCKS or drop or number in self.named for name, number, drop in self.open[at:]):
                     self.flush()
                 del self.open[at:]
                 self.moved()
@@ -134,8 +141,14 @@ class Lines(HTMLParser):
 
 
 def marks(name: str, value: str | None) -> bool:
-    if name in ("class", "id", "role"):
-        return not MARKED.isdisjoint(w.lower() for w in NAME_WORDS.findall(value or ""))
+    """Whether a class (id, role) has no words but marked ones: ``cookie-notice`` does, ``has-sidebar`` does not."""
+    if name not in ("class", "id", "role"):
+        return False
+    classes = [NAME_WORDS.findall(x) for x in (value or "").split()]
+    return any(words and MARKED.issuperset(w.lower() for w in words) for words in classes)
+
+
+def hides(name: str, value: str | None) -> bool:
     if name == "style":
         return bool(HIDDEN_STYLE.search(value or ""))
     return name == "hidden" or name == "aria-hidden" and value == "true"
@@ -149,29 +162,58 @@ def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(ratios, kernel)[reach:-reach] / weights
 
 
+def content_of(lines: list[tuple], settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """Characters of each line, and whether its smoothed ratio makes it content."""
+    sizes = np.array([len(x[0]) for x in lines], float)
+    ratios = smoothed(sizes / np.maximum(1, [x[1] for x in lines]), settings.sigma)
+    content = ratios >= settings.share * ratios.std()
+    if not content.any():
+        content[:] = True
+    return sizes, content
+
+
+def unmarked(lines: list[tuple], parser: Lines, settings: Settings) -> list[tuple]:
+    """The lines outside the elements that their names drop: not those with most of the content, unless an article is elsewhere."""
+    if not parser.named or not lines:
+        return lines
+    sizes, content = content_of(lines, settings)
+    total, held = (sizes * content).sum(), dict.fromkeys(parser.named, 0.0)
+    free = False  # whether an article that no name marks has content
+    for (_, _, path, _), size in zip(lines, sizes * content, strict=True):
+        inside = parser.named.intersection(path)
+        for e in inside:
+            held[e] += size
+        free |= bool(size) and not inside and any(parser.tag_of.get(e) in ARTICLES for e in path)
+    dropped = {e for e, n in held.items() if 2 * n <= total or free}
+    return [x for x in lines if dropped.isdisjoint(x[2])]
+
+
 def main_text(html: str, settings: Settings = Settings()) -> str:  # noqa: B008
     parser = Lines()
     parser.feed(html)
     parser.close()
-    lines = [x for x in parser.lines if not x[3]]
+    lines = unmarked([x for x in parser.lines if not x[3]], parser, settings)
     if not lines:
         return ""
-    sizes = np.array([len(x[0]) for x in lines], float)
-    ratios = smoothed(sizes / np.maximum(1, [x[1] for x in lines]), settings.sigma)
-    content = ratios >= settings.share * ratios.std()
-    if not content.any():
-        content[:] = True
+    sizes, content = content_of(lines, settings)
     texts: dict[int, float] = {0: 0.0}  # characters of content in each container; 0 is the page
     depth = {0: 0}
+    in_articles = 0.0
+    outermost: set[int] = set()
     for (_, _, path, _), size, own in zip(lines, sizes, content, strict=True):
         if own:
+            if article := next((e for e in path if parser.tag_of.get(e) in ARTICLES), 0):
+                outermost.add(article)
+                in_articles += size
             for level, element in enumerate((0, *path)):
                 if element in parser.tag_of:
                     texts[element] = texts.get(element, 0.0) + size
                     depth[element] = level
-    holding = [e for e, n in texts.items() if n >= settings.held * texts[0]]
-    region = max([e for e in holding if parser.tag_of[e] in ARTICLES] or holding, key=depth.__getitem__)
-    return " ".join(text for text, _, path, _ in lines if not region or region in path)
+    by_article = outermost and in_articles >= settings.held * texts[0]
+    most = in_articles if by_article else texts[0]
+    holding = [e for e, n in texts.items() if n == most and not (by_article and parser.tag_of[e] not in ARTICLES)]
+    regions = {max(holding, key=depth.__getitem__)} if holding else outermost
+    return " ".join(text for text, _, path, _ in lines if 0 in regions or not regions.isdisjoint(path))
 
 
 def extract(pages: DataFrame, html: str = "html", settings: Settings = Settings()) -> DataFrame:  # noqa: B008

@@ -200,6 +200,19 @@ def test_main_text_cases():
     assert html_extract.main_text(f"<article><p>{long}</p></article>") == long.strip()
 
 
+def test_names_and_shares_drop_no_part_of_the_article():
+    one, two = "First sentence of a text that goes on for a while. " * 20, "A second and much shorter part that belongs to it as well."
+    joined = f"{one.strip()} {two}"
+    for before, between, after in (
+        ("<body class='has-sidebar'><article>", "", "</article></body>"), ("<article class='post comments-open'>", "", "</article>"), ("<body class='sidebar'><div>", "", "</div></body>"),
+        ("<div class='content search'><div>", "", "</div></div>"), ("<body><div>", "</div><div>", "</div></body>"), ("<body><article>", "</article><article>", "</article></body>"),
+        ("<body><article class=comment>", "", "</article></body>"), ("<main id=content role=search>", "", "</main>"),
+    ):
+        assert html_extract.main_text(f"{before}<p>{one}</p>{between}<p>{two}</p>{after}") == joined, before
+    page = f"<article><div class='article-header'><h1>Head</h1></div><p>{one}</p></article><div class='comments'>{f'<p>{one}</p>' * 3}</div>"
+    assert html_extract.main_text(page) == f"Head {one.strip()}"
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.text(alphabet="<>/!-[]&;#x=\"' abpdiv\n", max_size=60))
 def test_any_markup_is_read(markup):
