@@ -3,7 +3,7 @@
 Numbers and dates that pass their validation (check digit, calendar, ranges) are permuted under a key within their own format:
 a card number becomes another valid card number, a date another date in the same notation. The permutation is a bijection
 of each format's values, so equal values stay linked across documents, different values stay different, and the key
-holder can undo it. Nothing about the values is stored or compared between tasks.
+holder can undo it. Only where a value would make the numbers around it be read otherwise, it is permuted again. Nothing about the values is stored or compared between tasks.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import re
 from collections.abc import Callable, Iterator
 from datetime import date
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,7 +35,16 @@ NUMBER = re.compile(
     r"|(?P<phone>(?<![\d(+])(?:\+\d{1,3}[\x20.-]?)?(?:\(\d{3}\)[\x20.-]?|\d{3}[\x20.-])\d{3}[\x20.-]\d{4}(?![\d-])|(?<![\d(])\+\d{1,3}(?:[\x20.-]?\d{2,4}){2,5}(?!\d))"
     r"|(?P<ipv4>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d))"
     r"|(?P<card>(?<![\d.,-])\d(?:[\x20-]?\d){12,18}(?![\d-]|[.,]\d))", re.ASCII)
-DIGIT_RUN = re.compile("[0-9]+")
+DIGIT_RUN, GROUP_BORDER = re.compile("[0-9]+"), re.compile("[\x20-]")
+#: characters of an IBAN by country
+IBAN_LENGTHS = {c: int(n) for n, own in (x.split(":") for x in (
+    "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,CR,HR,LI,LV 22:BG,BH,DE,GB,GE,IE,ME,RS,VA 23:AE,GI,IL,IQ,OM,SO,TL "
+    "24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM 28:AL,AZ,BY,CY,DO,GT,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE "
+    "31:MT,SC 32:LC 33:RU").split()) for c in own.split(",")}
+#: characters that a match reaches, and that an e-mail does; most steps of a walk
+REACH, MAIL_REACH, STEPS = 64, 400, 1_000
+#: digits of a card at least
+CARD_LEAST = 13
 #: a number begins at most so many signs before its first digit (two letters of an IBAN)
 LEAD = 2
 
@@ -89,6 +99,23 @@ def check_digit(payload: str) -> str:
     return str(-total % 10)
 
 
+def is_card(digits: str) -> bool:
+    return check_digit(digits[:-1]) == digits[-1] and len(set(digits)) > 1
+
+
+def shorter_ends(kind: str, found: str) -> list[int]:
+    """Ends before that of ``found`` at which a card or an IBAN may end: its group borders, from left to right; the end that an
+    IBAN's country gives it comes first."""
+    if kind not in ("card", "iban"):
+        return []
+    borders = [m.start() for m in GROUP_BORDER.finditer(found) if sum(c.isalnum() for c in found[:m.start()]) >= (CARD_LEAST if kind == "card" else 15)]
+    if kind == "card":
+        return borders
+    signs = [i for i, c in enumerate(found) if c.isalnum()]
+    n = IBAN_LENGTHS.get(found[:2], len(signs))
+    return ([signs[n - 1] + 1] if n < len(signs) else []) + borders[::-1]
+
+
 class Pseudonyms:
     """Replacement of one found string; None if it fails validation."""
 
@@ -137,7 +164,7 @@ class Pseudonyms:
 
     def card(self, s: str) -> str | None:
         digits = "".join(c for c in s if c in DIGITS)
-        if check_digit(digits[:-1]) != digits[-1] or len(set(digits)) == 1:
+        if not is_card(digits):
             return None
         payload = self.digits(digits[:-1], "card", lambda d: len(set(d + check_digit(d))) > 1)
         return refilled(s, payload + check_digit(payload))
@@ -192,10 +219,14 @@ class Pseudonyms:
 
         return shape.format(date.fromordinal(FIRST_DAY + walked(n - FIRST_DAY, LAST_DAY - FIRST_DAY + 1, fits, self.key, "date", self.back)))
 
-    def found(self, whole: str) -> Iterator[tuple[int, int, str]]:
-        """Start, end and kind of what looks like a value, from left to right; numbers are looked for around digits only."""
+    def found(self, whole: str, at: int = 0) -> Iterator[tuple[int, int, str]]:
+        """Start, end and kind of the values, from left to right (of e-mails, valid or not); numbers are looked for around digits only.
+
+        What looks like a card or an IBAN may go on into the next number, so their shorter ends are tried too; where none is valid,
+        the search goes on after the first group.
+        """
         mails = [m.span() for m in EMAIL.finditer(whole)] if "@" in whole else []
-        at, mail = 0, 0
+        mails, mail = [x for x in mails if x[0] >= at], 0
         while run := DIGIT_RUN.search(whole, at):
             while mail < len(mails) and mails[mail][0] <= run.start():
                 yield (*mails[mail], "email")
@@ -205,25 +236,65 @@ class Pseudonyms:
                 continue
             stop = mails[mail][0] if mail < len(mails) else len(whole)
             for start in range(max(at, run.start() - LEAD), run.start() + 1):
-                if match := NUMBER.match(whole, start, stop):
-                    yield (*match.span(), match.lastgroup)
-                    at = match.end()
+                if (match := NUMBER.match(whole, start, stop)) and (end := self.valid_end(match.lastgroup, match.group())):
+                    yield start, start + end, match.lastgroup
+                    at = start + end
                     break
             else:
                 at = run.end()
         for span in mails[mail:]:
             yield (*span, "email")
 
+    def valid_end(self, kind: str, found: str) -> int:
+        """Where the value at the start of ``found`` ends; 0 if none is valid."""
+        ends = shorter_ends(kind, found)
+        whole = [len(found)]
+        country = kind == "iban" and ends and sum(c.isalnum() for c in found[:ends[0]]) == IBAN_LENGTHS.get(found[:2])
+        order = ends + whole if kind == "card" else ends[:1] + whole + ends[1:] if country else whole + ends
+        return next((e for e in order if self.of(kind, found[:e]) is not None), 0)
+
     def text(self, whole: str) -> tuple[str, dict[str, int]]:
         counts = dict.fromkeys(KINDS, 0)
-        parts, at = [], 0
+        parts, kinds, at = [], [], 0  # gap, value, gap, value, ..., gap
         for start, end, kind in self.found(whole):
-            new = self.of(kind, whole[start:end])
+            parts += [whole[at:start], whole[start:end]]
+            kinds.append(kind)
+            at = end
+        if not kinds:
+            return whole, counts
+        parts.append(whole[at:])
+        # undone in the opposite order, so that each step sees the text that it saw
+        for i in reversed(range(len(kinds))) if self.back else range(len(kinds)):
+            new = self.of(kinds[i], parts[2 * i + 1])
             if new is not None:
-                counts[kind] += 1
-                parts += [whole[at:start], new]
-                at = end
-        return "".join(parts) + whole[at:] if parts else whole, counts
+                counts[kinds[i]] += 1
+                for _ in range(STEPS):
+                    parts[2 * i + 1] = new
+                    if self.same_values(parts, kinds, i):
+                        break
+                    new = self.of(kinds[i], new)
+        return "".join(parts), counts
+
+    def same_values(self, parts: list[str], kinds: list[str], i: int) -> bool:
+        """Whether the values up to the i-th, as far as their matches may reach it, are found where they are."""
+        first, reach = i, len(parts[2 * i])
+        while first and reach < REACH:
+            first -= 1
+            reach += len(parts[2 * first + 1]) + len(parts[2 * first])
+        before = parts[2 * first - 1][-REACH:] if first else ""
+        at, expected, window = len(before), [], [before]
+        for k in range(first, i + 1):
+            start = at + len(parts[2 * k])
+            at = start + len(parts[2 * k + 1])
+            expected.append((start, at, kinds[k]))
+            window += parts[2 * k:2 * k + 2]
+        after = 0
+        for part in parts[2 * i + 2:]:
+            window.append(part[:MAIL_REACH])
+            after += len(part)
+            if after >= MAIL_REACH:
+                break
+        return list(islice(self.found("".join(window), len(before)), len(expected))) == expected
 
 
 def pseudonymize(docs: DataFrame, key: bytes, text: str = "text", out: str = "text", back: bool = False) -> DataFrame:

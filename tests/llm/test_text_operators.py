@@ -283,3 +283,21 @@ def test_what_a_stated_pattern_leaves_of_a_candidate_is_measured(spark):
     texts = [f"{access}/{key}", f"{key}_{digest}", f"{digest}={key}-{digest}", f"some_words_that_go_on-{digest}-and_more_words_after_it", f"{digest}/short9Xq"]
     out = [r.masked for r in secret_scan.scan(frame(spark, list(enumerate(texts))), mask="*").orderBy("doc_id").collect()]
     assert out == ["**", "**", "***", "some_words_that_go_on-*-and_more_words_after_it", "*/short9Xq"]
+
+
+def test_a_number_that_runs_into_the_next_is_found_and_comes_back():
+    names, back = pii.Pseudonyms(b"key"), pii.Pseudonyms(b"key", back=True)
+    card, iban = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
+    for value, rest, counts in (
+        (card, " 12/27", {"card": 1}), (card, " 123", {"card": 1}), (card.replace(" ", ""), " 03/04/2021", {"card": 1, "date": 1}), (iban, " EUR", {"iban": 1}),
+        (iban.replace(" ", ""), " EUR", {"iban": 1}), (iban, " 2021-02-03", {"iban": 1, "date": 1}),
+    ):
+        text, found = names.text(value + rest)
+        assert {k: n for k, n in found.items() if n} == counts, value + rest
+        assert text[:len(value)] == names.text(value)[0] != value and back.text(text)[0] == value + rest
+    text, found = names.text(f"AB12 {card}")
+    assert found["card"] == 1 and text == f"AB12 {names.text(card)[0]}"
+    grouped = [f"4{n:03d} {n * 7919 % 10_000:04d} 1234 5678 {n % 1000:03d}" for n in range(400)]
+    for value in [*grouped, " ".join(grouped), " ".join(g + " 12/27, 03/04/2021" for g in grouped)]:  # chance makes many of their parts valid
+        text, found = names.text(value)
+        assert back.text(text)[0] == value and found["card"] == names.text(text)[1]["card"]
