@@ -32,22 +32,27 @@ def column_index(header: list[str], name: str) -> int:
 
 
 def load_students(table: DataFrame, id_idx: int, nom_idx: int, prenom_idx: int | None = None,
-                  mail_idx: int | None = None, data_start: int = 1) -> DataFrame:
-    """Students of a raw table, rows without a number dropped, lost leading zeros restored."""
+                  mail_idx: int | None = None, data_start: int = 1, by: str | None = None) -> DataFrame:
+    """Students of a raw table, rows without a number dropped, lost leading zeros restored; with ``by``, of each of its sheets."""
     rows = table.filter(F.col("row_no") >= data_start).select(
         cell(id_idx).alias("id"), cell(nom_idx).alias("nom"), cell(prenom_idx).alias("prenom"),
-        cell(mail_idx).alias("email"), F.col("row_no").alias("ord"))
-    return pad_leading_zeros(rows.filter("id <> ''"))
+        cell(mail_idx).alias("email"), F.col("row_no").alias("ord"), *([by] if by else []))
+    return pad_leading_zeros(rows.filter("id <> ''"), by=by)
 
 
-def pad_leading_zeros(students: DataFrame, share: float = 0.8) -> DataFrame:
-    """Zero-fill short numeric ids when one width covers ``share`` of the (two or more) numeric ids."""
+def pad_leading_zeros(students: DataFrame, share: float = 0.8, by: str | None = None) -> DataFrame:
+    """Zero-fill short numeric ids when one width covers ``share`` of the (two or more) numeric ids; with ``by``, of those of the same value."""
     numeric = F.col("id").rlike("^[0-9]+$")
-    widths = students.filter(numeric).groupBy(F.length("id").alias("w")).agg(
+    widths = students.filter(numeric).groupBy(*([by] if by else []), F.length("id").alias("w")).agg(
         F.count("*").alias("n"), F.min("ord").alias("first"))
     total = F.sum("n")
     best = F.max_by("w", F.struct("n", -F.col("first")))
-    chosen = widths.agg(F.when((total >= 2) & (F.max("n") >= total * share), best).alias("w"))
+    chosen = F.when((total >= 2) & (F.max("n") >= total * share), best)
+    if by:
+        named = widths.groupBy(F.col(by).alias("_by")).agg(chosen.alias("_w"))
+        padded = F.when(numeric & F.col("_w").isNotNull(), zfill("id", F.col("_w"))).otherwise(F.col("id"))
+        return students.join(named, F.col(by).eqNullSafe(F.col("_by")), "left").withColumn("id", padded).select(students.columns)
+    chosen = widths.agg(chosen.alias("w"))
     padded = F.when(numeric & chosen.scalar().isNotNull(), zfill("id", chosen.scalar())).otherwise(F.col("id"))
     return students.withColumn("id", padded)
 

@@ -56,6 +56,19 @@ def d1(t):
     return roster.load_students(sheet(t).filter("sheet = 'BUILDING'"), 0, 2, 3, 1, data_start=2)
 
 
+view("fx_tw_sheet_student", """
+SELECT sheet, row_no AS ord, split_part(line, ';', 1) AS sid, split_part(line, ';', 3) AS nom, split_part(line, ';', 4) AS prenom, split_part(line, ';', 2) AS email
+FROM {fx_sheet_line} WHERE row_no >= 2""")
+
+
+@query("d1_load_all_sheets", """
+WITH w AS (SELECT sheet, length(sid) AS w, count(*) AS n, min(ord) AS first FROM fx_tw_sheet_student GROUP BY 1, 2),
+m AS (SELECT sheet, CASE WHEN sum(n) >= 2 AND max(n) >= 0.8 * sum(n) THEN arg_max(w, n) END AS w FROM w GROUP BY 1)
+SELECT sheet, CASE WHEN length(sid) < m.w THEN lpad(sid, CAST(m.w AS INT), '0') ELSE sid END AS id, nom, prenom, email, ord FROM fx_tw_sheet_student JOIN m USING (sheet)""")
+def d1_all(t):
+    return roster.load_students(sheet(t), 0, 2, 3, 1, data_start=2, by="sheet").select("sheet", "id", "nom", "prenom", "email", "ord")
+
+
 @query("d2_pad_leading_zeros", """
 WITH s AS (SELECT c_custkey AS ord, CASE WHEN c_custkey % 8 = 0 THEN CAST(c_custkey AS VARCHAR) ELSE CAST(100000 + c_custkey AS VARCHAR) END AS id FROM customer)
 SELECT ord, CASE WHEN length(id) < 6 THEN lpad(id, 6, '0') ELSE id END AS id FROM s""")

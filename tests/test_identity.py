@@ -126,3 +126,19 @@ def test_few_pairs_reach_the_ratio(spark, monkeypatch):
         seen.clear()
         operator(t.fx_name_read, index).count()
         assert sum(seen) <= share * total
+
+
+def test_every_sheet_is_loaded_with_its_own_width(spark):
+    rows = [("a", i, ["1000" + str(i) if i else "37", "N", "P", "m"]) for i in range(6)] + [("b", i, ["10" + str(i) if i else "7", "N", "P", "m"]) for i in range(6)] + [("c", 0, ["5", "N", "P", "m"])]
+    table = spark.createDataFrame(rows, "sheet string, row_no long, cells array<string>")
+    out = roster.load_students(table, 0, 1, 2, 3, 0, by="sheet")
+    assert out.count() == 13 and {(r.sheet, r.id) for r in out.where("ord = 0").collect()} == {("a", "00037"), ("b", "007"), ("c", "5")}
+
+
+def test_the_query_of_all_sheets_loads_all_sheets(spark):
+    import __spark_entry__ as entry
+
+    folder = "/root/testdata/sf0.001"
+    out = entry.queries()["d1_load_all_sheets"](spark, folder)
+    customers = spark.read.parquet(f"{folder}/customer.parquet")
+    assert out.count() == customers.count() and out.select("sheet").distinct().count() == customers.select("c_mktsegment").distinct().count() > 1
