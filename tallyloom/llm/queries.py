@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import ann, decontaminate, html_extract, lm_score, packing, pii, quality, secret_scan, simhash, token_counts
+from tallyloom.llm import ann, decontaminate, html_extract, lm_score, merkle, packing, pii, quality, secret_scan, sentence_pieces, simhash, token_counts, whitening
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -69,10 +69,34 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
 
 
+def op11_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = sentence_pieces.encode(docs, decoded=True)
+    return found.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    found = whitening.transform(vectors, whitening.fit(vectors))
+    return found.select("vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error", "deviation_digits")
+
+
+def op13_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    tampered = F.when(F.crc32(docs["doc_id"].cast("string")) % 3 == 0, merkle.lower_plain(docs["text"])).otherwise(docs["text"])
+    return merkle.prove(merkle.build(docs, ["doc_id", "source", "lang", "n_chars", "text"], altered={"text": tampered}))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pseudonyms, op2_quality, op3_lm_score, op4_pack, op5_neighbours, op6_decontaminate, op7_main_text, op8_secret_scan, op9_token_counts, op10_simhash)
+    f.__name__: f for f in (op1_pseudonyms, op2_quality, op3_lm_score, op4_pack, op5_neighbours, op6_decontaminate, op7_main_text, op8_secret_scan, op9_token_counts, op10_simhash,
+                           op11_sentencepiece, op12_whitening, op13_merkle)
 }
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_FIELD = "coalesce(CAST(strlen({0}) AS VARCHAR) || ':' || {0}, '-')"
+_CRC32 = """xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: [CAST(ascii(c) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+  lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, 3988292384 * (c & 1)) END), 4294967295)"""
 TWINS: dict[str, str] = {
     "op6_decontaminate": f"""
 WITH items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_WORDS} AS w FROM benchmark WHERE text IS NOT NULL),
@@ -87,4 +111,41 @@ named AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
 FROM docs LEFT JOIN hit USING (r) LEFT JOIN named USING (r)""",
+    "op13_merkle": f"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, source, n_chars, text,
+         CASE WHEN {_CRC32} % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS shown
+  FROM documents),
+fields AS (SELECT r, doc_id, lang, concat({_FIELD.format("CAST(doc_id AS VARCHAR)")}, {_FIELD.format("source")}, {_FIELD.format("lang")}, {_FIELD.format("CAST(n_chars AS VARCHAR)")}) AS head,
+                  {_FIELD.format("text")} AS body, {_FIELD.format("shown")} AS other FROM docs),
+digests AS (SELECT r, doc_id, lang, sha256(head || body) AS leaf, sha256(head || other) AS presented FROM fields),
+leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, presented) - 1 AS place, count(*) OVER (PARTITION BY lang) AS n,
+         dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree FROM digests),
+nodes AS (
+  SELECT tree, 0 AS level, place, leaf AS d, n FROM leaves
+  UNION ALL
+  SELECT tree, level + 1, place // 8, sha256(string_agg(d, '' ORDER BY place)), (n + 7) // 8 FROM nodes WHERE n > 1 GROUP BY tree, level, place // 8, n),
+tops AS (
+  SELECT 0 AS level, tree AS place, d, (SELECT count(DISTINCT tree) FROM leaves) AS n FROM nodes WHERE n = 1
+  UNION ALL
+  SELECT level + 1, place // 8, sha256(string_agg(d, '' ORDER BY place)), (n + 7) // 8 FROM tops WHERE n > 1 GROUP BY level, place // 8, n),
+every AS (SELECT tree, level, place, d, n FROM nodes UNION ALL SELECT -1, level, place, d, n FROM tops),
+sides AS (
+  SELECT a.tree, a.level, a.place, coalesce(string_agg(b.d, '' ORDER BY b.place) FILTER (WHERE b.place < a.place), '') AS before,
+         coalesce(string_agg(b.d, '' ORDER BY b.place) FILTER (WHERE b.place > a.place), '') AS after
+  FROM every a JOIN every b ON a.tree = b.tree AND a.level = b.level AND a.place // 8 = b.place // 8 WHERE a.n > 1 GROUP BY a.tree, a.level, a.place),
+steps AS (
+  SELECT r, row_number() OVER (PARTITION BY r ORDER BY above, level) AS step, before, after FROM (
+    SELECT l.r, 0 AS above, s.level, before, after FROM leaves l JOIN sides s ON s.tree = l.tree AND s.place = l.place // CAST(pow(8, s.level) AS BIGINT)
+    UNION ALL
+    SELECT l.r, 1, s.level, before, after FROM leaves l JOIN sides s ON s.tree = -1 AND s.place = l.tree // CAST(pow(8, s.level) AS BIGINT))),
+proofs AS (SELECT r, sha256(string_agg(before || after, '' ORDER BY step)) AS proof, max(step) AS last FROM steps GROUP BY r),
+folds AS (
+  SELECT r, CAST(0 AS BIGINT) AS step, presented AS d FROM leaves
+  UNION ALL
+  SELECT f.r, s.step, sha256(before || d || after) FROM folds f JOIN steps s ON s.r = f.r AND s.step = f.step + 1)
+SELECT doc_id, leaf, t.d AS subroot, o.d AS root, coalesce(proof, sha256('')) AS proof_sha256, f.d AS folded_root, f.d = o.d AS verified
+FROM leaves l JOIN tops t ON t.level = 0 AND t.place = l.tree JOIN (SELECT d FROM tops WHERE n = 1) o ON true
+LEFT JOIN proofs p USING (r) JOIN folds f ON f.r = l.r AND f.step = coalesce(last, 0)""",
 }
