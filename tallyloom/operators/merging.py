@@ -166,6 +166,69 @@ def merge_notes(sheets: DataFrame) -> DataFrame:
     return sheets.join(several, "copy_group").select("copy_group", "batch", "page", shown.alias("note")).filter("note <> ''")
 
 
+def later_wins(maps: Column, kind: str) -> Column:
+    """One map of an array of maps of type ``kind``; of equal keys the last map's value stays."""
+    empty = F.create_map().cast(kind)
+    return F.aggregate(maps, empty, lambda held, m: F.map_concat(F.map_filter(held, lambda k, v: ~F.map_contains_key(m, k)), m).cast(kind))
+
+
+def merge_copies(sheets: DataFrame) -> DataFrame:
+    """One whole reading per ``copy_group``, from all its sheets in (batch, page) order, in one shuffle.
+
+    Answers and free answers are united by question (the later sheet wins), doubts follow each other, the fullest number
+    wins (the earlier of equal ones), counters are summed, notes joined. All else is that of the first sheet, whose place
+    the copy takes; a copy of several sheets lists them in ``sheets``. A group is as large as one copy.
+    """
+    fields = ["batch", "page", "sheet_page", "student_id", "answers", "ambiguous_cells", "open_answers", "notes", "n_frame_fail", "n_cells",
+              "copy_id", "copy_id_source", "page_no", "sheet_source", "n_sheets"]
+    place = lambda x: F.struct(x["batch"], x["page"])
+    ordered = F.array_sort(F.collect_list(F.struct(*fields)), lambda a, b: F.when(place(a) < place(b), -1).when(place(a) > place(b), 1).otherwise(0))
+    grouped = sheets.groupBy("copy_group").agg(ordered.alias("s"))
+    letters, free = (sheets.schema[c].dataType.simpleString() for c in ("answers", "open_answers"))
+    several, s = F.size("s") > 1, F.col("s")
+
+    def maps(name, kind):
+        return later_wins(F.transform(s, lambda x: F.coalesce(x[name], F.create_map().cast(kind))), kind)
+
+    def total(name):
+        return F.aggregate(s, F.lit(0).cast("long"), lambda n, x: n + F.coalesce(x[name], F.lit(0)).cast("long"))
+
+    unknown = lambda t: F.length(t) - F.length(F.replace(t, F.lit("?"), F.lit("")))
+    numbers = F.filter(F.transform(s, lambda x, i: F.struct(unknown(x["student_id"]).alias("n"), i.alias("i"), x["student_id"].alias("id"))),
+                       lambda x: F.coalesce(x["id"], F.lit("")) != "")
+    note = lambda x: F.coalesce(x["notes"], F.lit(""))
+    notes = F.transform(s, lambda x: F.when(several, F.concat(F.lit("f"), F.coalesce(x["sheet_page"].cast("string"), F.lit("None")), F.lit(": "), note(x))).otherwise(note(x)))
+    first = [F.get(s, F.lit(0))[c].alias(c) for c in ("batch", "page", "copy_id", "copy_id_source", "page_no", "sheet_page", "sheet_source", "n_sheets")]
+    none = F.array().cast(sheets.schema["ambiguous_cells"].dataType)
+    return grouped.select(
+        "copy_group", *first, F.coalesce(F.array_min(numbers)["id"], F.lit("")).alias("student_id"), maps("answers", letters).alias("answers"),
+        F.flatten(F.transform(s, lambda x: F.coalesce(x["ambiguous_cells"], none))).alias("ambiguous_cells"), maps("open_answers", free).alias("open_answers"),
+        F.array_join(F.filter(notes, lambda n: n != ""), " | ").alias("notes"), total("n_frame_fail").alias("n_frame_fail"), total("n_cells").alias("n_cells"),
+        F.when(several, F.transform(s, lambda x: F.struct(x["batch"].alias("batch"), x["page"].cast("long").alias("page"), x["sheet_page"].alias("sheet_page")))).alias("sheets"))
+
+
+def cell_differences(first: str, second: str, options: str) -> Column:
+    """Cells where two maps of letters by question differ, over ``options`` (map of all letters by question), in order."""
+    cells = F.flatten(F.transform(F.array_sort(F.map_keys(options)), lambda q: F.transform(F.element_at(options, q), lambda ch: F.struct(
+        q.alias("q"), ch.alias("char"), F.array_contains(_letters(first, q), ch).alias("cv"), F.array_contains(_letters(second, q), ch).alias("amc")))))
+    return F.filter(cells, lambda c: c["cv"] != c["amc"])
+
+
+def fresh_copies(merged: DataFrame, second: DataFrame, options: DataFrame) -> DataFrame:
+    """Copies as a new reading gives them, ready for ``upsert_readings``.
+
+    ``merged`` is the result of ``merge_copies``; ``second(batch, page, amc_copy, amc_answers, amc_validated_cells)`` the second reading,
+    placed at the first sheet; ``options(q, ch)`` in order of their position, one small table for the exam.
+    """
+    letters = options.groupBy("q").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ch"))), lambda o: o["ch"]).alias("l"))
+    every = letters.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("q", "l")))))
+    both = merged.join(second, ["batch", "page"], "left").withColumn("_options", every.scalar())
+    differ = F.when(F.col("amc_answers").isNotNull(), cell_differences("answers", "amc_answers", "_options"))
+    both = both.withColumn("cv_amc_diff", differ).withColumn("n_diff", F.size("cv_amc_diff")).withColumn("n_validated", F.col("amc_validated_cells"))
+    return both.select("batch", "page", "student_id", "answers", derive_flags().alias("flags"), *[c for c in MACHINE_COLUMNS if c != "source"],
+                       F.lit("cv").alias("source"), "open_answers")
+
+
 # ------------------------------------------------------------ new reading over an old copy
 
 
@@ -200,17 +263,34 @@ def has_human_work(prefix: str = "o_") -> Column:
 
 COPY_COLUMNS = ("student_id", "student_name", "answers", "cv_answers", "flags", "reviewed_cells", "reviewed_questions",
                 "reviewed_id", "student_override", "cv_student_id")
+#: what every new reading replaces, whoever worked on the copy
+MACHINE_COLUMNS = ("notes", "source", "amc_answers", "amc_copy", "amc_validated_cells", "cv_amc_diff", "ambiguous_cells", "copy_id",
+                   "copy_id_source", "page_no", "sheet_page", "sheet_source", "n_sheets", "sheets")
+OPEN_COLUMNS = ("open_answers", "cv_open_answers")
+WHOLE_COLUMNS = COPY_COLUMNS + MACHINE_COLUMNS + OPEN_COLUMNS
+
+
+def swallowed_pages(new: DataFrame) -> DataFrame:
+    """Pages (batch, page) that are later sheets of a copy read anew, and no copies of their own."""
+    parts = new.select("batch", "page", F.explode("sheets").alias("s")).select("s.batch", "s.page", F.struct("batch", "page").alias("own"))
+    return parts.filter(F.struct("batch", F.col("page").cast("long")) != F.struct("own.batch", F.col("own.page").cast("long"))).select("batch", "page").distinct()
 
 
 def upsert_readings(old: DataFrame, new: DataFrame) -> DataFrame:
     """Copies after a new reading, by (batch, page): machine fields refreshed, human work kept.
 
-    A copy a person worked on keeps its answers, name, user flags, override and edited number;
-    review marks survive where the machine reads the same. Copies not read again stay as they are.
+    A copy a person worked on keeps its answers, name, user flags, override, edited number and, if it has any, its free
+    answers (``cv_open_answers`` is always what was read); review marks survive where the machine reads the same. Columns of
+    ``MACHINE_COLUMNS`` and the free answers take part if both tables have them. Copies not read again stay as they
+    are, but for pages that a copy read anew lists among its ``sheets``: these are no copies any more.
     """
     key = ["batch", "page"]
-    o = old.select(*key, *[F.col(c).alias(f"o_{c}") for c in COPY_COLUMNS], F.lit(True).alias("_old"))
-    n = new.select(*key, *[F.col(c).alias(f"n_{c}") for c in ("student_id", "answers", "flags")],
+    machine = [c for c in MACHINE_COLUMNS if c in old.columns and c in new.columns]
+    free = [c for c in OPEN_COLUMNS if c in old.columns and "open_answers" in new.columns]
+    if "sheets" in machine:
+        old = old.join(swallowed_pages(new), key, "left_anti")
+    o = old.select(*key, *[F.col(c).alias(f"o_{c}") for c in (*COPY_COLUMNS, *machine, *free)], F.lit(True).alias("_old"))
+    n = new.select(*key, *[F.col(c).alias(f"n_{c}") for c in ("student_id", "answers", "flags", *machine, *free[:1])],
                    F.col("answers").alias("n_cv_answers"), F.lit(True).alias("_new"))
     both = o.join(n, key, "full")
     fresh = F.col("_new").isNotNull()
@@ -225,10 +305,13 @@ def upsert_readings(old: DataFrame, new: DataFrame) -> DataFrame:
         return F.when(fresh, value).otherwise(F.col(f"o_{name}")).alias(name)
 
     same_id = F.coalesce("o_reviewed_id", F.lit(False)) & F.col("o_student_id").eqNullSafe(F.col("n_student_id"))
+    read = {"open_answers": F.when(human & (F.coalesce(F.size("o_open_answers"), F.lit(0)) > 0), F.col("o_open_answers")).otherwise(F.col("n_open_answers")),
+            "cv_open_answers": F.col("n_open_answers")} if free else {}
     return both.select(
         *key, pick(F.when(edited_id, F.col("o_student_id")).otherwise(F.col("n_student_id")), "student_id"),
         pick(F.coalesce("o_student_name", F.lit("")), "student_name"),
         pick(F.when(human, F.coalesce("o_answers", "n_answers")).otherwise(F.col("n_answers")), "answers"),
         pick(F.col("n_cv_answers"), "cv_answers"), pick(flags, "flags"), pick(kept_cell_marks(), "reviewed_cells"),
         pick(kept_question_marks(), "reviewed_questions"), pick(same_id, "reviewed_id"),
-        pick(F.when(human, F.col("o_student_override")), "student_override"), pick(F.when(human, F.col("o_cv_student_id")), "cv_student_id"))
+        pick(F.when(human, F.col("o_student_override")), "student_override"), pick(F.when(human, F.col("o_cv_student_id")), "cv_student_id"),
+        *[pick(F.col(f"n_{c}"), c) for c in machine], *[pick(read[c], c) for c in free])

@@ -243,6 +243,75 @@ def i13_notes(t):
     return merging.merge_notes(_grouped(t))
 
 
+# ---- whole copies: doubts and free answers
+
+view("fx_open", "SELECT 1 + conv_id * 3 AS copy_key, CAST(turn AS INT) AS q, min(text) AS raw_text FROM {conversations} GROUP BY 1, 2")
+
+
+def doubts(t):
+    """Doubtful cells of each copy as stored."""
+    cell = F.struct("q", F.col("ch").alias("char"), (F.col("proba") > 0.5).alias("decision"), "ratio", "masked", "proba", "reasons")
+    return ambiguous(t).groupBy("copy_key").agg(F.array_sort(F.collect_list(cell)).alias("ambiguous_cells"))
+
+
+def open_answers(table, name="open_answers"):
+    """Free answers (copy_key, q, raw_text) of each copy as stored, scored one point each."""
+    read = F.struct(F.lit("b").alias("bid"), F.lit("").alias("tag"), "raw_text", F.lit(1.0).alias("score"), F.lit("").alias("expected"), F.lit("exact").alias("match_mode"),
+                    F.lit(0.01).alias("numeric_tol"), F.lit(0.9).alias("confidence"), F.lit(1.0).alias("points"), F.lit(None).cast("string").alias("error"),
+                    F.col("raw_text").startswith("typed").alias("manually_edited"))
+    return table.groupBy("copy_key").agg(F.map_from_entries(F.collect_list(F.struct("q", read))).alias(name))
+
+
+def whole_sheets(t):
+    """Sheets as the reader leaves them, each with its answers, doubts and free answers."""
+    pages = _grouped(t).join(_map(t.fx_tick, "answers"), "copy_key", "left").join(doubts(t), "copy_key", "left").join(open_answers(t.fx_open), "copy_key", "left")
+    return pages.withColumns({"answers": F.coalesce("answers", F.create_map().cast("map<int,array<string>>")), "page_no": F.lit(1), "sheet_source": F.lit("printed"), "n_sheets": F.lit(3)})
+
+
+def _doubt_text(column):
+    return F.array_join(F.transform(column, lambda d: F.concat(d["q"].cast("string"), d["char"], F.lit(":"), F.array_join(d["reasons"], ";"))), ",")
+
+
+def _open_text(column):
+    lines = F.array_sort(F.transform(F.map_entries(column), lambda e: F.concat(F.lpad(e["key"].cast("string"), 4, "0"), F.lit("="), e["value"]["raw_text"])))
+    return F.coalesce(F.array_join(lines, "|"), F.lit(""))
+
+
+_PLACE = "batch || lpad(CAST(page AS VARCHAR), 12, '0')"
+
+
+@query("i13_merge_doubts", f"""
+SELECT s.copy_group, coalesce(string_agg(CAST(a.q AS VARCHAR) || a.ch || ':' || a.reason_text, ',' ORDER BY {_PLACE}, a.q, a.ch), '') AS doubts
+FROM fx_tw_sheet s LEFT JOIN fx_ambig a ON a.copy_key = s.copy_key GROUP BY 1""")
+def i13_doubts(t):
+    return merging.merge_copies(whole_sheets(t)).select("copy_group", _doubt_text("ambiguous_cells").alias("doubts"))
+
+
+@query("i13_merge_open_answers", f"""
+WITH o AS (SELECT copy_group, q, arg_max(raw_text, {_PLACE}) AS raw_text FROM fx_open a JOIN fx_tw_sheet s ON s.copy_key = a.copy_key GROUP BY 1, 2)
+SELECT copy_group, string_agg(lpad(CAST(q AS VARCHAR), 4, '0') || '=' || raw_text, '|' ORDER BY lpad(CAST(q AS VARCHAR), 4, '0') || '=' || raw_text) AS open_answers FROM o GROUP BY 1""")
+def i13_open(t):
+    merged = merging.merge_copies(whole_sheets(t)).filter(F.size("open_answers") > 0)
+    return merged.select("copy_group", _open_text("open_answers").alias("open_answers"))
+
+
+@query("i13_merge_copies", f"""
+WITH a AS (SELECT copy_key, q, string_agg(ch, '' ORDER BY ch) AS letters FROM fx_response GROUP BY 1, 2),
+m AS (SELECT copy_group, q, arg_max(letters, {_PLACE}) AS letters FROM a JOIN fx_tw_sheet s ON s.copy_key = a.copy_key GROUP BY 1, 2),
+l AS (SELECT copy_group, string_agg(c.x, ',' ORDER BY c.x) AS answers FROM (SELECT copy_group, CAST(q AS VARCHAR) || unnest(string_split(letters, '')) AS x FROM m) c GROUP BY 1),
+s AS (SELECT copy_group, arg_min(page, {_PLACE}) AS page, count(*) AS n,
+  coalesce(arg_min(student_id, CAST(length(student_id) - length(replace(student_id, '?', '')) AS VARCHAR) || {_PLACE}) FILTER (student_id <> ''), '') AS student_id,
+  coalesce(string_agg(CASE WHEN notes = '' AND many = 1 THEN NULL WHEN many > 1 THEN 'f' || CAST(sheet_page AS VARCHAR) || ': ' || notes ELSE notes END, ' | ' ORDER BY {_PLACE}), '') AS notes,
+  CAST(sum(n_frame_fail) AS BIGINT) AS n_frame_fail, CAST(sum(n_cells) AS BIGINT) AS n_cells,
+  CASE WHEN count(*) > 1 THEN string_agg(CAST(page AS VARCHAR) || '/' || CAST(sheet_page AS VARCHAR), ',' ORDER BY {_PLACE}) END AS sheets
+  FROM (SELECT *, count(*) OVER (PARTITION BY copy_group) AS many FROM fx_tw_sheet) GROUP BY 1)
+SELECT s.copy_group, page, student_id, coalesce(answers, '') AS answers, notes, n_frame_fail, n_cells, sheets FROM s LEFT JOIN l ON l.copy_group = s.copy_group""")
+def i13_copies(t):
+    sheets = F.array_join(F.transform("sheets", lambda s: F.concat(s["page"].cast("string"), F.lit("/"), s["sheet_page"].cast("string"))), ",")
+    return merging.merge_copies(whole_sheets(t)).select(
+        "copy_group", "page", "student_id", _cells_text("answers").alias("answers"), "notes", "n_frame_fail", "n_cells", sheets.alias("sheets"))
+
+
 @query("i14_group_by_scan_order")
 def i14(t):
     return merging.group_by_scan_order(t.fx_page.select("batch", "page", "sheet_page"))
@@ -333,6 +402,73 @@ def i16(t):
                       F.array_join("flags", ";").alias("flags"), "student_override", "cv_student_id")
 
 
+# ---- whole copies read anew
+
+
+def whole_old(t):
+    """Stored copies with notes and, on every second one, free answers somebody may have typed."""
+    typed = t.fx_open.filter("copy_key % 2 = 0").withColumn("raw_text", F.concat(F.lit("typed "), F.substring("raw_text", 1, 20)))
+    free = open_answers(typed).withColumnRenamed("copy_key", "page")
+    old = old_copies(t).join(free, "page", "left")
+    nothing = {c: F.lit(None).cast(k) for c, k in (
+        ("source", "string"), ("amc_answers", "map<int,array<string>>"), ("amc_copy", "long"), ("amc_validated_cells", "long"),
+        ("cv_amc_diff", "array<struct<q:int,char:string,cv:boolean,amc:boolean>>"), ("copy_id", "long"), ("copy_id_source", "string"), ("page_no", "int"), ("sheet_page", "int"),
+        ("sheet_source", "string"), ("n_sheets", "int"), ("sheets", "array<struct<batch:string,page:long,sheet_page:int>>"))}
+    doubted = "array<struct<q:int,char:string,decision:boolean,ratio:double,masked:double,proba:double,reasons:array<string>>>"
+    return old.withColumns({**nothing, "notes": F.concat(F.lit("stored "), F.col("page").cast("string")), "ambiguous_cells": F.array().cast(doubted), "cv_open_answers": F.col("open_answers")})
+
+
+def whole_new(t):
+    """New readings, sheet by sheet merged, compared with a second reading and flagged; every tenth copy has a second sheet."""
+    fresh = new_readings(t).join(t.fx_copy.select("page", "copy_key"), "page").join(doubts(t), "copy_key", "left").join(open_answers(t.fx_open), "copy_key", "left")
+    note = F.when(F.col("page") % 5 == 0, "mires=FAIL").when(F.col("page") % 7 == 0, "2 cases ambigues").otherwise("")
+    first = fresh.withColumns({"copy_group": F.col("page").cast("string"), "sheet_page": F.lit(1), "notes": note, "n_frame_fail": F.lit(0), "n_cells": F.lit(9), "copy_id": F.col("page"),
+                               "copy_id_source": F.lit("printed"), "page_no": F.lit(1), "sheet_source": F.lit("printed"), "n_sheets": F.lit(1)})
+    empty = {c: F.lit(None).cast(first.schema[c].dataType) for c in ("answers", "ambiguous_cells", "open_answers")}
+    second = first.filter("page % 10 = 0").withColumns({"page": F.col("page") + 1, "sheet_page": F.lit(2), "student_id": F.lit(""), "notes": F.lit("")} | empty)
+    other = t.fx_copy.select("batch", "page", "copy_key", F.col("copy_key").alias("amc_copy"), (F.col("page") % 2).alias("amc_validated_cells")).filter("page % 3 > 0") \
+        .join(_map(t.fx_tick, "amc_answers"), "copy_key", "left").drop("copy_key").withColumn("amc_answers", F.coalesce("amc_answers", F.create_map().cast("map<int,array<string>>")))
+    return merging.fresh_copies(merging.merge_copies(first.unionByName(second)), other, t.fx_option)
+
+
+def whole_text(copies):
+    """The parts of whole copies as text."""
+    changes = F.array_join(F.transform("cv_amc_diff", lambda d: F.concat(d["q"].cast("string"), d["char"], F.when(d["cv"], "c").otherwise("a"))), ",")
+    return copies.select(
+        "page", "student_id", F.array_join("flags", ";").alias("flags"), "notes", F.coalesce(_doubt_text("ambiguous_cells"), F.lit("")).alias("doubts"), F.coalesce(changes, F.lit("")).alias("differences"),
+        _open_text("open_answers").alias("open_answers"), _open_text("cv_open_answers").alias("cv_open_answers"), F.coalesce(F.size("sheets"), F.lit(0)).alias("n_listed"), "copy_id")
+
+
+WHOLE = """
+WITH gone AS (SELECT batch, page + 1 AS page FROM fx_tw_new WHERE page % 10 = 0),
+o AS (SELECT x.* FROM fx_tw_old x LEFT JOIN gone g ON g.batch = x.batch AND g.page = x.page WHERE g.page IS NULL),
+j AS (SELECT coalesce(o.copy_key, n.copy_key) AS k, o.copy_key IS NOT NULL AS is_old, n.copy_key IS NOT NULL AS is_new, o.human, o.student_id AS oid, n.student_id AS nid, o.flag_text, o.cv_student_id
+  FROM o FULL JOIN fx_tw_new n ON o.copy_key = n.copy_key),
+cell AS (SELECT copy_key, string_agg(CAST(q AS VARCHAR) || ch || ':' || reason_text, ',' ORDER BY q, ch) AS txt FROM fx_ambig GROUP BY 1),
+diff AS (SELECT copy_key, count(*) AS n, string_agg(CAST(q AS VARCHAR) || ch || CASE WHEN amc THEN 'c' ELSE 'a' END, ',' ORDER BY q, ch) AS txt FROM fx_tw_diff WHERE copy_key % 3 > 0 GROUP BY 1),
+typed AS (SELECT copy_key, string_agg(lpad(CAST(q AS VARCHAR), 4, '0') || '=typed ' || substr(raw_text, 1, 20), '|' ORDER BY q) AS txt FROM fx_open WHERE copy_key % 2 = 0 GROUP BY 1),
+readt AS (SELECT copy_key, string_agg(lpad(CAST(q AS VARCHAR), 4, '0') || '=' || raw_text, '|' ORDER BY q) AS txt FROM fx_open GROUP BY 1)
+SELECT j.k AS page, CASE WHEN NOT is_new OR (is_old AND cv_student_id IS NOT NULL) THEN oid ELSE nid END AS student_id,
+  CASE WHEN NOT is_new THEN flag_text ELSE concat_ws(';', CASE WHEN j.k % 7 = 0 AND j.k % 5 > 0 THEN 'ambiguous' END, CASE WHEN j.k % 3 > 0 AND j.k % 2 = 0 THEN 'amc_unvalidated' END, 'cv_differs_amc(' || CAST(diff.n AS VARCHAR) || ')',
+     CASE WHEN is_old AND flag_text LIKE '%id_corrige%' THEN 'id_corrige' END, CASE WHEN contains(nid, '?') AND NOT (is_old AND cv_student_id IS NOT NULL AND NOT contains(oid, '?')) THEN 'id_incomplet' END,
+     CASE WHEN j.k % 5 = 0 THEN 'no_mires' END, CASE WHEN is_old AND flag_text LIKE '%validated%' THEN 'validated' END) END AS flags,
+  CASE WHEN NOT is_new THEN 'stored ' || CAST(j.k AS VARCHAR) WHEN j.k % 10 = 0 THEN 'f1: mires=FAIL | f2: ' WHEN j.k % 5 = 0 THEN 'mires=FAIL' WHEN j.k % 7 = 0 THEN '2 cases ambigues' ELSE '' END AS notes,
+  CASE WHEN is_new THEN coalesce(cell.txt, '') ELSE '' END AS doubts, CASE WHEN is_new THEN coalesce(diff.txt, '') ELSE '' END AS differences,
+  coalesce(CASE WHEN is_old AND (NOT is_new OR (human AND typed.txt IS NOT NULL)) THEN typed.txt ELSE readt.txt END, '') AS open_answers,
+  coalesce(CASE WHEN is_new THEN readt.txt ELSE typed.txt END, '') AS cv_open_answers, CASE WHEN is_new AND j.k % 10 = 0 THEN 2 ELSE 0 END AS n_listed, CASE WHEN is_new THEN j.k END AS copy_id
+FROM j LEFT JOIN cell ON cell.copy_key = j.k LEFT JOIN diff ON diff.copy_key = j.k LEFT JOIN typed ON typed.copy_key = j.k LEFT JOIN readt ON readt.copy_key = j.k"""
+
+
+@query("i16_whole_copies", WHOLE)
+def i16_whole(t):
+    return whole_text(merging.upsert_readings(whole_old(t), whole_new(t)))
+
+
+@query("i16_open_answers", "SELECT page, open_answers, cv_open_answers FROM (" + WHOLE + ")")
+def i16_open(t):
+    return whole_text(merging.upsert_readings(whole_old(t), whole_new(t))).select("page", "open_answers", "cv_open_answers")
+
+
 @query("i17_sheet_of_question", """
 WITH b AS (SELECT DISTINCT s_suppkey % 5 AS copy_id, 1 + s_suppkey % 3 AS page, CAST(1 + s_suppkey % 7 AS INT) AS q FROM supplier),
 c AS (SELECT o_orderkey AS k, substr(o_orderpriority, 1, 1) AS batch, o_orderkey AS page, o_custkey % 5 AS copy_id, 1 + o_orderkey % 2 AS n FROM orders),

@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from tallyloom.plans.registry import TWINS, query
-from tallyloom.plans.review_plans import _cells_text, new_readings, old_copies
+from tallyloom.plans.review_plans import WHOLE, _cells_text, new_readings, old_copies, whole_new, whole_old, whole_text
+from tallyloom.schemas import BY_QUESTION
 from tallyloom.session import scratch_folder
 from tallyloom.streaming import events, ingest
 
@@ -19,6 +20,17 @@ def s1(t):
         F.array_join("flags", ";").alias("flags"), "student_override", "cv_student_id")
 
 
+@query("s1_full_copy", WHOLE)
+def s1_full(t):
+    incoming, store, state = (scratch_folder(t.spark, n) for n in ("incoming", "store", "state"))
+    ingest.write_store(whole_old(t), store)
+    new = whole_new(t)
+    maps = [c for c in BY_QUESTION if c in new.columns]
+    new.withColumns({c: F.transform_keys(c, lambda k, v: k.cast("string")) for c in maps}).write.json(incoming)
+    ingest.ingest_readings(t.spark, incoming, store, state).awaitTermination()
+    return whole_text(ingest.read_store(t.spark, store))
+
+
 def _events(t):
     """The event table as a stream."""
     source = t.spark.readStream.schema(t.events.schema).option("pathGlobFilter", "events.parquet").parquet(t.folder)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions.numbers import frac
-from tallyloom.schemas import COPY, SUBJECT
+from tallyloom.schemas import BY_QUESTION, COPY, SUBJECT
 
 PAGE_FILE = r"([^/]+)/page_(\d+)\.json$"
 
@@ -17,11 +17,15 @@ def parse_copies(documents: DataFrame) -> dict[str, DataFrame]:
         "path", F.regexp_extract("path", PAGE_FILE, 1).alias("batch"), F.regexp_extract("path", PAGE_FILE, 2).cast("int").alias("page"),
         F.from_json("json", COPY, {"mode": "PERMISSIVE"}).alias("d"), F.try_parse_json("json").isNull().alias("_broken"))
     copies = placed.filter("NOT _broken").select("batch", "page", "d.*")
-    for name in ("answers", "_cv_answers", "_amc_answers"):
-        numbered = F.transform_keys(F.map_filter(name, lambda k, v: k.try_cast("int").isNotNull()), lambda k, v: k.cast("int"))
-        copies = copies.withColumn(name, numbered)
     renamed = copies.select("batch", "page", *[F.col(c).alias(c.lstrip("_")) for c in copies.columns if c not in ("batch", "page")])
-    return {"copies": renamed, "unreadable": placed.filter("_broken").select("path", "batch", "page")}
+    return {"copies": numbered_questions(renamed), "unreadable": placed.filter("_broken").select("path", "batch", "page")}
+
+
+def numbered_questions(copies: DataFrame) -> DataFrame:
+    """Questions of the maps as numbers; entries under other keys are dropped."""
+    maps = [c for c in BY_QUESTION if c in copies.columns]
+    return copies.withColumns({
+        c: F.transform_keys(F.map_filter(c, lambda k, v: k.try_cast("int").isNotNull()), lambda k, v: k.cast("int")) for c in maps})
 
 
 def read_copies(spark: SparkSession, root: str) -> dict[str, DataFrame]:

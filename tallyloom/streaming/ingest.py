@@ -1,61 +1,157 @@
 """New page readings merged into the stored copies as they arrive.
 
-The store is parquet, partitioned by batch and by page range, so a micro-batch rewrites only the
-ranges it touches however large a batch grows. The merge is idempotent, so a micro-batch that is
-run again after a failure leaves the same store.
+The store is versioned parquet. A micro-batch writes the page ranges it touches, whole, into a folder of its own
+(``data/v=N``, partitioned by batch and page range) and then, last of all, a manifest (``manifest/v=N``) that names N as the live version
+of these ranges. A manifest counts once its success marker exists, so readers see the copies before or after a micro-batch
+and never a part of it, and a run lost between the two leaves the old copies as they were; its data is overwritten by the
+next one. Only the live version folders of the touched ranges are listed and read. One job writes a store at a time.
+
+The merge is idempotent, so a micro-batch that is run again after a failure leaves the same copies.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tallyloom.operators.merging import COPY_COLUMNS, upsert_readings
-from tallyloom.schemas import READING
+from tallyloom.operators.merging import WHOLE_COLUMNS, swallowed_pages, upsert_readings
+from tallyloom.schemas import BY_QUESTION, COPY, READING
 from tallyloom.session import durable, ensure_checkpoint_dir
+from tallyloom.sources.documents import numbered_questions
 
 PAGES_PER_RANGE = 10_000
 PARTS = ["batch", "page_range"]
-STORE = ("page long, student_id string, student_name string, answers map<int,array<string>>, cv_answers map<int,array<string>>, "
-         "flags array<string>, reviewed_cells array<string>, reviewed_questions array<int>, reviewed_id boolean, "
-         "student_override string, cv_student_id string, batch string, page_range long")
+#: a manifest with every live range, instead of the touched ones alone, is written once in so many versions
+WHOLE_MANIFEST = 32
+
+
+def _store_schema() -> T.StructType:
+    kinds = {f.name.lstrip("_"): f.dataType for f in COPY}
+    for name in BY_QUESTION:
+        kinds[name] = T.MapType(T.IntegerType(), kinds[name].valueType)
+    kinds["reviewed_questions"] = T.ArrayType(T.IntegerType())
+    columns = [T.StructField(c, kinds[c]) for c in WHOLE_COLUMNS]
+    return T.StructType([T.StructField("page", T.LongType()), *columns, T.StructField("batch", T.StringType()), T.StructField("page_range", T.LongType())])
+
+
+STORE = _store_schema()
+DATA = T.StructType([*STORE.fields, T.StructField("v", T.LongType())])
+MANIFEST = "batch string, page_range long, live long, whole boolean"
 
 
 def with_range(copies: DataFrame) -> DataFrame:
     return copies.withColumn("page_range", F.floor(F.col("page") / PAGES_PER_RANGE))
 
 
+def committed_versions(spark: SparkSession, path: str) -> list[int]:
+    """Versions whose manifest is complete, in order."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(folder):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(folder)]
+    done = [n for n in names if n.startswith("v=") and files.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/manifest/{n}/_SUCCESS"))]
+    return sorted(int(n[2:]) for n in done)
+
+
+def live_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """(batch, page_range, v): the live version of every page range, by all manifests from the last whole one on."""
+    versions = committed_versions(spark, path)
+    if not versions:
+        return spark.createDataFrame([], "batch string, page_range long, v long")
+    since = next((i for i in range(len(versions) - 1, 0, -1) if versions[i] % WHOLE_MANIFEST == 0), 0)
+    rows = spark.read.schema(MANIFEST).parquet(*[f"{path}/manifest/v={v}" for v in versions[since:]])
+    return rows.groupBy("batch", "page_range").agg(F.max("live").alias("v"))
+
+
+def _commit(copies: DataFrame, path: str, touched: DataFrame) -> None:
+    """Write ``copies`` as the next version of the page ranges ``touched``, data first, manifest last; a range may be empty now."""
+    spark = copies.sparkSession
+    versions = committed_versions(spark, path)
+    version = versions[-1] + 1 if versions else 0
+    columns = [F.col(c).cast(STORE[c].dataType).alias(c) if c in copies.columns else F.lit(None).cast(STORE[c].dataType).alias(c) for c in STORE.fieldNames()]
+    copies.select(*columns).repartition(*PARTS).write.mode("overwrite").partitionBy(*PARTS).parquet(f"{path}/data/v={version}")
+    manifest = touched.select("batch", F.col("page_range").cast("long").alias("page_range"), F.lit(version).cast("long").alias("live"))
+    if version % WHOLE_MANIFEST == 0:
+        manifest = manifest.union(live_ranges(spark, path).join(manifest, PARTS, "left_anti").select("batch", "page_range", "v"))
+    manifest.withColumn("whole", F.lit(version % WHOLE_MANIFEST == 0)).write.mode("overwrite").parquet(f"{path}/manifest/v={version}")
+
+
 def write_store(copies: DataFrame, path: str) -> None:
-    """Replace the page ranges that ``copies`` covers."""
-    ready = with_range(copies.select("batch", F.col("page").cast("long").alias("page"), *COPY_COLUMNS))
-    ready.repartition(*PARTS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTS).parquet(path)
+    """Replace the page ranges that ``copies`` covers; columns of the store that they lack are null."""
+    ready = with_range(copies.withColumn("page", F.col("page").cast("long")))
+    _commit(ready, path, ready.select(*PARTS).distinct())
+
+
+def _versions(spark: SparkSession, path: str, numbers: list[int]) -> DataFrame:
+    if not numbers:
+        return spark.createDataFrame([], DATA)
+    return spark.read.schema(DATA).option("basePath", f"{path}/data").parquet(*[f"{path}/data/v={v}" for v in sorted(numbers)])
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(STORE).parquet(path)
+    """All live copies."""
+    live = live_ranges(spark, path)
+    numbers = [r["v"] for r in live.select("v").distinct().collect()]
+    return _versions(spark, path, numbers).join(live, [*PARTS, "v"], "left_semi").select(*STORE.fieldNames())
+
+
+def read_ranges(spark: SparkSession, path: str, touched: DataFrame) -> DataFrame:
+    """The live copies of the ``touched`` page ranges (batch, page_range).
+
+    The ranges are as many as a micro-batch can touch; they become literal partition filters, and only version folders that hold
+    one of them live are listed.
+    """
+    live = live_ranges(spark, path).join(touched, PARTS).collect()
+    wanted = spark.createDataFrame([(r["batch"], r["page_range"], r["v"]) for r in live], "batch string, page_range long, v long")
+    rows = _versions(spark, path, list({r["v"] for r in live}))
+    rows = rows.filter(F.col("page_range").isin(sorted({r["page_range"] for r in live})) & F.col("batch").isin(sorted({r["batch"] for r in live})))
+    return rows.join(wanted, [*PARTS, "v"], "left_semi").select(*STORE.fieldNames())
+
+
+def vacuum(spark: SparkSession, path: str) -> list[int]:
+    """Remove version folders in which no range is live, manifests before the last whole one, and return their numbers.
+
+    Whoever still reads an older state loses it, so this is for times without readers.
+    """
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/data")
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    live = {r["v"] for r in live_ranges(spark, path).select("v").distinct().collect()}
+    dead = sorted(int(s.getPath().getName()[2:]) for s in files.listStatus(folder) if s.getPath().getName().startswith("v=") and int(s.getPath().getName()[2:]) not in live)
+    for version in dead:
+        files.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/data/v={version}"), True)
+    versions = committed_versions(spark, path)
+    since = next((v for v in reversed(versions) if v % WHOLE_MANIFEST == 0), 0)
+    for version in [v for v in versions if v < since]:
+        files.delete(jvm.org.apache.hadoop.fs.Path(f"{path}/manifest/v={version}"), True)
+    return dead
 
 
 def merge_batch(new: DataFrame, path: str) -> None:
-    """Upsert one set of readings; the last file wins when a page comes twice."""
+    """Upsert one set of readings; the last file wins when a page comes twice.
+
+    Pages that a reading lists as later sheets of its copy are no copies any more.
+    """
     spark = new.sparkSession
     place = F.struct("_time", "_file")
-    latest = new.groupBy("batch", "page").agg(F.max_by(F.struct("student_id", "answers", "flags"), place).alias("r"))
+    fields = [c for c in new.columns if c not in ("batch", "page", "_time", "_file")]
+    latest = new.groupBy("batch", "page").agg(F.max_by(F.struct(*fields), place).alias("r"))
     latest = durable(with_range(latest.select("batch", "page", "r.*")))
-    touched = latest.select(*PARTS).distinct()
-    old = read_store(spark, path).join(touched, PARTS, "left_semi").drop("page_range")
-    # written out before the ranges it was read from are replaced
-    merged = durable(upsert_readings(old, latest.drop("page_range")))
-    write_store(merged, path)
+    gone = with_range(swallowed_pages(latest)).select(*PARTS) if "sheets" in fields else latest.select(*PARTS).limit(0)
+    touched = durable(latest.select(*PARTS).union(gone).distinct())
+    old = read_ranges(spark, path, touched).drop("page_range")
+    _commit(with_range(upsert_readings(old, latest.drop("page_range"))), path, touched)
 
 
 def ingest_readings(spark: SparkSession, incoming: str, store: str, checkpoint: str, files_per_trigger: int = 1000,
                     available_now: bool = True) -> StreamingQuery:
     """Start the job; with ``available_now`` it stops once the waiting files are merged."""
     ensure_checkpoint_dir(spark)
-    readings = spark.readStream.schema(READING).option("maxFilesPerTrigger", files_per_trigger).json(incoming) \
-        .withColumn("answers", F.transform_keys(
-            F.map_filter("answers", lambda k, v: k.try_cast("int").isNotNull()), lambda k, v: k.cast("int"))) \
+    readings = numbered_questions(spark.readStream.schema(READING).option("maxFilesPerTrigger", files_per_trigger).json(incoming)) \
         .select("*", F.col("_metadata.file_modification_time").alias("_time"), F.col("_metadata.file_path").alias("_file"))
     writer = readings.writeStream.foreachBatch(lambda df, _: merge_batch(df, store)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
