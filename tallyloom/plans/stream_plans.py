@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from tallyloom.plans.registry import TWINS, query
-from tallyloom.plans.review_plans import WHOLE, _cells_text, new_readings, old_copies, whole_new, whole_old, whole_text
+from tallyloom.operators import review
+from tallyloom.plans.registry import TWINS, query, view
+from tallyloom.plans.review_plans import WHOLE, _cells_text, judged, new_readings, old_copies, whole_new, whole_old, whole_text
 from tallyloom.schemas import BY_QUESTION
-from tallyloom.session import scratch_folder
+from tallyloom.session import durable, scratch_folder
 from tallyloom.streaming import events, ingest
 
 
@@ -56,3 +57,35 @@ def s2_toggles(t):
         "copy_key", (1 + F.col("event_id") % 7).cast("int").alias("q"), letter.alias("ch"))
     events.changes_to(events.running_toggles(edits), out, state).awaitTermination()
     return events.latest_state(t.spark.read.parquet(out), ["copy_key", "q", "ch"], ["n_toggles", "flipped"])
+
+
+view("fx_decision", "SELECT ts, event_id, copy_key, q, ch, event_id % 3 > 0 AS reviewed FROM {fx_edit}")
+view("fx_tw_open", """
+WITH c AS (SELECT copy_key, q, ch FROM {fx_tw_judged} WHERE NOT reviewed),
+d AS (SELECT copy_key, q, ch FROM (SELECT *, row_number() OVER (PARTITION BY copy_key, q, ch ORDER BY ts DESC, event_id DESC) AS rn FROM {fx_decision}) WHERE rn = 1 AND reviewed)
+SELECT k.copy_key, k.batch, count(c.q) AS n_total, count(c.q) - count(d.q) AS n_open
+FROM {fx_copy} k LEFT JOIN c ON c.copy_key = k.copy_key LEFT JOIN d ON d.copy_key = c.copy_key AND d.q = c.q AND d.ch = c.ch GROUP BY 1, 2""")
+
+
+def _open_counts(t):
+    """The stream of decisions run to its end over the cells that wait for one."""
+    out, state = scratch_folder(t.spark, "open"), scratch_folder(t.spark, "state")
+    waiting = durable(events.open_totals(t.fx_copy, review.open_cells(judged(t))))
+    letter = F.substring(F.lit("ABCD"), (F.floor(F.abs("value")).cast("int") % 4 + 1), F.lit(1))
+    decisions = _events(t).filter("batch = 'click'").select(
+        "ts", "event_id", "copy_key", (1 + F.col("event_id") % 7).cast("int").alias("q"), letter.alias("ch"), (F.col("event_id") % 3 > 0).alias("reviewed"))
+    events.changes_to(events.running_open_counts(decisions, waiting), out, state).awaitTermination()
+    schema = t.spark.createDataFrame([], events.OPEN_COUNTS + ", batch_id long").schema
+    last = events.latest_state(t.spark.read.schema(schema).parquet(out), ["copy_key"], ["n_decided"])
+    return events.open_counts_now(waiting, last)
+
+
+@query("s2_open_counts", "SELECT copy_key, batch, n_total, n_open FROM fx_tw_open")
+def s2_open(t):
+    return _open_counts(t)
+
+
+@query("s2_progress", """
+SELECT batch, count(*) AS n_copies, count(*) FILTER (n_open = 0) AS n_finished, CAST(sum(n_total) AS BIGINT) AS n_total, CAST(sum(n_total - n_open) AS BIGINT) AS n_done FROM fx_tw_open GROUP BY ROLLUP (batch)""")
+def s2_progress(t):
+    return events.progress(_open_counts(t))

@@ -1,10 +1,16 @@
-"""Review events: activity per time window, and the running state of toggled cells."""
+"""Review events: activity per time window, the running state of toggled cells, and what is left to review."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from tallyloom.functions.text import cell_key
 
 
 def activity(events: DataFrame, width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
@@ -24,6 +30,73 @@ def running_toggles(events: DataFrame) -> DataFrame:
     return counted.withColumn("flipped", F.col("n_toggles") % 2 == 1)
 
 
+#: time of a decision whose order no longer matters
+LONG_AGO = -(1 << 62)
+OPEN_STATE = "cells array<string>, times array<long>, ids array<long>, reviewed array<boolean>"
+OPEN_COUNTS = "copy_key long, batch string, n_total long, n_open long, n_decided long, last_ts timestamp"
+
+
+def open_totals(copies: DataFrame, open_cells: DataFrame) -> DataFrame:
+    """What a review starts from: ``(copy_key, batch, cells)``, the cells of each copy that wait for a decision.
+
+    A row holds the cells of one copy; copies with nothing to decide have an empty array.
+    """
+    waiting = open_cells.groupBy("copy_key").agg(F.array_sort(F.collect_set(cell_key("q", "ch"))).alias("cells"))
+    return copies.select("copy_key", "batch").join(waiting, "copy_key", "left").withColumn("cells", F.coalesce("cells", F.array().cast("array<string>")))
+
+
+def running_open_counts(events: DataFrame, totals: DataFrame, delay: str = "1 hour") -> DataFrame:
+    """Open cells of each copy as its review events come, an update row per copy and micro-batch.
+
+    ``events(ts, event_id, copy_key, q, ch, reviewed)`` is a stream; ``totals`` comes from ``open_totals``. The decision latest in
+    (ts, event_id) stands, whatever the order of arrival, so events that come late or twice count as if they had come in
+    order and once; those that come after the watermark (``delay``) are dropped. The state is one row per copy. When the
+    watermark has passed all events of a copy, the times leave its state: whatever still comes is later than they are.
+    """
+    placed = events.select("ts", "event_id", "copy_key", cell_key("q", "ch").alias("cell"), "reviewed").join(totals, "copy_key").withWatermark("ts", delay)
+
+    def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {c: (t, i, r) for c, t, i, r in zip(*state.get, strict=True)} if state.exists else {}
+        if state.hasTimedOut:
+            state.update(([*held], [LONG_AGO] * len(held), [LONG_AGO] * len(held), [r for *_, r in held.values()]))
+            return
+        last = None
+        for rows in parts:
+            if not len(rows):
+                continue
+            cells, batch = rows["cells"].iloc[0], rows["batch"].iloc[0]
+            times = rows["ts"].astype("int64") if rows["ts"].dtype.kind == "M" else pd.to_datetime(rows["ts"]).astype("int64")
+            for cell, time, number, reviewed in zip(rows["cell"], times.tolist(), rows["event_id"].tolist(), rows["reviewed"].tolist(), strict=True):
+                if cell not in held or (time, number) > held[cell][:2]:
+                    held[cell] = (time, number, bool(reviewed))
+            newest = rows["ts"].max()
+            last = newest if last is None or newest > last else last
+        if last is None:
+            return
+        state.update(([*held], [t for t, *_ in held.values()], [i for _, i, _ in held.values()], [r for *_, r in held.values()]))
+        now = state.getCurrentWatermarkMs()
+        state.setTimeoutTimestamp(max(int(last.timestamp() * 1000), now) + 1)
+        decided = sum(held[c][2] for c in cells if c in held)
+        yield pd.DataFrame({"copy_key": [key[0]], "batch": [batch], "n_total": [len(cells)], "n_open": [len(cells) - decided], "n_decided": [decided], "last_ts": [last]})
+
+    return placed.groupBy("copy_key").applyInPandasWithState(fold, OPEN_COUNTS, OPEN_STATE, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def open_counts_now(totals: DataFrame, state: DataFrame) -> DataFrame:
+    """``(copy_key, batch, n_total, n_open)`` of every copy: its last update, or all its cells if it had none."""
+    decided = state.select("copy_key", "n_decided")
+    start = totals.select("copy_key", "batch", F.size("cells").cast("long").alias("n_total"))
+    return start.join(decided, "copy_key", "left").select("copy_key", "batch", "n_total", (F.col("n_total") - F.coalesce("n_decided", F.lit(0))).alias("n_open"))
+
+
+def progress(counts: DataFrame) -> DataFrame:
+    """Done and total, in cells and in copies, per batch and in all (``batch`` null)."""
+    sums = counts.groupBy("batch", "n_total", "n_open").agg(F.count("*").alias("n"))  # counted values before the totals of a batch meet
+    return sums.rollup("batch").agg(
+        F.sum("n").alias("n_copies"), F.sum(F.when(F.col("n_open") == 0, F.col("n")).otherwise(0)).alias("n_finished"),
+        F.sum(F.col("n") * F.col("n_total")).alias("n_total"), F.sum(F.col("n") * (F.col("n_total") - F.col("n_open"))).alias("n_done"))
+
+
 def append_to(frame: DataFrame, path: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Closed windows appended to a table, each exactly once."""
     writer = frame.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint)
