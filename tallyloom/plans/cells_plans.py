@@ -316,9 +316,48 @@ def k10(t):
     return evaluate.assign_folds(t.fx_cell)
 
 
+#: all measures of a cell: against its question and copy, and of its picture
+CONTEXT = ["ratio", "masked", "ratio_minus_q_median", "ratio_z_in_q", "ratio_minus_copy_baseline", "question_threshold", "ratio_above_threshold"]
+PICTURE = ["paper_level", "mean_intensity", "std_intensity", "fill_ratio", "dark_ratio", "light_gray_ratio", "centroid_dx", "centroid_dy", "dark_std_x", "dark_std_y"]
+
+
+def _all_measures(t):
+    """Cells with all their measures; the pictures are dealt out by copy and question."""
+    from tallyloom.session import durable
+    grey = F.transform("pixels", lambda x: F.greatest(F.lit(0), F.least(F.lit(255), F.floor(140 + 500 * x.cast("double")).cast("int"))))
+    pictures = cells.intensity_features(t.fx_intensity.select("cell_key", grey.alias("pixels")), "pixels", 8)
+    n = t.fx_intensity.agg(F.count("*"))
+    data = cells.context_features(t.fx_cell).withColumn("cell_key", F.pmod(F.col("copy_key") * 7 + F.col("q"), n.scalar()))
+    joined = data.join(pictures, "cell_key", "left").withColumnRenamed("truth", "label").withColumn("threshold", F.col("question_threshold"))
+    return durable(joined.select("copy_key", "q", "ch", "label", "threshold", *CONTEXT, *PICTURE))
+
+
+def _fold_scores(t):
+    return model.cross_validate(_all_measures(t), CONTEXT + PICTURE, k=5)
+
+
 @query("k10_cross_validate")
 def k10_scores(t):
-    return model.cross_validation_summary(model.cross_validate(_training(t), FEATURES, k=5))
+    return model.cross_validation_summary(_fold_scores(t))
+
+
+@query("k10_fold_scores")
+def k10_folds(t):
+    return _fold_scores(t)
+
+
+_BASE = "count(*) FILTER ({0} AND b = 1 AND label = 1) AS baseline_tp{1}, count(*) FILTER ({0} AND b = 1 AND label = 0) AS baseline_fp{1}, count(*) FILTER ({0} AND b = 0 AND label = 1) AS baseline_fn{1}, count(*) FILTER ({0} AND b = 0 AND label = 0) AS baseline_tn{1}"
+
+
+@query("k10_fold_baseline", f"""
+WITH f AS (SELECT copy_key, CAST((row_number() OVER (ORDER BY n DESC, md5(CAST(copy_key AS VARCHAR) || '-42'), copy_key) - 1) % 5 AS INT) AS fold FROM (SELECT copy_key, count(*) AS n FROM fx_cell GROUP BY 1)),
+p AS (SELECT fold, label, prediction AS b, ratio BETWEEN 0.2::DOUBLE AND 0.45::DOUBLE AS z FROM fx_tw_pred t JOIN f ON f.copy_key = t.copy_key),
+c AS (SELECT fold, count(*) AS n, count(*) FILTER (z) AS n_ambiguous, {_BASE.format("true", "")}, {_BASE.format("z", "_ambiguous")} FROM p GROUP BY 1)
+SELECT *, round((baseline_tp + baseline_tn) / n, 6) AS baseline_accuracy, round((baseline_tp_ambiguous + baseline_tn_ambiguous) / nullif(n_ambiguous, 0), 6) AS baseline_accuracy_ambiguous FROM c""")
+def k10_baseline(t):
+    folded = predicted(t).join(evaluate.assign_folds(t.fx_cell).select("copy_key", "fold"), "copy_key")
+    scores = model.fold_scores(folded)
+    return _rounded(scores.select("fold", "n", "n_ambiguous", *[c for c in scores.columns if c.startswith("baseline_")]))
 
 
 view("fx_tw_bench", """

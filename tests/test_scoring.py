@@ -129,7 +129,7 @@ def test_unlinked_copies_are_counted_apart(spark):
     assert cohort.unlinked(rows).first()["n_unlinked"] == 1
 
 
-@pytest.mark.parametrize("name", ["k6_train_and_predict", "k7_model_scores", "k10_cross_validate", "k22_permutation_importance"])
+@pytest.mark.parametrize("name", ["k6_train_and_predict", "k7_model_scores", "k22_permutation_importance"])
 def test_model_queries_fit_all_rounds_and_score_other_copies(spark, monkeypatch, name):
     import __spark_entry__ as entry
     from tallyloom.operators import model
