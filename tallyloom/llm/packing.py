@@ -35,9 +35,10 @@ class Encoder:
     signs after them. Whatever is new is encoded by the library.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached: int):
         from tokenizers import Tokenizer
 
+        self.cached = cached
         self.library = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {"": b""}
 
@@ -59,7 +60,7 @@ class Encoder:
         return {run: ids[a:b].tobytes() for run, a, b in zip(runs, [0, *ends[:-1].tolist()], ends.tolist(), strict=True)}
 
     def texts(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHED_RUNS:
+        if len(self.known) > self.cached:
             self.known = {"": b""}
         known = self.known
         runs = [t.replace("\n", " ").split(" ") for t in texts]
@@ -79,14 +80,14 @@ class Encoder:
 
 
 @cache
-def encoder(name: str) -> Encoder:
-    """One encoder for each worker and vocabulary."""
+def encoder(name: str, cached: int = CACHED_RUNS) -> Encoder:
+    """One encoder for each worker and vocabulary, which keeps ``cached`` runs at most between batches."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
     import public_tokenizers
 
-    return Encoder(public_tokenizers.path(name))
+    return Encoder(public_tokenizers.path(name), cached)
 
 
 def binary_lengths(n: int, longest: int) -> list[int]:
@@ -100,7 +101,7 @@ def binary_lengths(n: int, longest: int) -> list[int]:
     return pieces
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = "word_bpe_49k.json", end: int = 2, longest: int = 4096) -> DataFrame:
+def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = "word_bpe_49k.json", end: int = 2, longest: int = 4096, cached: int = CACHED_RUNS) -> DataFrame:
     """One row per piece: ``key``, start, length, ids, doc_tokens, sequence_id, offset, bucket.
 
     ``ids`` are the little-endian unsigned 32-bit ids; ``bucket`` is the binary logarithm of the length: sequences of one
@@ -117,7 +118,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = TaskContext.get().partitionId() << 33
-        encode = encoder(vocabulary).texts
+        encode = encoder(vocabulary, cached).texts
         for whole in batches:
             for batch in chunks(whole, "doc_text"):
                 keys = batch.column(0)

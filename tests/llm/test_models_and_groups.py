@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tallyloom.llm import ann, jaccard, lm_score, quality, queries, simhash
+from tallyloom.llm import ann, lm_score, quality, queries, simhash
 
 FOLDER = "/root/testdata/sf0.001"
 REPO = Path(__file__).resolve().parents[2]
@@ -87,13 +87,6 @@ def test_links_span_the_groups_of_dense_and_sparse_prints(spark, monkeypatch, bl
     assert forest < 3 * len(prints)  # never all pairs
 
 
-def test_one_of_each_group_stays(spark):
-    rows = [(5, "same text here", 1), (3, "Same text here", 2), (3, "same TEXT here", 3), (9, "other words altogether", 4), (None, "same text here", 5), (None, "lonely row of words", 6), (None, "lonely row of words", 7)]
-    kept = simhash.keep_one(frame(spark, rows, "doc_id long, text string, fp int")).collect()
-    assert sorted((r.doc_id or 0, r.text.lower()) for r in kept) == [(0, "lonely row of words"), (3, "same text here"), (9, "other words altogether")]
-    assert simhash.keep_one(frame(spark, [])).count() == 0 and simhash.near_duplicates(frame(spark, [])).count() == 0
-
-
 def brute_kept(docs, n=5):
     sets = {}
     for i, t in docs:
@@ -111,11 +104,12 @@ def brute_kept(docs, n=5):
     return kept
 
 
-@pytest.mark.parametrize("most_common", [0, 200_000])
-def test_the_stage_keeps_one_of_each_group_at_a_similarity_of_four_fifths(spark, monkeypatch, most_common):
+@pytest.mark.parametrize(("block", "held", "leaf"), [(65_536, 8_000_000, 1 << 18), (20, 3_000, 64)])
+def test_the_stage_keeps_one_of_each_group_at_a_similarity_of_four_fifths(spark, monkeypatch, block, held, leaf):
     import corpus_pipeline
 
-    monkeypatch.setattr(jaccard, "MOST_COMMON", most_common)
+    for name, value in (("BLOCK", block), ("HELD", held), ("LEAF", leaf)):
+        monkeypatch.setattr(simhash, name, value)
     rng = np.random.default_rng(7)
     vocabulary = [f"w{i}" for i in range(3000)]
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()]
@@ -124,6 +118,9 @@ def test_the_stage_keeps_one_of_each_group_at_a_similarity_of_four_fifths(spark,
         for _ in range(6):  # some pairs just above, some just below, some only through a third
             base = [w if rng.random() > rng.choice([0.005, 0.02, 0.03]) else str(rng.choice(vocabulary)) for w in base]
             docs.append((10_000 + len(docs), " ".join(base)))
+    for n in range(4, 12):  # the smallest sets that can be similar without being equal
+        base = rng.choice(vocabulary, n + 4).tolist()
+        docs += [(20_000 + 10 * n + i, " ".join(words)) for i, words in enumerate((base, [*base, "end"], base[:-1], [*base[:-1], "other"]))]
     docs += [(30_000, ""), (30_001, None), (30_002, "One two"), (30_003, "one  TWO"), (30_004, "one")]
     kept = corpus_pipeline.near_duplicates(spark, frame(spark, docs), FOLDER)
     assert sorted(r.doc_id for r in kept.collect()) == brute_kept(docs)
@@ -131,9 +128,31 @@ def test_the_stage_keeps_one_of_each_group_at_a_similarity_of_four_fifths(spark,
 
 def test_one_of_each_similar_group_stays(spark):
     rows = [(5, "same text here", 1), (3, "Same text here", 2), (3, "same TEXT here", 3), (3, "third text of this key", 8), (9, "other words altogether", 4), (None, "same text here", 5), (None, "lonely row of words", 6), (None, "lonely row of words", 7)]
-    kept = jaccard.keep_one(frame(spark, rows, "doc_id long, text string, fp int")).collect()
+    kept = simhash.keep_one(frame(spark, rows, "doc_id long, text string, _sid int")).collect()
     assert sorted((r.doc_id or 0, r.text.lower()) for r in kept) == [(0, "lonely row of words"), (3, "same text here"), (3, "third text of this key"), (9, "other words altogether")]
-    assert jaccard.keep_one(frame(spark, [])).count() == 0
+    assert {r._sid for r in kept} <= {2, 3, 8, 4, 6, 7}
+    assert simhash.keep_one(frame(spark, [])).count() == 0
+    clash = frame(spark, [(1, "a b c", 5, 6), (2, "A b c", 7, 8), (3, None, 9, 9)], "doc_id long, text string, kept_key int, sid int")
+    assert sorted(tuple(r) for r in simhash.keep_one(clash).collect()) == [(1, "a b c", 5, 6), (3, None, 9, 9)]
+
+
+def test_a_large_group_gives_a_forest_and_long_texts_are_whole(spark):
+    rng = np.random.default_rng(9)
+    base = [f"w{i}" for i in range(400)]
+    docs = []
+    for i in range(300):
+        own = list(base)
+        for k in rng.integers(0, 400, 3):
+            own[k] = f"x{i}"
+        docs.append((i, " ".join(own)))
+    long = " ".join(f"v{i}" for i in range(60_000))
+    docs += [(900, long), (901, long + " tail"), (902, long[: len(long) // 2])]
+    keyed = frame(spark, docs, "doc_key long, doc_text string")
+    sets = simhash.wide_prints(keyed, 5).withColumnRenamed("doc_key", "key")
+    links = simhash.similar_links(sets, keyed, 5, (4, 5), simhash.WIDE_RADIUS)
+    assert 300 <= links.count() <= 4 * 303
+    kept = {r.doc_id for r in simhash.keep_one(frame(spark, docs)).collect()}
+    assert kept == set(brute_kept(docs)) and {900, 902} <= kept and 901 not in kept
 
 
 # ---- neighbours
@@ -299,7 +318,7 @@ def test_stages_keep_columns_and_their_decisions_take_effect(spark):
     item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").where("length(text) > 120").first().text
     secret = "token = f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"
     text = docs.where("length(text) > 800").first().text
-    planted = [(90_001, text + " " + item), (90_002, text[:700] + " " + secret), (90_003, text[:700] + " " + secret), (90_004, "a few plain words of a short but fine text.")]
+    planted = [(90_001, " ".join(reversed(text.split())) + " " + item), (90_002, text[:700] + " " + secret), (90_003, text[:700] + " " + secret), (90_004, "a few plain words of a short but fine text.")]
     ddl = "doc_id long, text string, lang string, source string, n_chars long"
     docs = docs.unionByName(frame(spark, [(i, t, "en", "s", len(t)) for i, t in planted], ddl))
     scored = {r.doc_id: r.predicted for r in quality.add_score(docs, quality.train(docs, spark.read.parquet(f"{FOLDER}/labels.parquet"))).collect()}
@@ -311,8 +330,7 @@ def test_stages_keep_columns_and_their_decisions_take_effect(spark):
         if n == 0:
             assert ids == {i for i, p in scored.items() if p}
         if n == 1:
-            groups = simhash.near_duplicates(before).collect()
-            assert ids == {r.component_id for r in groups} and kept.count() == len(ids) and not {90_002, 90_003} <= ids
+            assert sorted(ids) == brute_kept([(r.doc_id, r.text) for r in before.collect()]) and kept.count() == len(ids) and not {90_002, 90_003} <= ids
         if n == 2:
             hit = {r.doc_id for r in decontaminate.find_overlaps(before, spark.read.parquet(f"{FOLDER}/benchmark.parquet")).where("size(hits) > 0").collect()}
             assert 90_001 in hit and ids == {r.doc_id for r in before.collect()} - hit
@@ -324,6 +342,22 @@ def test_stages_keep_columns_and_their_decisions_take_effect(spark):
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == {r.doc_id for r in kept.collect()}
 
 
+def test_stages_keep_the_values_of_columns_named_like_their_own(spark):
+    import corpus_pipeline
+
+    names = ["score", "predicted", "n_words", "hits", "items", "spans", "masked", "n_assign", "base_spans", "stat_upper", "sid", "kept_key", "own_columns", "doc_text"]
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, FOLDER)
+        assert kept.columns == docs.columns, name
+        rows = kept.collect()
+        assert rows and all(r[n] == f"{n}{r.doc_id}" for r in rows for n in names), name
+        assert stage(spark, docs.limit(0), FOLDER).count() == 0
+    odd = frame(spark, [(1, None, None, None, None), (1, "", "en", "s", 0), (None, "a b", "en", "s", 3)], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        assert {(r.doc_id, r.text) for r in stage(spark, odd, FOLDER).collect()} <= {(1, None), (1, ""), (None, "a b")}, name
+
+
 def test_the_run_is_all_stages(spark):
     import corpus_pipeline
 
@@ -341,4 +375,4 @@ def test_the_library_stands_without_these_folders(tmp_path):
 
 
 def test_every_operator_has_a_registered_query():
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{n}" for n in range(1, 14)]
