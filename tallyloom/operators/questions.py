@@ -28,11 +28,11 @@ def score_distribution(copies: DataFrame, scored: DataFrame, key: DataFrame) ->
     return answered.unionByName(blanks.filter("n > 0")).groupBy("q", "score").agg(F.sum("n").alias("n"))
 
 
-def question_stats(distribution: DataFrame, key: DataFrame) -> DataFrame:
-    """Evaluations, perfect answers, mean normalised (may be negative) and raw score per question."""
-    joined = distribution.join(key.select("q", "max_score").filter("max_score > 0"), "q")
+def question_stats(distribution: DataFrame, key: DataFrame, by: tuple[str, ...] = ("q",)) -> DataFrame:
+    """Evaluations, perfect answers, mean normalised (may be negative) and raw score per question, told apart by ``by``."""
+    joined = distribution.join(key.select(*by, "max_score").filter("max_score > 0"), list(by))
     total = F.sum(F.col("n") * F.col("score"))
-    return joined.groupBy("q", "max_score").agg(
+    return joined.groupBy(*by, "max_score").agg(
         F.sum("n").alias("n_eval"),
         F.coalesce(F.sum(F.when(F.col("score") >= F.col("max_score") - PERFECT, F.col("n"))), F.lit(0)).alias("n_perfect"),
         total.alias("sum_score"), (total / F.sum("n")).alias("mean_score")).withColumn(

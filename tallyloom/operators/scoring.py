@@ -56,17 +56,18 @@ def option_points(questions: DataFrame, options: DataFrame) -> DataFrame:
 
 
 def question_key(questions: DataFrame, options: DataFrame, floor: float | None = None,
-                 ceiling: float | None = None) -> DataFrame:
+                 ceiling: float | None = None, by: tuple[str, ...] = ("q",)) -> DataFrame:
     """One row per question: masks, points, bounds, maximum and the score of a blank answer.
 
-    ``questions(q, qtype, value, lo, hi, grp)``, ``options(q, pos, ch, correct, pts)``.
+    ``questions(q, qtype, value, lo, hi, grp)``, ``options(q, pos, ch, correct, pts)``; ``by`` names the columns that tell questions
+    apart, such as exam and q.
     """
     points = frac("pts")
-    per = options.select("q", "pos", "ch", "correct", points.alias("p")).groupBy("q").agg(
+    per = options.select(*by, "pos", "ch", "correct", points.alias("p")).groupBy(*by).agg(
         F.array_sort(F.collect_list(F.struct("pos", "ch", "correct", "p"))).alias("opts"),
         F.min(F.col("p").isNotNull()).alias("readable"),
         F.coalesce(F.sum(F.when(F.col("correct"), F.coalesce("p", F.lit(0.0)))), F.lit(0.0)).alias("right_points"))
-    key = questions.join(per, "q", "left")
+    key = questions.join(per, list(by), "left")
     correct_mask = F.aggregate(
         F.coalesce("opts", F.array().cast("array<struct<pos:int,ch:string,correct:boolean,p:double>>")),
         F.lit(0).cast("bigint"),
@@ -74,7 +75,7 @@ def question_key(questions: DataFrame, options: DataFrame, floor: float | None =
     value = F.coalesce(frac("value"), F.lit(1.0))
     single = F.col("qtype") == "single"
     key = key.select(
-        "q", "qtype", "grp", value.alias("value"), "opts", correct_mask.alias("correct_mask"),
+        *by, "qtype", "grp", value.alias("value"), "opts", correct_mask.alias("correct_mask"),
         F.coalesce("readable", F.lit(False)).alias("readable"),
         F.coalesce(F.col("lo").cast("double"), F.lit(floor).cast("double")).alias("lo"),
         F.coalesce(F.col("hi").cast("double"), F.lit(ceiling).cast("double")).alias("hi"),

@@ -6,7 +6,7 @@ from tallyloom.plans.registry import QUERIES, TWINS, Tables, twin_sql
 
 _MODULES = (
     "views", "scalar_plans", "scoring_plans", "identity_plans", "marks_plans", "review_plans", "cells_plans", "bank_plans",
-    "stream_plans",
+    "stream_plans", "exam_plans",
 )
 for _name in _MODULES:
     importlib.import_module(f"tallyloom.plans.{_name}")
