@@ -50,7 +50,7 @@ def flagged_cells(diffs: DataFrame, ambiguous: DataFrame) -> DataFrame:
 
 def structural_reason(qtype, n_selected) -> Column:
     n = F.coalesce(F.col(n_selected), F.lit(0))
-    return F.when(F.col(qtype) == "single", F.when(n == 0, NO_ANSWER).when(n > 1, MULTI_ANSWER))
+    return F.when((F.col(qtype) if isinstance(qtype, str) else qtype) == "single", F.when(n == 0, NO_ANSWER).when(n > 1, MULTI_ANSWER))
 
 
 def structural_flags(copies: DataFrame, current: DataFrame, questions: DataFrame, options: DataFrame) -> DataFrame:
@@ -93,6 +93,63 @@ def review_items(copies: DataFrame, cells: DataFrame, structure: DataFrame, done
         F.round(F.greatest("cell_doubt", F.when(F.col("reason").isNotNull(), 0.5)), 4).alias("ambiguity"))
 
 
+# ---- the same from one row per cell
+
+
+CURRENT, MACHINE, SECOND, MARKED = 1, 2, 4, 8
+
+
+def cell_states(current: DataFrame, machine: DataFrame, second: DataFrame, ambiguous: DataFrame, marks: DataFrame) -> DataFrame:
+    """``(copy_key, q, ch, s, m)``: everything known of a cell in one row, from one aggregation over all sources.
+
+    ``s`` has a bit for each reading that ticks the cell (``CURRENT``, ``MACHINE``, ``SECOND``) and for a mark made by hand (``MARKED``);
+    ``m`` holds the stored reasons and measures. Every rule of a review is a projection of this row; repeats change nothing.
+    """
+    q, ch = split_cell_key("cell")
+    by_hand = marks.select("copy_key", q.alias("q"), ch.alias("ch")).filter("q IS NOT NULL AND ch <> ''")
+    kind = "struct<reasons:array<string>,ratio:double,masked:double,proba:double>"
+    measured = ambiguous.select(*CELL, F.lit(0).alias("s"), F.struct("reasons", F.col("ratio").cast("double"), F.col("masked").cast("double"), F.col("proba").cast("double")).cast(kind).alias("m"))
+    rows = measured
+    for source, bit in ((current, CURRENT), (machine, MACHINE), (second, SECOND), (by_hand, MARKED)):
+        rows = rows.unionByName(source.select(*CELL, F.lit(bit).alias("s"), F.lit(None).cast(kind).alias("m")))
+    return rows.groupBy(*CELL).agg(F.bit_or("s").alias("s"), F.first("m", ignorenulls=True).alias("m"))
+
+
+def has(bit: int) -> Column:
+    return F.col("s").bitwiseAND(F.lit(bit)) != 0
+
+
+def placed_cells(copies: DataFrame, states: DataFrame, questions: DataFrame, options: DataFrame) -> DataFrame:
+    """Cells that are options of the questions their copy carries: their state, reasons, ``flagged`` and ``reviewed``."""
+    valid = options.select("q", "ch").join(questions.select("q", F.col("grp").alias("q_grp")), "q")
+    cells = states.join(valid, ["q", "ch"]).join(copies.select("copy_key", "grp", "validated"), "copy_key").filter(belongs(F.col("q_grp"), F.col("grp")))
+    none = F.array().cast("array<string>")
+    kept = F.filter(F.coalesce("m.reasons", none), lambda r: r != STRUCTURAL)
+    reasons = F.array_distinct(F.concat(F.when(has(MACHINE) != has(SECOND), F.array(F.lit(DIFF))).otherwise(none), kept))
+    return cells.select(*CELL, "validated", has(CURRENT).alias("on"), reasons.alias("reasons"), (F.size(reasons) > 0).alias("flagged"),
+                        F.when(F.size(kept) > 0, F.col("m.proba")).alias("proba"),  # measures belong to stored reasons that count
+                        (F.col("validated") | has(MARKED) | (has(CURRENT) != has(MACHINE))).alias("reviewed"))
+
+
+def items_of_states(copies: DataFrame, states: DataFrame, questions: DataFrame, options: DataFrame, done: DataFrame) -> DataFrame:
+    """``review_items`` from ``cell_states``: the cells are placed and counted once per question."""
+    doubt = uncertainty("proba")
+    is_open = F.col("flagged") & ~F.col("reviewed")
+    per = placed_cells(copies, states, questions, options).groupBy("copy_key", "q").agg(
+        F.count_if("flagged").alias("n_cells"), F.count_if(is_open).alias("n_open_cells"), F.count_if("on").alias("n_on"),
+        F.coalesce(F.sum(F.when(is_open, 1.0 + doubt)), F.lit(0.0)).alias("cell_risk"), F.max(F.when(F.col("flagged"), doubt)).alias("cell_doubt"))
+    single = key_by_copy_group(questions.filter("qtype = 'single'").select("q", "grp"), copies).select("q", "copy_grp")
+    asked = copies.select("copy_key", F.col("validated").alias("_closed"), F.col("grp").alias("copy_grp")).join(single, "copy_grp").drop("copy_grp")
+    joined = asked.join(per, ["copy_key", "q"], "full").withColumn("reason", F.when(F.col("_closed").isNotNull(), structural_reason(F.lit("single"), "n_on")))
+    joined = joined.filter("reason IS NOT NULL OR n_cells > 0").join(done.withColumn("_done", F.lit(True)), ["copy_key", "q"], "left")
+    open_reason = (F.col("reason").isNotNull() & ~(F.col("_closed") | F.coalesce("_done", F.lit(False)))).cast("int")
+    open_reason = F.coalesce(open_reason, F.lit(0))
+    return joined.select(
+        "copy_key", "q", "reason", (F.coalesce("n_cells", F.lit(0)) + F.col("reason").isNotNull().cast("int")).alias("n_flagged"),
+        (F.coalesce("n_open_cells", F.lit(0)) + open_reason).alias("n_open"), (F.coalesce("cell_risk", F.lit(0.0)) + open_reason).alias("risk"),
+        F.round(F.greatest("cell_doubt", F.when(F.col("reason").isNotNull(), 0.5)), 4).alias("ambiguity"))
+
+
 def copy_review(items: DataFrame) -> DataFrame:
     return items.groupBy("copy_key").agg(
         F.count("*").alias("n_questions"), F.sum("n_flagged").alias("n_flagged"), F.sum("n_open").alias("n_open"),

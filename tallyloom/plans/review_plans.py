@@ -63,6 +63,15 @@ def judged(t):
     return review.judged_cells(t.fx_vcopy, flags(t), seen, t.fx_question, t.fx_option)
 
 
+def states(t):
+    """One row per cell; the readings may repeat."""
+    return review.cell_states(t.fx_current, t.fx_tick, t.fx_reading2, ambiguous(t), t.fx_review_mark)
+
+
+def state_items(t):
+    return review.items_of_states(t.fx_vcopy, states(t), t.fx_question, t.fx_option, review.reviewed_questions(t.fx_review_q))
+
+
 def items(t, cells=None):
     structure = review.structural_flags(t.fx_vcopy, t.fx_current, t.fx_question, t.fx_option)
     return review.review_items(t.fx_vcopy, judged(t) if cells is None else cells, structure, review.reviewed_questions(t.fx_review_q))
@@ -99,12 +108,17 @@ def i4(t):
 
 @query("i5_review_items", "SELECT copy_key, q, reason, n_flagged, n_open, round(risk, 6) AS risk, ambiguity FROM fx_tw_review")
 def i5(t):
-    return items(t).withColumn("risk", F.round("risk", 6))
+    return state_items(t).withColumn("risk", F.round("risk", 6))
 
 
 @query("i5_copy_review", "SELECT * FROM fx_tw_copyreview")
 def i5_copy(t):
-    return review.copy_review(items(t))
+    return review.copy_review(state_items(t))
+
+
+@query("i5_review_items_by_rules", "SELECT copy_key, q, reason, n_flagged, n_open, round(risk, 6) AS risk, ambiguity FROM fx_tw_review")
+def i5_by_rules(t):
+    return items(t).withColumn("risk", F.round("risk", 6))
 
 
 @query("i5_item_context", """
@@ -124,7 +138,7 @@ u AS (SELECT * FROM b WHERE n_questions > 0 OR id_state IS NOT NULL) """
 
 
 def _queue(t):
-    return review.review_queue(t.fx_vcopy, review.copy_review(items(t)), id_states(t))
+    return review.review_queue(t.fx_vcopy, review.copy_review(state_items(t)), id_states(t))
 
 
 @query("i6_review_queue", _QUEUE + "SELECT * FROM u")
@@ -140,7 +154,7 @@ def i6_totals(t):
 
 @query("i7_open_counts", _QUEUE + "SELECT copy_key, n_open FROM b")
 def i7(t):
-    return review.open_counts(t.fx_vcopy, review.copy_review(items(t)), id_states(t))
+    return review.open_counts(t.fx_vcopy, review.copy_review(state_items(t)), id_states(t))
 
 
 @query("i7_open_cells", "SELECT copy_key, q, ch FROM fx_tw_judged WHERE NOT reviewed")
