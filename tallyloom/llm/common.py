@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,6 +13,17 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 
+@cache
+def _trim() -> Callable[[int], int]:
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def release() -> None:
+    """Give memory that is free in this worker back to the system: workers live on from stage to stage beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def fields(ddl: str) -> T.StructType:
     return T.StructType.fromDDL(ddl)
 
@@ -31,6 +44,8 @@ def add_columns(df: DataFrame, ddl: str, fn: Callable[[pa.RecordBatch], list[lis
         for batch in batches:
             made = [pa.array(values, kind) for values, kind in zip(fn(batch), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index(n)) for n in kept] + made, names)
+            del batch, made
+        release()
 
     return df.mapInArrow(run, schema)
 

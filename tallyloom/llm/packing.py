@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tallyloom.llm.common import chunks
+from tallyloom.llm.common import chunks, release
 
 #: entries of the cache of encoded runs, and the longest run that is cached
 CACHED_RUNS, CACHED_LENGTH = 1_200_000, 64
@@ -140,5 +140,6 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: s
                     [keys.take(pa.array(rows, pa.int64())), pa.array(starts, pa.int64()), pa.array(lengths), pa.array(ids, pa.binary()), pa.array(totals, pa.int64()),
                      pa.array(numbers), pa.array(np.zeros(len(rows), np.int64)), pa.array(np.log2(lengths).astype(np.int32))],
                     schema.fieldNames())
+        release()
 
     return docs.mapInArrow(run, schema)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import add_columns, chunks, texts_of
+from tallyloom.llm.common import add_columns, chunks, release, texts_of
 from tallyloom.session import durable
 
 SEED = 42
@@ -30,8 +30,10 @@ SEED = 42
 TILE_BITS, BLOCK = 4, 65_536
 #: comparisons of one numpy step
 LEAF = 1 << 18
-#: words of a wide fingerprint, its radius, and shingles that one exact comparison holds
-WORDS, WIDE_RADIUS, HELD = 4, 80, 8_000_000
+#: words of a wide fingerprint, and shingles that one exact comparison holds
+WORDS, HELD = 4, 2_000_000
+#: radius of wide fingerprints, and that of sets of fewer shingles than ``FEW``, whose majorities differ more
+WIDE_RADIUS, FEW_RADIUS, FEW = 68, 80, 6
 
 
 def shingle_hashes(text: str, shingle: int) -> np.ndarray:
@@ -236,6 +238,9 @@ def wide_prints(keyed: DataFrame, shingle: int) -> DataFrame:
                     rows.append((set_name(own), len(own), *wide_fingerprint(own)))
                 kinds = (pa.int64(), pa.int32(), *[pa.int64()] * WORDS)
                 yield pa.RecordBatch.from_arrays([batch.column(0)] + [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["doc_key", "sid", "n", "p0", "p1", "p2", "p3"])
+                del rows
+            del whole, batch
+            release()
 
     return keyed.mapInArrow(run, WIDE.format(key=keyed.schema["doc_key"].dataType.simpleString()))
 
@@ -248,6 +253,9 @@ def sets_of(keyed: DataFrame, shingle: int) -> DataFrame:
             for batch in chunks(whole, "doc_text"):
                 own = [np.unique(shingle_hashes(t, shingle)) for t in texts_of(batch, "doc_text")]
                 yield pa.RecordBatch.from_arrays([pa.array([set_name(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], ["sid", "shingles"])
+                del own
+            del whole, batch
+            release()
 
     return keyed.mapInArrow(run, "sid long, shingles binary")
 
@@ -255,6 +263,7 @@ def sets_of(keyed: DataFrame, shingle: int) -> DataFrame:
 def near_rows(n: np.ndarray, prints: np.ndarray, radius: int, least: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Yield (rows, later rows, differing bits) of pairs within the radius whose sizes allow the similarity; rows ascend by ``n``."""
     ends = np.searchsorted(n, n * least[1] // least[0], side="right")
+    reach = np.where(n < FEW, max(radius, FEW_RADIUS), radius).astype(np.uint16)
     start = 0
     while start < len(n):
         # as many rows as one numpy step holds with all rows that they may be near to
@@ -263,7 +272,7 @@ def near_rows(n: np.ndarray, prints: np.ndarray, radius: int, least: tuple[int,
         bits = np.zeros((stop - start, last - start), np.uint16)
         for w in range(WORDS):
             bits += np.bitwise_count(prints[start:stop, None, w] ^ prints[None, start:last, w])
-        i, j = np.nonzero(bits <= radius)
+        i, j = np.nonzero(bits <= reach[start:stop, None])
         later = (j > i) & (j + start < ends[i + start])
         if later.any():
             i, j = i[later], j[later]
@@ -300,7 +309,9 @@ def similar_links(sets: DataFrame, keyed: DataFrame, shingle: int, least: tuple[
         met = np.zeros(len(n), bool)
         for i, j, _ in near_rows(n, prints, radius, least):
             met[i] = met[j] = True
-        return table.take(pa.array(order[met]))
+        found = table.take(pa.array(order[met]))
+        release()
+        return found
 
     names = ["sid", "n", "p0", "p1", "p2", "p3", "first", "second"]
     ddl = "sid long, n int, p0 long, p1 long, p2 long, p3 long, first struct<x:int,k:int>, second struct<x:int,k:int>"
@@ -327,7 +338,10 @@ def similar_links(sets: DataFrame, keyed: DataFrame, shingle: int, least: tuple[
                     links.append((a, b))
                     low, high = sorted((root[a], root[b]))
                     root[root == high] = low
-        return pa.table([pa.array(sid[[a for a, _ in links]]), pa.array(sid[[b for _, b in links]])], ["u", "v"])
+        found = pa.table([pa.array(sid[[a for a, _ in links]]), pa.array(sid[[b for _, b in links]])], ["u", "v"])
+        del table, held
+        release()
+        return found
 
     return split.join(shingles, "sid").groupBy("first", "second", "low", "high").applyInArrow(check, "u long, v long")
 
@@ -353,8 +367,8 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
 
     A group is what links of a Jaccard similarity of ``least`` (a fraction) or more, over sets of ``shingle`` words, join. A text of fewer words
     has one shingle, its whole sequence; texts without words (nulls too) are one group. Every link is checked exactly; candidates are
-    the pairs of wide fingerprints within ``radius`` bits. Two sets of similarity 0.8 differ in 39 of 256 bits on average, deviation 6 (48
-    for the smallest sets), so one pair in millions may be missed at 80. Rows repeated in key and text are one group, rows of one key
+    the pairs of wide fingerprints within ``radius`` bits. Two sets of similarity 0.8 differ in 39 of 256 bits on average, deviation 6, so
+    at 68 about one pair in a million of just that similarity may be missed (sets of under 6 shingles: 48 on average, radius 80). Rows repeated in key and text are one group, rows of one key
     with different texts are told apart by their sets; an empty table gives none. Very long texts are hashed whole, part by part of a batch.
     """
     keyed = docs.select(docs[key].alias("doc_key"), docs[text].alias("doc_text"))
