@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.text import CATEGORY_ID, auto_title, fold, is_status, search_text
 from tallyloom.operators import variants
+from tallyloom.session import durable
 
 
 def bank_index(questions: DataFrame, evals: DataFrame) -> DataFrame:
@@ -154,6 +155,34 @@ def migrate_categories(nodes: DataFrame, online: DataFrame) -> dict[str, DataFra
     return {"create": joined.filter("other_id IS NULL").select(*nodes.columns), "conflicts": joined.filter("other_id IS NOT NULL").select("id", "name", "other_id")}
 
 
+def creation_order(nodes: DataFrame, online: DataFrame) -> DataFrame:
+    """``(id, parent_id, name, level, reason)`` of the nodes that are not online yet: a dry run of their creation.
+
+    ``level`` counts the nodes to be made above a node and itself, so creating level after level meets every parent first; it is null
+    for what cannot be created, with the reason: a sibling of that name is online, the parent exists nowhere, the node is
+    its own ancestor, or a node above is refused. Pointer doubling: a row per node and round, as many rounds as the
+    binary logarithm of the depth.
+    """
+    kept = nodes.select("id", F.nullif("parent_id", F.lit("")).alias("parent_id"), "name").filter("id IS NOT NULL").dropDuplicates(["id"])
+    missing = kept.join(online.select("id"), "id", "left_anti")
+    conflicts = migrate_categories(kept, online)["conflicts"].select("id", F.lit(True).alias("_taken")).distinct()
+    made = missing.select(F.col("id").alias("parent_id"), F.lit(True).alias("_made"))
+    there = online.select(F.col("id").alias("parent_id"), F.lit(True).alias("_there")).distinct()
+    placed = missing.join(made, "parent_id", "left").join(there, "parent_id", "left").join(conflicts, "id", "left")
+    own = F.when(F.col("_taken"), "sibling name").when(F.col("parent_id").isNotNull() & F.col("_made").isNull() & F.col("_there").isNull(), "unknown parent")
+    placed = durable(placed.select("id", "parent_id", "name", own.alias("own"), F.when(F.col("_made"), F.col("parent_id")).alias("up")))
+    state = placed.select("id", "up", F.lit(1).cast("bigint").alias("depth"), F.col("own").isNotNull().alias("stopped"))
+    rounds = max(1, placed.count()).bit_length()  # a pointer that is still open then goes in a circle
+    for _ in range(rounds):
+        above = state.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("stopped").alias("_stopped"))
+        state = durable(state.join(above, "up", "left").select(
+            "id", F.col("_up").alias("up"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"), (F.col("stopped") | F.coalesce("_stopped", F.lit(False))).alias("stopped")))
+        if state.filter("up IS NOT NULL").isEmpty():
+            break
+    reason = F.coalesce("own", F.when(F.col("up").isNotNull(), "cycle"), F.when(F.col("stopped"), "parent refused"))
+    return placed.drop("up").join(state, "id").select("id", "parent_id", "name", F.when(reason.isNull(), F.col("depth")).alias("level"), reason.alias("reason"))
+
+
 def migrate_evals(evals: DataFrame, mapping: DataFrame) -> DataFrame:
     """Evaluations carried to the new identifiers."""
     return evals.join(mapping.select(F.col("bank_id").alias("question_id"), "new_id"), "question_id").drop("question_id").withColumnRenamed("new_id", "question_id")

@@ -237,11 +237,38 @@ def version_copy_ranges(versions: DataFrame) -> DataFrame:
     return running.select(*versions.columns, (F.col("last_copy") - F.col("_size") + 1).alias("first_copy"), "last_copy")
 
 
+def range_blocks(first: str, last: str) -> Column:
+    """A closed range as at most two blocks of each power of two: ``array<struct<level, block>>``, block n of level l covers n 2^l to (n + 1) 2^l - 1."""
+    kind = "struct<lo:bigint,hi:bigint,out:array<struct<level:int,block:bigint>>>"
+    start = F.struct(F.col(first).cast("bigint").alias("lo"), (F.col(last) + 1).cast("bigint").alias("hi"), F.array().cast("array<struct<level:int,block:bigint>>").alias("out")).cast(kind)
+
+    def halve(acc: Column, level: Column) -> Column:
+        some = acc["lo"] < acc["hi"]
+        left, right = some & (acc["lo"] % 2 == 1), some & (acc["hi"] % 2 == 1)
+
+        def piece(test, block):
+            return F.when(test, F.array(F.struct(level.alias("level"), block.alias("block")))).otherwise(F.array()).cast("array<struct<level:int,block:bigint>>")
+
+        lo, hi = acc["lo"] + left.cast("bigint"), acc["hi"] - right.cast("bigint")
+        # a block that both ends name is listed once
+        out = F.concat(acc["out"], piece(left, acc["lo"]), piece(right & (hi >= lo), hi))
+        return F.struct(F.floor(lo / 2).cast("bigint").alias("lo"), F.floor(hi / 2).cast("bigint").alias("hi"), out.alias("out")).cast(kind)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(61)), start, halve, lambda acc: acc["out"])
+
+
 def version_of_copy(numbers: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Version whose range holds the copy number; null outside every range."""
-    r = ranges.select(F.col("subject").alias("_s"), "vid", "first_copy", "last_copy")
-    inside = (numbers["subject"] == r["_s"]) & numbers["n"].between(r["first_copy"], r["last_copy"])
-    return numbers.join(r, inside, "left").select(*numbers.columns, "vid")
+    """Version whose range holds the copy number; null outside every range.
+
+    Ranges are cut into blocks of powers of two and each distinct number is looked up by its block of every size in use, so
+    the join has equalities only, however many versions a subject has.
+    """
+    blocks = ranges.filter("first_copy >= 0").select("subject", "vid", F.explode(range_blocks("first_copy", "last_copy")).alias("p")).select("subject", "vid", "p.level", "p.block")
+    top = blocks.agg(F.coalesce(F.max("level"), F.lit(0)))
+    asked = numbers.select("subject", "n").filter("n >= 0").distinct().withColumn("level", F.explode(F.sequence(F.lit(0), top.scalar())))
+    asked = asked.withColumn("block", F.call_function("shiftright", F.col("n").cast("bigint"), F.col("level")))
+    found = asked.join(blocks, ["subject", "level", "block"]).select("subject", "n", "vid")
+    return numbers.join(found, ["subject", "n"], "left").select(*numbers.columns, "vid")
 
 
 def layout_roles(boxes: DataFrame) -> DataFrame:

@@ -393,6 +393,15 @@ def l25_conflicts(t):
     return bank.migrate_categories(t.fx_category, online)["conflicts"]
 
 
+@query("l25_create", """
+SELECT 'n' || CAST(n_nationkey AS VARCHAR) AS id, 'r' || CAST(n_regionkey AS VARCHAR) AS parent_id, n_name AS name, CASE WHEN n_regionkey <> 3 THEN 1 END AS level, CASE WHEN n_regionkey = 3 THEN 'sibling name' END AS reason FROM nation
+UNION ALL SELECT 's' || CAST(s_suppkey AS VARCHAR), 'n' || CAST(s_nationkey AS VARCHAR), s_name, CASE WHEN n_regionkey <> 3 THEN 2 END, CASE WHEN n_regionkey = 3 THEN 'parent refused' END FROM supplier JOIN nation ON n_nationkey = s_nationkey""")
+def l25_create(t):
+    online = t.fx_category.filter("id LIKE 'r%'").select("id", "parent_id", "name").unionByName(t.nation.filter("n_regionkey = 3").select(
+        F.concat(F.lit("o"), F.col("n_nationkey").cast("string")).alias("id"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("parent_id"), F.lower("n_name").alias("name")))
+    return bank.creation_order(t.fx_category, online)
+
+
 @query("l25_migrate_evals", f"SELECT {_NEWID} AS question_id, user_id, project_name, n_eval FROM (SELECT CAST(question_id AS VARCHAR) AS bank_id, * FROM fx_eval) WHERE bank_id IN (SELECT bank_id FROM fx_bank WHERE brand <> 'Brand#5')")
 def l25_evals(t):
     evals = t.fx_eval.select(F.col("question_id").cast("string").alias("question_id"), "user_id", "project_name", "n_eval")
