@@ -31,10 +31,10 @@ EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@(?:[
 NUMBER = re.compile(
     r"(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
-    r"|(?P<date>(?<![\d.,/-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\d/-]|[.,]\d))"
+    r"|(?P<date>(?<![\d./])(?<!\d-)(?:\d{4}-\d{2}-\d{2}|\d{1,2}/\d{1,2}/\d{4}|\d{1,2}\.\d{1,2}\.\d{4})(?![\d/]|[.-]\d))"
     r"|(?P<phone>(?<![\d(+])(?:\+\d{1,3}[\x20.-]?)?(?:\(\d{3}\)[\x20.-]?|\d{3}[\x20.-])\d{3}[\x20.-]\d{4}(?![\d-])|(?<![\d(])\+\d{1,3}(?:[\x20.-]?\d{2,4}){2,5}(?!\d))"
     r"|(?P<ipv4>(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d))"
-    r"|(?P<card>(?<![\d.,-])\d(?:[\x20-]?\d){12,18}(?![\d-]|[.,]\d))", re.ASCII)
+    r"|(?P<card>(?<!\d)(?<!\d[.-])\d(?:[\x20-]?\d){12,18}(?!\d|-\d|\.\d{3}))", re.ASCII)
 DIGIT_RUN, GROUP_BORDER = re.compile("[0-9]+"), re.compile("[\x20-]")
 #: characters of an IBAN by country
 IBAN_LENGTHS = {c: int(n) for n, own in (x.split(":") for x in (
