@@ -41,6 +41,12 @@ MARKED = frozenset(
     "breadcrumbs sidebar aside complementary footer contentinfo header topbar toolbar cookie cookies consent gdpr notice notices popup modal overlay dialog alert "
     "newsletter subscribe subscription signup login search share sharing social related recommended widget pagination pager comment comments commentlist "
     "respond reply replies disqus discussion hidden".split())
+#: words of a name that mark it beside words of place or shape, these words, and first words that tell a state
+STRONG = frozenset("comment comments sidebar footer ad ads advert adverts advertisement cookie cookies newsletter share sharing social related nav navbar navigation menu breadcrumb breadcrumbs".split())
+STRUCTURAL = frozenset(
+    "area list box wrap wrapper container holder bar left right top bottom main primary secondary site page post posts widget widgets section inner outer block panel "
+    "button buttons icons links item items row col column group thread form title wp js".split())
+STATES = frozenset("has with no not without is are".split())
 NAME_WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 BLANKS = re.compile(r"\s+")
@@ -85,7 +91,8 @@ class Lines(HTMLParser):
         self.tags += 1
         block = tag in BLOCKS
         drops = tag in DROPPED or any(hides(k, v) for k, v in attrs)
-        named = tag not in KEPT and any(marks(k, v) for k, v in attrs)
+        in_article = any(name in ARTICLES for name, _, _ in self.open)
+        named = tag not in KEPT and any(marks(k, v, in_article) for k, v in attrs)
         if block or drops or named:
             self.flush()
         if tag in VOID:
@@ -140,12 +147,22 @@ class Lines(HTMLParser):
         self.flush()
 
 
-def marks(name: str, value: str | None) -> bool:
-    """Whether a class (id, role) has no words but marked ones: ``cookie-notice`` does, ``has-sidebar`` does not."""
+def marks(name: str, value: str | None, in_article: bool = False) -> bool:
+    """Whether a class (id, role) names something beside the article.
+
+    Its words are all marked (``cookie-notice``), or a strong one stands first or last and the others only say where or what sort
+    of box it is (``comments-area``, ``site-footer``). A state of the page (``has-sidebar``) marks nothing, nor does a header within an article.
+    """
     if name not in ("class", "id", "role"):
         return False
-    classes = [NAME_WORDS.findall(x) for x in (value or "").split()]
-    return any(words and MARKED.issuperset(w.lower() for w in words) for words in classes)
+    for token in (value or "").split():
+        words = [w.lower() for w in NAME_WORDS.findall(token)]
+        if not words or words[0] in STATES or in_article and {"header", "banner", "masthead"}.intersection(words):
+            continue
+        others = {w for w in words if w not in MARKED}
+        if not others or others <= STRUCTURAL and (words[0] in STRONG or words[-1] in STRONG):
+            return True
+    return False
 
 
 def hides(name: str, value: str | None) -> bool:

@@ -213,6 +213,27 @@ def test_names_and_shares_drop_no_part_of_the_article():
     assert html_extract.main_text(page) == f"Head {one.strip()}"
 
 
+NAMES = ["comments-area", "comment-list", "post-comments", "sidebar-left", "ad-container", "site-footer", "related-posts", "share-buttons", "cookie-bar", "newsletter-box", "commentsArea", "widget_sidebar"]
+
+
+@pytest.mark.parametrize("name", NAMES)
+@pytest.mark.parametrize("attribute", ["class", "id"])
+def test_blocks_beside_the_article_are_dropped_by_their_names(name, attribute):
+    one, two = "First sentence of a text that goes on for a while. " * 20, "And a second paragraph of the same article that belongs to it. " * 5
+    other = f"<div {attribute}='x {name} y'><p>{'Some other words of a reader that are not of the article. ' * 8}</p></div>" if attribute == "class" else f"<div id='{name}'><p>{'Other words here. ' * 20}</p></div>"
+    want = f"{one.strip()} {two.strip()}"
+    assert html_extract.main_text(f"<body><article><p>{one}</p>{other}<p>{two}</p></article></body>") == want
+    assert html_extract.main_text(f"<body><div><p>{one}</p><p>{two}</p>{other}</div></body>") == want
+    assert html_extract.main_text(f"<body>{other}<div><p>{one}</p><p>{two}</p></div></body>") == want
+    assert html_extract.main_text(f"<body><div {attribute}='{name}'><p>{one}</p><p>{two}</p></div></body>") == want  # most of the content is never dropped
+
+
+@pytest.mark.parametrize("name", ["has-sidebar", "with-comments", "no-ads", "is-related", "comments-open", "shared-history", "main-content", "post-content", "header", "article-header", "commentary", "navigable"])
+def test_names_that_mark_nothing_within_an_article(name):
+    one, two = "First sentence of a text that goes on for a while. " * 20, "And a second paragraph of the same article."
+    assert html_extract.main_text(f"<article><p>{one}</p><div class='{name}'><p>{two}</p></div></article>") == f"{one.strip()} {two}"
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.text(alphabet="<>/!-[]&;#x=\"' abpdiv\n", max_size=60))
 def test_any_markup_is_read(markup):
@@ -240,6 +261,22 @@ def test_feistel_is_a_bijection(size, data):
     assert 0 <= new < size and pii.permuted(new, size, b"k", "t", back=True) == value
 
 
+@pytest.mark.parametrize(("text", "kind", "n"), [
+    ("4111111111111111,4242424242424242", "card", 2), ("4111111111111111,00", "card", 1), ("-4111111111111111", "card", 1), ("03/04/2021,03/05/2021", "date", 2),
+    ("4111111111111111, 4242424242424242", "card", 2), ("03/04/2021, 03/05/2021", "date", 2), ("a,4111 1111 1111 1111,b", "card", 1), ("2021-03-04,2021-03-05,7", "date", 2), ("-03/04/2021", "date", 1),
+    ("1,29.02.2024,4111111111111111.", "card", 1), ("4111111111111111.50", "card", 1)])
+def test_values_beside_commas_and_signs_are_found(text, kind, n):
+    new, counts = pii.Pseudonyms(b"key").text(text)
+    assert counts[kind] == n and new != text and len(new) == len(text)
+    assert pii.Pseudonyms(b"key", back=True).text(new)[0] == text
+
+
+@pytest.mark.parametrize("text", ["0.4111111111111111", "4111111111111111.2345", "14111111111111111111111", "1/03/04/2021", "2021-03-04-05", "3.4.5.2021", "12-4111111111111111"])
+def test_parts_of_longer_numbers_stay(text):
+    counts = pii.Pseudonyms(b"key").text(text)[1]
+    assert counts["card"] == counts["date"] == 0
+
+
 VALUES = {
     "card": ["4111 1111 1111 1111", "4111111111111111"], "ssn": ["123-45-6789"], "iban": ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"], "email": ["Ann.B9@mail.example.com"],
     "phone": ["+1 (017) 555-7713", "+49 30 1234567", "212-555-0100"], "ipv4": ["97.51.17.173"], "date": ["2024-02-29", "29.02.2024", "02/29/2024", "1.2.2024"],
