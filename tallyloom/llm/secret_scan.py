@@ -87,11 +87,22 @@ class Scanner:
 
     def added(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         """Random pieces of the candidates; what a stated pattern covers is cut out first, and the signs at a cut do not count."""
-        found = []
+        covered: list[tuple[int, int]] = []
+        for a, _, b in base:
+            if covered and a <= covered[-1][1]:
+                covered[-1] = (covered[-1][0], max(covered[-1][1], b))
+            else:
+                covered.append((a, b))
+        found, at = [], 0
         for m in CANDIDATE.finditer(text):
             first, last = m.span()
             start = first
-            for a, _, b in [*(x for x in base if x[0] < last and first < x[2]), (last, 3, last)]:
+            while at < len(covered) and covered[at][1] <= first:
+                at += 1
+            upto = at  # both lists ascend, so what ends before this candidate is never looked at again
+            while upto < len(covered) and covered[upto][0] < last:
+                upto += 1
+            for a, b in [*covered[at:upto], (last, last)]:
                 end = min(a, last)
                 if end - start >= LEAST:
                     piece = text[start:end]

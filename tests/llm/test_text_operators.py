@@ -338,3 +338,16 @@ def test_a_number_that_runs_into_the_next_is_found_and_comes_back():
     for value in [*grouped, " ".join(grouped), " ".join(g + " 12/27, 03/04/2021" for g in grouped)]:  # chance makes many of their parts valid
         text, found = names.text(value)
         assert back.text(text)[0] == value and found["card"] == names.text(text)[1]["card"]
+
+
+def test_a_text_of_many_runs_is_scanned_in_one_walk():
+    import random
+    import time
+
+    rng = random.Random(4)
+    scanner = secret_scan.Scanner(secret_scan.Rules())
+    text = " ".join("%032x" % rng.getrandbits(128) for _ in range(40_000))
+    start = time.perf_counter()
+    base = scanner.base(text)
+    assert len(base) == 40_000 and scanner.added(text, base) == []
+    assert time.perf_counter() - start < 20
