@@ -29,16 +29,17 @@ def closure(nodes: DataFrame) -> DataFrame:
     base = nodes.select("id", _parent().alias("up")).filter("id IS NOT NULL").distinct()
     jump = durable(base.join(base.select(F.col("id").alias("up")).distinct(), "up", "left_semi").filter("id <> up").select("id", "up"))
     closed, known, reach = durable(base.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance")).distinct()), None, 1
-    while True:
+    while not jump.isEmpty():  # only a cycle keeps pointers open for ever
         size = closed.count()
         if size == known:
-            return closed
+            break
         known = size
         further = jump.join(closed.select(F.col("id").alias("up"), "ancestor", "distance"), "up").select(
             "id", "ancestor", (F.col("distance") + reach).alias("distance"))
         closed = durable(closed.unionByName(further).groupBy("id", "ancestor").agg(F.min("distance").alias("distance")))
         jump = durable(jump.join(jump.select(F.col("id").alias("up"), F.col("up").alias("_next")), "up").select("id", F.col("_next").alias("up")))
         reach *= 2
+    return closed
 
 
 def paths(nodes: DataFrame, closed: DataFrame) -> DataFrame:
