@@ -330,15 +330,16 @@ def similar_links(sets: DataFrame, keyed: DataFrame, shingle: int, least: tuple[
         table = table.take(pa.array(np.argsort(table.column("n").to_numpy(), kind="stable")))
         sid, n, prints = table.column("sid").to_numpy(), table.column("n").to_numpy().astype(np.int64), prints_of(table)
         held = [np.frombuffer(x.as_buffer(), "<u8") for x in table.column("shingles")]
-        root, links = np.arange(len(sid)), []
+        root = np.arange(len(sid))
         for i, j, bits in near_rows(n, prints, radius, least):
             apart = np.flatnonzero(root[i] != root[j])
             for a, b in zip(*(x[apart[np.argsort(bits[apart], kind="stable")]].tolist() for x in (i, j)), strict=True):
                 if root[a] != root[b] and similar(held[a], held[b], least):
-                    links.append((a, b))
-                    low, high = sorted((root[a], root[b]))
+                    low, high = sorted((root[a], root[b]), key=sid.__getitem__)
                     root[root == high] = low
-        found = pa.table([pa.array(sid[[a for a, _ in links]]), pa.array(sid[[b for _, b in links]])], ["u", "v"])
+        # a star per group round its smallest set: as few links as a forest, and no long chains
+        own = np.flatnonzero(root != np.arange(len(sid)))
+        found = pa.table([pa.array(sid[own]), pa.array(sid[root[own]])], ["u", "v"])
         del table, held
         release()
         return found
