@@ -83,4 +83,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        # Spark drops the shuffles and checkpoints of a finished stage when the driver collects its garbage
+        spark.sparkContext._jvm.java.lang.System.gc()
     return STAGES[-1][1](spark, docs, sf_dir)
