@@ -115,9 +115,9 @@ def cohort_marks(members: DataFrame, columns: DataFrame, folded: DataFrame | Non
     return last.select("id", "key", "raw", "weight", rescale("raw", "norm", "max").alias("mark"))
 
 
-def build_table(members: DataFrame, columns: DataFrame, threshold: float) -> DataFrame:
+def build_table(members: DataFrame, columns: DataFrame, threshold: float, folded: DataFrame | None = None) -> DataFrame:
     """One row per student: folded identity, marks per column (map), count, final and absences."""
-    folded = folded_people(members)
+    folded = folded_people(members) if folded is None else folded
     canon = folded.select("id", "canonical")
     known = ~F.col("name").isin(*UNKNOWN)
     merged = folded.groupBy(F.col("canonical").alias("id")).agg(
@@ -140,6 +140,27 @@ def unlinked(members: DataFrame) -> DataFrame:
     return members.agg(F.count_if((F.col("id") == "") & ~F.col("absent")).alias("n_unlinked"))
 
 
+def shown_table(members: DataFrame, columns: DataFrame, threshold: float) -> DataFrame:
+    """``build_table`` as it is shown: by name, with ``also_id`` (folded identifiers, first met first) and, last, one row
+    for the unlinked copies, if there are any, that carries their number in ``unlinked``."""
+    folded = folded_people(members)
+    # a number has at most as many folded endings as digits
+    also = folded.filter("id <> canonical").groupBy(F.col("canonical").alias("id")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("place", "id"))), lambda s: s["id"]).alias("also_id"))
+    none = F.array().cast("array<string>")
+    table = build_table(members, columns, threshold, folded).join(also, "id", "left").select(
+        "id", "name", "email", F.coalesce("also_id", none).alias("also_id"), "notes", "raws", "n_columns", "final", "absent_in",
+        F.lit(None).cast("bigint").alias("unlinked"))
+    # Fixed value: the name shown for copies without a student.
+    label = F.concat(F.lit("("), F.col("n_unlinked").cast("string"), F.lit(" copie(s) non reliée(s))"))
+    marks = F.create_map().cast("map<string,double>")
+    loose = unlinked(members).filter("n_unlinked > 0").select(
+        F.lit("").alias("id"), label.alias("name"), F.lit("").alias("email"), none.alias("also_id"), marks.alias("notes"), marks.alias("raws"),
+        F.lit(0).cast("bigint").alias("n_columns"), F.lit(None).cast("double").alias("final"), none.alias("absent_in"),
+        F.col("n_unlinked").alias("unlinked"))
+    return table.unionByName(loose).orderBy(F.col("unlinked").isNotNull(), "name", "id")
+
+
 def cohort_roster(members: DataFrame) -> DataFrame:
     """First appearance of each identifier, its name split at the first blank."""
     first = members.filter("id <> ''").groupBy("id").agg(

@@ -61,7 +61,8 @@ def group_by_scan_order(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
     The rule is sequential, but the copy open at a chunk border began within the last pages that
     are all different. Each chunk, seen with the one before, says where the next copy starts for
     every place the previous chunk may have been entered; chaining these short tables gives the real
-    entry of each chunk, and the chunks are then cut independently. No task sees a whole batch.
+    entry of each chunk, and the chunks are then cut independently. No task sees a whole batch. Where a
+    copy has more different sheets than a chunk has pages, the chunks grow; the result does not depend on them.
     """
     columns = pages.columns
     ranked = durable(with_rank(pages.select("batch", "page", "sheet_page"), ["page"], keys=["batch"], name="rank")
@@ -99,11 +100,10 @@ def group_by_scan_order(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
         entry, out = 0, []
         for target in range(1, int(rows["target"].max()) + 1):
             land = None if entry is None else table.get((target, entry))
-            if entry is None:
-                raise ValueError(f"a copy of batch {key[0]} has more than {chunk} different sheets")
+            stuck = entry is None
             entry = None if land is None or pd.isna(land) else int(land)
-            out.append((key[0], target, entry))
-        return pd.DataFrame(out, columns=["batch", "chunk", "entry"]).astype({"entry": "Int64"})
+            out.append((key[0], target, entry, stuck))
+        return pd.DataFrame(out, columns=["batch", "chunk", "entry", "stuck"]).astype({"entry": "Int64"})
 
     def cut(key, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("pos")
@@ -122,8 +122,11 @@ def group_by_scan_order(pages: DataFrame, chunk: int = CHUNK) -> DataFrame:
         return out
 
     table = windows.groupBy("batch", "target").applyInPandas(landings, "batch string, target long, entry long, land long")
-    entries = table.groupBy("batch").applyInPandas(chain, "batch string, chunk long, entry long")
-    entries = durable(entries.unionByName(ranked.select("batch").distinct().select("batch", F.lit(0).cast("long").alias("chunk"), F.lit(0).cast("long").alias("entry"))))
+    chained = durable(table.groupBy("batch").applyInPandas(chain, "batch string, chunk long, entry long, stuck boolean"))
+    if not chained.filter("stuck").isEmpty():
+        # a copy has more different sheets than a chunk has pages, so its sheets need larger chunks
+        return group_by_scan_order(pages, chunk * 4)
+    entries = durable(chained.drop("stuck").unionByName(ranked.select("batch").distinct().select("batch", F.lit(0).cast("long").alias("chunk"), F.lit(0).cast("long").alias("entry"))))
     placed = ranked.join(entries, ["batch", "chunk"]).select("batch", "page", "chunk", "pos", "sheet_page", "entry")
     cuts = durable(placed.groupBy("batch", "chunk").applyInPandas(cut, "batch string, page long, chunk long, start long"))
     # pages before the first start of a chunk belong to the copy still open in an earlier chunk

@@ -621,6 +621,23 @@ def a3(t):
     return out.select("src", "row_no", F.size("cells").cast("bigint").alias("n_cells"), F.get("cells", F.lit(0)).alias("c0"), F.get("cells", F.lit(1)).alias("c1"))
 
 
+# delimited files with quoted separators, doubled quotes and, in every third row, a line end and a further cell
+view("fx_csv", """
+SELECT c_custkey AS k, concat(c_name, '; "', c_mktsegment, '"') AS label, CASE WHEN c_custkey % 3 = 0 THEN concat(CAST(c_nationkey AS STRING), '@', c_mktsegment) ELSE '' END AS place FROM {customer}""")
+
+
+@query("a3_read_table", """
+SELECT row_number() OVER (ORDER BY k) - 1 AS row_no, CAST(4 AS BIGINT) AS n_cells, CAST(k AS VARCHAR) AS c0, label AS c1, replace(nullif(place, ''), '@', chr(10)) AS c2, CASE WHEN place <> '' THEN 'end' END AS c3 FROM fx_csv""")
+def a3_read(t):
+    path = scratch_folder(t.spark, "sheet")
+    quoted = F.concat(F.lit('"'), F.replace("label", F.lit('"'), F.lit('""')), F.lit('"'))
+    rest = F.when(F.col("place") == "", "").otherwise(F.concat(F.lit('"'), F.replace("place", F.lit("@"), F.lit("\n")), F.lit('";end')))
+    line = F.concat_ws(";", F.col("k").cast("string"), quoted, rest)
+    t.fx_csv.repartitionByRange("k").sortWithinPartitions("k").select(line.alias("value")).write.text(path)
+    out = tables.read_table(t.spark, path)
+    return out.select("row_no", F.size("cells").cast("bigint").alias("n_cells"), *[F.get("cells", F.lit(i)).alias(f"c{i}") for i in range(4)])
+
+
 @query("a4_select_sheet", "SELECT 'named' AS asked, row_no, line FROM fx_sheet_line WHERE sheet = 'MACHINERY' UNION ALL SELECT 'first', row_no, line FROM fx_sheet_line WHERE sheet = (SELECT min(sheet) FROM fx_sheet_line)")
 def a4(t):
     named = tables.select_sheet(t.fx_sheet_line, "MACHINERY").select(F.lit("named").alias("asked"), "row_no", "line")

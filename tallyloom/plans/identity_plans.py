@@ -45,7 +45,7 @@ def resolved_links(t):
 
 view("fx_tw_student", """
 SELECT row_no AS ord, split_part(line, ';', 1) AS sid, split_part(line, ';', 3) AS nom, split_part(line, ';', 4) AS prenom, split_part(line, ';', 2) AS email
-FROM {fx_sheet_line} WHERE sheet = 'BUILDING' AND row_no >= 2""")
+FROM {fx_sheet_line} WHERE row_no >= 2""")
 
 
 @query("d1_load_students", """
@@ -53,7 +53,8 @@ WITH w AS (SELECT length(sid) AS w, count(*) AS n FROM fx_tw_student GROUP BY 1)
 m AS (SELECT CASE WHEN max(n) >= 0.8 * sum(n) THEN arg_max(w, n) END AS w FROM w)
 SELECT CASE WHEN length(sid) < m.w THEN lpad(sid, CAST(m.w AS INT), '0') ELSE sid END AS id, nom, prenom, email, ord FROM fx_tw_student, m""")
 def d1(t):
-    return roster.load_students(sheet(t).filter("sheet = 'BUILDING'"), 0, 2, 3, 1, data_start=2)
+    # all sheets as one list: one width of the ids for everybody
+    return roster.load_students(sheet(t), 0, 2, 3, 1, data_start=2)
 
 
 view("fx_tw_sheet_student", """

@@ -395,6 +395,15 @@ def g6(t):
     return cohort.unlinked(t.fx_member)
 
 
+@query("g6_shown_table", """
+SELECT t.id, name, email, coalesce(a.also_id, '') AS also_id, n_columns, final, absent_in, CAST(NULL AS BIGINT) AS unlinked FROM fx_tw_table t
+LEFT JOIN (SELECT canonical AS id, string_agg(id, ';' ORDER BY place, id) AS also_id FROM fx_tw_canon WHERE id <> canonical GROUP BY 1) a ON a.id = t.id
+UNION ALL SELECT '', '(' || CAST(count(*) AS VARCHAR) || ' copie(s) non reliée(s))', '', '', 0, NULL, '', count(*) FROM fx_member WHERE id = '' AND NOT absent HAVING count(*) > 0""")
+def g6_shown(t):
+    shown = cohort.shown_table(t.fx_member, _joint_columns(t), 25.0).drop("notes", "raws")
+    return shown.withColumn("absent_in", F.array_join("absent_in", ";")).withColumn("also_id", F.array_join("also_id", ";"))
+
+
 @query("g7_cohort_roster", """
 SELECT id, split_part(name, ' ', 1) AS nom, CASE WHEN contains(name, ' ') THEN substr(name, strpos(name, ' ') + 1) ELSE '' END AS prenom, email FROM (
  SELECT id, arg_min(name, exam_ord * 10000000000 + ord) AS name, arg_min(email, exam_ord * 10000000000 + ord) AS email FROM fx_member WHERE id <> '' GROUP BY 1)""")

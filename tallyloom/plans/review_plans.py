@@ -326,7 +326,14 @@ def i13_copies(t):
         "copy_group", "page", "student_id", _cells_text("answers").alias("answers"), "notes", "n_frame_fail", "n_cells", sheets.alias("sheets"))
 
 
-@query("i14_group_by_scan_order")
+# pointers to the next start, followed from the first page
+@query("i14_group_by_scan_order", """
+WITH RECURSIVE pg AS (SELECT batch, page, sheet_page, row_number() OVER (PARTITION BY batch ORDER BY page) - 1 AS pos FROM fx_page),
+ag AS (SELECT batch, pos, lead(pos) OVER (PARTITION BY batch, sheet_page ORDER BY pos) AS again FROM pg),
+nx AS MATERIALIZED (SELECT batch, pos, min(again) OVER (PARTITION BY batch ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nxt FROM ag),
+st AS (SELECT DISTINCT batch, CAST(0 AS BIGINT) AS pos FROM pg UNION ALL SELECT st.batch, nx.nxt FROM st JOIN nx ON nx.batch = st.batch AND nx.pos = st.pos WHERE nx.nxt IS NOT NULL)
+SELECT p.batch, p.page, p.sheet_page, p.batch || ':' || CAST(max(s.pos) OVER (PARTITION BY p.batch ORDER BY p.pos) AS VARCHAR) AS copy_group
+FROM pg p LEFT JOIN st s ON s.batch = p.batch AND s.pos = p.pos""")
 def i14(t):
     return merging.group_by_scan_order(t.fx_page.select("batch", "page", "sheet_page"))
 

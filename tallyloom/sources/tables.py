@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.operators.ordering import with_rank
+from tallyloom.operators.ordering import with_rank, with_running_sums
 
 # Candidate separators in order of preference, and file kinds read as sheets.
 DELIMITERS = (";", ",", "\t", "|")
@@ -73,20 +73,45 @@ def read_table(spark: SparkSession, path: str, sheet: str | None = None, n_colum
     head = [r["value"] for r in text.limit(SNIFF_LINES).collect()]
     probe = spark.createDataFrame([("f", i, line) for i, line in enumerate(head)] or [("f", 0, "")], "src string, line_no int, line string")
     delimiter = sniff_delimiter(probe).first()["delimiter"]
-    widest = n_columns or widest_row(spark, path, delimiter)
+    widest, broken = table_shape(spark, path, delimiter)
+    widest = n_columns or widest
     schema = ", ".join(f"c{i} string" for i in range(widest))
-    rows = spark.read.csv(path, schema=schema, sep=delimiter, header=False, multiLine=True, encoding="UTF-8", mode="PERMISSIVE", escape='"')
+    # only cells with line ends need a whole file in one task; else large files are cut into splits
+    rows = spark.read.csv(path, schema=schema, sep=delimiter, header=False, multiLine=broken, encoding="UTF-8", mode="PERMISSIVE", escape='"')
     cells = F.array(*[F.nullif(F.regexp_replace(f"c{i}", "^\ufeff", ""), F.lit("")) for i in range(widest)])
-    # a file is read by one task, so inside it the ids follow the rows
-    placed = rows.select(cells.alias("cells"), F.input_file_name().alias("_file"), F.monotonically_increasing_id().alias("_place"))
-    return with_rank(placed, ["_file", "_place"], name="_rank").select((F.col("_rank") - 1).alias("row_no"), "cells")
+    placed = rows.select(cells.alias("cells"), *_place())
+    return with_rank(placed, ["_file", "_start", "_place"], name="_rank").select((F.col("_rank") - 1).alias("row_no"), "cells")
 
 
-def widest_row(spark: SparkSession, path: str, delimiter: str) -> int:
-    """Cells of the widest row of all files: separators outside quotes, whose text may hold line ends."""
-    files = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", '(?s)"[^"]*"', "").alias("bare"))
-    lines = files.select(F.explode(F.split("bare", r"\r?\n|\r")).alias("line"))
-    return lines.agg(F.max(F.regexp_count("line", F.lit("\\Q" + delimiter + "\\E")))).first()[0] + 1 if not files.isEmpty() else 1
+def _place() -> list:
+    # inside a split the ids follow the rows, and splits of a file follow their offsets
+    return [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_place")]
+
+
+def table_shape(spark: SparkSession, path: str, delimiter: str) -> tuple[int, bool]:
+    """Cells of the widest row of all files (at least 1), and whether a quoted cell holds a line end.
+
+    Works line by line. Each line tells how many separators lie outside quotes for either state at its
+    start; the state is the parity of the quotes before it, and a row ends where the parity is even.
+    """
+    parts = F.split("value", '"')
+    marks = F.transform(parts, lambda x: F.length(x) - F.length(F.replace(x, F.lit(delimiter), F.lit(""))))
+
+    def total(parity):
+        return F.aggregate(F.filter(marks, lambda x, i: i % 2 == parity), F.lit(0), lambda a, x: a + x)
+
+    lines = spark.read.text(path).select(
+        *_place(), (F.size(parts) - 1).alias("quotes"), total(0).alias("outside"), total(1).alias("inside"))
+    row = lines.agg(F.max("outside").alias("widest"), F.coalesce(F.bool_or(F.col("quotes") % 2 == 1), F.lit(False)).alias("broken")).first()
+    if not row["broken"]:
+        return (row["widest"] or 0) + 1, False
+    order = ["_start", "_place"]
+    met = with_running_sums(lines, order, ["_file"], {"met": "quotes"})
+    ended = met.withColumn("ends", (F.col("met") % 2 == 0).cast("int")) \
+        .withColumn("n", F.when((F.col("met") - F.col("quotes")) % 2 == 0, F.col("outside")).otherwise(F.col("inside")))
+    rows = with_running_sums(ended, order, ["_file"], {"row": "ends"}).withColumn("row", F.col("row") - F.col("ends"))
+    widest = rows.groupBy("_file", "row").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0]
+    return widest + 1, True
 
 
 def discover_scans(files: DataFrame, explicit: DataFrame, excluded: DataFrame) -> DataFrame:

@@ -33,6 +33,18 @@ def test_scan_order_grouping_equals_a_loop(spark):
             assert sorted(sorted(v) for (k, _), v in groups.items() if k == b) == sorted(scan_groups(pages)), (b, chunk)
 
 
+def test_copies_may_have_more_sheets_than_a_chunk_has_pages(spark):
+    rng = random.Random(5)
+    batches = {"long": [(p, p) for p in range(1, 41)], "mixed": [(p, rng.randrange(12)) for p in range(1, 80)],
+               "late": [(p, p) for p in range(1, 30)] + [(p, 3) for p in range(30, 34)]}
+    df = spark.createDataFrame([(b, p, s) for b, pages in batches.items() for p, s in pages], "batch string, page long, sheet_page int")
+    groups = {}
+    for r in merging.group_by_scan_order(df, chunk=3).collect():
+        groups.setdefault((r["batch"], r["copy_group"]), []).append(r["page"])
+    for b, pages in batches.items():
+        assert sorted(sorted(v) for (k, _), v in groups.items() if k == b) == sorted(scan_groups(pages)), b
+
+
 def test_printed_numbers_win_when_all_can_be_trusted(spark):
     df = spark.createDataFrame([("b", 1, 7, "printed", 15), ("b", 2, 8, "printed", 15), ("b", 3, 7, "printed", 16)],
                                "batch string, page long, copy_id int, copy_id_source string, sheet_page int")

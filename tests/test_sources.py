@@ -21,6 +21,28 @@ def test_delimiters_titles_and_byte_order_marks(spark, tmp_path, body):
     assert ["id", "nom"] in rows
 
 
+@pytest.mark.parametrize("body, rows", [
+    ('1;"a\nb;c";x\n2;y\n', [["1", "a\nb;c", "x"], ["2", "y", None]]),
+    ('1;"a\n\n;""q""\n";x;"\n";z\n2;"y;y";w\n', [["1", 'a\n\n;"q"\n', "x", "\n", "z"], ["2", "y;y", "w", None, None]]),
+    ('1;"a;b"\n2;;\n', [["1", "a;b", None], ["2", None, None]]),
+    ("", [])])
+def test_width_and_rows_of_quoted_cells(spark, tmp_path, body, rows):
+    path = tmp_path / "list.csv"
+    path.write_text(body, encoding="utf-8")
+    assert [r["cells"] for r in tables.read_table(spark, str(path)).orderBy("row_no").collect()] == rows
+
+
+def test_a_sheet_cut_into_splits_keeps_its_order(spark, tmp_path):
+    (tmp_path / "list.csv").write_text("".join(f"{i};n{i}\n" for i in range(3000)))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = [(r["row_no"], r["cells"][0]) for r in tables.read_table(spark, str(tmp_path / "list.csv")).orderBy("row_no").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert got == [(i, str(i)) for i in range(3000)]
+
+
 def test_a_missing_sheet_raises(spark, tmp_path):
     for sheet in ("A", "B"):
         (tmp_path / f"sheet={sheet}").mkdir()

@@ -11,7 +11,7 @@ TWINS = {name: sql for name, sql in entry.oracle_sql().items() if name in QUERIE
 # no SQL form: exact fuzzy ratio, sequential grouping, model training
 WITHOUT_TWIN = {
     "d14_by_name", "d15_candidates", "d16_resolve_by_name", "d22_fill_template", "e2_resolve_names", "e5_match_report",
-    "e5_match_problems", "i14_group_by_scan_order", "k6_train_and_predict", "k7_model_scores", "k10_cross_validate", "k10_fold_scores",
+    "e5_match_problems", "k6_train_and_predict", "k7_model_scores", "k10_cross_validate", "k10_fold_scores",
     "k22_permutation_importance",
 }
 
