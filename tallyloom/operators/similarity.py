@@ -4,17 +4,19 @@ The ratio cannot exceed 2*m/(la+lb), m being the number of characters two names
 common (with repeats). A pair can reach the cutoff only if m is large enough, so names are
 turned into (character, occurrence) tokens, sorted rarest first, and only the head of each
 list needs to share a token (the classical prefix filter). The edit distance bounds the ratio too,
-as a common part of m characters leaves at least la+lb-2*m edits. Neither filter loses a pair; the
-exact ratio is then computed on the survivors, in Arrow batches, on distinct names only. Best matches
-are looked for from a high cutoff downwards, and only reads that still lack matches go on.
+as a common part of m characters leaves at least la+lb-2*m edits. Neither filter loses a pair. Best
+matches take the pairs of a read by falling bound: once ``n`` are found, their least ratio is the limit
+that a bound must reach, so few pairs come to the exact ratio. Far below a level, reads that found
+enough above it are done first.
 """
 
 from __future__ import annotations
 
 import difflib
+import heapq
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,8 +25,10 @@ from tallyloom.session import durable
 
 # Tuning constant: letters of normalised names from rare to frequent; only speed depends on it.
 RARITY = "kwxyzjqfvbhgpmcdulotrnisae "
-# Tuning constants: cutoffs tried before a lower one; results do not depend on them.
-LEVELS = (0.9, 0.8, 0.7, 0.6, 0.5)
+# Tuning constants: cutoffs tried before one that is lower by ``STEP`` or more (nearer ones cost a pass and save little);
+# results do not depend on them.
+LEVELS = (0.8, 0.6)
+STEP = 0.19
 
 
 def ratio(left: str, right: str):
@@ -62,7 +66,7 @@ def _prepare(names: DataFrame, column: str, cutoff: float, tag: str) -> DataFram
 
 
 def candidate_pairs(reads: DataFrame, known: DataFrame, cutoff: float) -> DataFrame:
-    """``(read, known)``: the pairs of distinct normalised names whose bounds allow the cutoff."""
+    """``(read, known, bound)``: the pairs of distinct normalised names whose bounds allow the cutoff; the ratio is at most ``bound``."""
     a = _prepare(reads.select("read").filter("read <> ''").distinct(), "read", cutoff, "a")
     b = _prepare(known.select("known").filter("known <> ''").distinct(), "known", cutoff, "b")
     # the admissible lengths join by equality too: a frequent token is split by length, and what is still large by the engine
@@ -74,39 +78,79 @@ def candidate_pairs(reads: DataFrame, known: DataFrame, cutoff: float) -> DataFr
     # keep a pair only at its first shared token, then the bounds
     first = F.get(F.array_intersect("a_head", "b_head"), F.lit(0))
     both = F.col("a_len") + F.col("b_len")
-    enough = F.size(F.array_intersect("a_tok", "b_tok")) >= both * F.lit(cutoff / 2) - 1e-9
-    close = F.levenshtein("a_name", "b_name") <= both * F.lit(1 - cutoff) + 1e-9
-    return pairs.filter((F.col("tok") == first) & enough).filter(close).select(F.col("a_name").alias("read"), F.col("b_name").alias("known"))
+    common = F.size(F.array_intersect("a_tok", "b_tok"))
+    edits = F.levenshtein("a_name", "b_name")
+    enough = common >= both * F.lit(cutoff / 2) - 1e-9
+    close = edits <= both * F.lit(1 - cutoff) + 1e-9
+    return pairs.filter((F.col("tok") == first) & enough).filter(close).select(
+        F.col("a_name").alias("read"), F.col("b_name").alias("known"), (F.least(common * 2, both - edits) / both).alias("bound"))
 
 
 def similar_pairs(reads: DataFrame, known: DataFrame, cutoff: float) -> DataFrame:
     """``(read, known, rank_score)`` for the pairs of distinct normalised names at or above ``cutoff``."""
     # pairs are distinct, so they spread evenly for the scoring, whatever token brought them together
     parts = int(reads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs = candidate_pairs(reads, known, cutoff).repartition(parts, "read", "known")
+    pairs = candidate_pairs(reads, known, cutoff).select("read", "known").repartition(parts, "read", "known")
     return pairs.withColumn("rank_score", ratio("known", "read")).filter(F.col("rank_score") >= cutoff)
 
 
+def best_pairs(pairs: DataFrame, n: int, cutoff: float) -> DataFrame:
+    """``(read, known, rank_score, rank, score)``: the ``n`` best of each read at or above ``cutoff``, ties to the larger text.
+
+    The pairs of a read are streamed through one task by falling ``bound`` and only ``n`` of them are held; reads
+    are distinct, so none has more pairs than there are known names. ``score`` is measured the other way round, on the kept ones.
+    """
+
+    def rising(batches):
+        matcher, read, best = difflib.SequenceMatcher(), None, []
+
+        def finished():
+            rows = []
+            for rank, (value, known) in enumerate(sorted(best, reverse=True), 1):
+                rows.append((read, known, value, rank, difflib.SequenceMatcher(None, read, known).ratio()))
+            return rows
+
+        for batch in batches:
+            out = []
+            for name, known, bound in zip(batch["read"], batch["known"], batch["bound"]):
+                if name != read:
+                    out += finished()
+                    read, best = name, []
+                    matcher.set_seq2(name)
+                # an equal bound may still win by its text
+                if len(best) == n and bound < best[0][0] - 1e-9:
+                    continue
+                matcher.set_seq1(known)
+                value = matcher.ratio()
+                if value < cutoff:
+                    continue
+                if len(best) < n:
+                    heapq.heappush(best, (value, known))
+                else:
+                    heapq.heappushpop(best, (value, known))
+            yield pd.DataFrame(out, columns=columns)
+        yield pd.DataFrame(finished(), columns=columns)
+
+    columns = ["read", "known", "rank_score", "rank", "score"]
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = pairs.repartition(parts, "read").sortWithinPartitions("read", F.desc("bound"))
+    return ordered.mapInPandas(rising, "read string, known string, rank_score double, rank int, score double")
+
+
 def closest(reads: DataFrame, known: DataFrame, n: int, cutoff: float) -> DataFrame:
     """The ``n`` best known names of each distinct read name, ties to the larger text.
 
     All pairs above a level are known when it is done, so ``n`` matches above it are final.
     """
-    # the rank limit is applied before the shuffle too, so a popular read keeps n rows per task
-    order = Window.partitionBy("read").orderBy(F.desc("rank_score"), F.desc("known"))
     left, found = reads.select("read").distinct(), None
-    for level in [c for c in LEVELS if c > cutoff] + [cutoff]:
-        best = similar_pairs(left, known, level).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= n)
-        if level > cutoff:
-            best = durable(best)
-            done = best.filter(F.col("rank") == n).select("read")
-            left = durable(left.join(done, "read", "left_anti"))
-            best = best.join(done, "read", "left_semi")
+    for level in [c for c in LEVELS if c >= cutoff + STEP]:
+        best = durable(best_pairs(candidate_pairs(left, known, level), n, level))
+        done = best.filter(F.col("rank") == n).select("read")
+        left = durable(left.join(done, "read", "left_anti"))
+        best = best.join(done, "read", "left_semi")
         found = best if found is None else found.unionByName(best)
-        if level > cutoff and left.isEmpty():
-            break
-    # the reported score is measured the other way round, on the kept pairs only
-    return found.withColumn("score", ratio("read", "known"))
+    best = best_pairs(candidate_pairs(left, known, cutoff), n, cutoff)
+    return best if found is None else found.unionByName(best)
 
 
 def by_name(raws: DataFrame, index: DataFrame, cutoff: float = 0.7) -> DataFrame:
