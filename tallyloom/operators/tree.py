@@ -117,7 +117,7 @@ def validate_nodes(nodes: DataFrame, max_depth: int = MAX_DEPTH, check_ids: bool
 
 def annotate(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """Nodes in prefix order with depth, path, direct questions and distinct questions of the subtree."""
-    closed = durable(closure(nodes))
+    closed = closure(nodes)
     shape = paths(nodes, closed)
     pairs = links.select("bank_id", F.col("category_id").alias("id")).distinct()
     direct = pairs.groupBy("id").agg(F.count("*").alias("n_direct"))
