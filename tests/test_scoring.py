@@ -155,3 +155,19 @@ def test_model_queries_fit_all_rounds_and_score_other_copies(spark, monkeypatch,
     entry.queries()[name](spark, "/root/testdata/sf0.001")
     assert rounds and set(rounds) == {300}
     assert all(a and b and not a & b and a | b == copies for a, b in zip(learnt, scored, strict=True))
+
+
+def test_equal_cells_are_learnt_from_once_with_their_number(spark, monkeypatch):
+    from tallyloom.operators import model
+
+    seen = []
+    fit = model.Pipeline.fit
+    monkeypatch.setattr(model.Pipeline, "fit", lambda pipe, data, *rest: seen.append(data) or fit(pipe, data, *rest))
+    cells = spark.range(900).selectExpr("id AS copy_key", "1 AS q", "'A' AS ch", "CAST(id % 3 > 0 AS int) AS label",
+                                        "CASE WHEN id % 3 = 0 THEN 0.1D WHEN id % 9 = 1 THEN double('NaN') ELSE 0.7D END AS ratio")
+    fitted = model.train(cells, ["ratio"], 3)
+    assert seen[0].count() == 3
+    assert sum(r["_weight"] for r in seen[0].collect()) == 900
+    assert model.predict(fitted, cells, ["ratio"]).filter("label <> prediction").count() == 0
+    lost = model.permutation_importance(fitted, cells, ["ratio"], repeats=4).first()
+    assert 0.3 < lost["importance"] < 0.6
