@@ -51,19 +51,35 @@ def _multi_fold() -> dict[str, str]:
     return out
 
 
+@functools.lru_cache(maxsize=1)
+def _multi_class() -> str:
+    """Class of the characters of ``_multi_fold``, runs as ranges; all others of the first 128 leave it at the first test."""
+    runs: list[list[int]] = []
+    for point in sorted(map(ord, _multi_fold())):
+        if runs and runs[-1][1] == point - 1:
+            runs[-1][1] = point
+        else:
+            runs.append([point, point])
+    return r"[[^\x00-\x7F]&&[" + "".join(f"\\x{{{low:X}}}-\\x{{{high:X}}}" for low, high in runs) + "]]"
+
+
 def strip(value) -> Column:
     """Trim every kind of white space, not only blanks."""
     return F.regexp_replace(as_column(value), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
 
 
+def multi_pieces(text: Column) -> Column:
+    """The characters that stand for several ones, and the runs between them, each as a whole."""
+    return F.split(text, f"(?<={_multi_class()})|(?={_multi_class()})")
+
+
 def strip_accents(value) -> Column:
     """Compatibility decomposition without combining marks."""
     text = as_column(value)
     multi = _multi_fold()
     mapping = F.from_json(F.lit(json.dumps(multi)), "map<string,string>")
-    spelled = F.array_join(
-        F.transform(F.split(text, ""), lambda c: F.coalesce(F.element_at(mapping, c), c)), "")
-    pattern = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in multi) + "]"
+    pattern = _multi_class()
+    spelled = F.array_join(F.transform(multi_pieces(text), lambda c: F.coalesce(F.element_at(mapping, c), c)), "")
     source, target = _single_fold()
     # the slow branch runs only for rows that hold such a character
     folded = F.translate(F.when(text.rlike(pattern), spelled).otherwise(text), source, target)

@@ -115,6 +115,14 @@ def test_folding_equals_the_unicode_tables(spark):
         assert r["s"] == want, (r["w"], r["s"], want)
 
 
+def test_folding_looks_up_special_characters_only(spark):
+    long = "é" + "x" * 5000
+    row = spark.createDataFrame([(f"{long}ﬁ½{long}😀ﬁ", long)], "t string, plain string").select(
+        F.size(text.multi_pieces(F.col("t"))).alias("n"), F.size(text.multi_pieces(F.col("plain"))).alias("one"), text.strip_accents("t").alias("s")).first()
+    assert 5 <= row["n"] <= 6 and row["one"] == 1
+    assert row["s"] == "e" + "x" * 5000 + "fi1⁄2e" + "x" * 5000 + "😀fi"
+
+
 def test_templates_are_checked_before_any_row():
     import pytest
     with pytest.raises(ValueError, match=r"\$nobody"):
