@@ -119,9 +119,12 @@ def narrow(copies: DataFrame, students: DataFrame, column: str = "student_id") -
 
     Each student is filed under every wildcard spelling of their last four digits with two
     known ones or more, so the wildcard match is an equality join on at most 11^4 patterns.
+    Equal last characters have the same spellings: they are counted before they are spelled.
     """
-    patterns = narrow_patterns(students).groupBy("pattern").agg(
-        F.count("*").alias("n_candidates"), F.min_by("id", F.struct("nom", "prenom", "id")).alias("first_id"))
+    first = F.struct("nom", "prenom", "id")
+    endings = students.groupBy(F.right("id", F.lit(4)).alias("_last")).agg(F.count("*").alias("n"), F.min(first).alias("f")).select("n", "f.*")
+    patterns = narrow_patterns(endings, "n").groupBy("pattern").agg(
+        F.sum("n").alias("n_candidates"), F.min_by("id", first).alias("first_id"))
     everyone = students.agg(F.count("*").alias("n"), F.min_by("id", F.struct("nom", "prenom", "id")).alias("f"))
     asked = copies.withColumn("pattern", read_pattern(column))
     return asked.join(patterns, "pattern", "left").select(
@@ -136,16 +139,16 @@ def read_pattern(column: str) -> Column:
     return F.when(known >= 2, F.lpad(last, 4, "?"))
 
 
-def narrow_patterns(students: DataFrame) -> DataFrame:
-    """``(pattern, id, nom, prenom)``: wildcard spellings of every student's last four characters."""
+def narrow_patterns(students: DataFrame, *more: str) -> DataFrame:
+    """``(pattern, id, nom, prenom)`` and columns ``more``: wildcard spellings of every student's last four characters."""
     last = F.right("id", F.lit(4))
-    out = students.select("id", "nom", "prenom")
+    out = students.select("id", "nom", "prenom", *more)
     digits = F.array(*[F.lit(d) for d in "0123456789?"])
     for i in range(1, 5):
         char = F.substring(last, i, 1)
         out = out.withColumn(f"_{i}", F.explode(F.when(char == "", digits).otherwise(F.array(char, F.lit("?")))))
     pattern = F.concat("_1", "_2", "_3", "_4")
-    out = out.select("id", "nom", "prenom", pattern.alias("pattern"))
+    out = out.select("id", "nom", "prenom", *more, pattern.alias("pattern"))
     return out.filter(F.length(F.regexp_replace("pattern", "[^0-9]", "")) >= 2)
 
 

@@ -142,3 +142,21 @@ def test_the_query_of_all_sheets_loads_all_sheets(spark):
     out = entry.queries()["d1_load_all_sheets"](spark, folder)
     customers = spark.read.parquet(f"{folder}/customer.parquet")
     assert out.count() == customers.count() and out.select("sheet").distinct().count() == customers.select("c_mktsegment").distinct().count() > 1
+
+
+def test_equal_endings_are_spelled_once(spark, monkeypatch):
+    from tallyloom.operators import identity
+
+    seen = []
+    spell = identity.narrow_patterns
+    monkeypatch.setattr(identity, "narrow_patterns", lambda rows, *more: seen.append(rows.count()) or spell(rows, *more))
+    students = spark.range(500).selectExpr("CAST(10000 * (id + 1) + id % 5 AS string) AS id", "CAST(-id AS string) AS nom", "'' AS prenom")
+    copies = spark.createDataFrame([(1, "0003"), (2, "?002"), (3, "0??4"), (4, "9999"), (5, None)], "copy_key int, student_id string")
+    got = {r.copy_key: (r.n_candidates, r.first_id) for r in identity.narrow(copies, students).collect()}
+    rows = [(str(10000 * (i + 1) + i % 5), str(-i)) for i in range(500)]
+
+    def first(kept):
+        return len(kept), min(kept, key=lambda r: (r[1], "", r[0]))[0]
+
+    assert seen == [5]
+    assert got == {k: first([r for r in rows if d is None or r[0].endswith(d)]) for k, d in ((1, "3"), (2, "2"), (3, "4"), (4, None), (5, None))}
