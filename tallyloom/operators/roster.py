@@ -113,18 +113,36 @@ def profile(table: DataFrame) -> DataFrame:
         F.coalesce(F.try_divide(F.sum(F.when(alpha, F.col("n_upper"))), n_alpha), F.lit(0.0)).alias("upper_ratio"))
 
 
+#: rows whose presence is held in one number
+BLOCK = 48
+
+
 def first_run(rows: DataFrame, keys: list[str], length: int = 3) -> DataFrame:
     """First index that starts ``length`` consecutive present rows, else the first row.
 
-    Every row votes for the starts it belongs to; a start with all its votes is a run.
-    That is one partially aggregated count, whatever the size of a sheet.
+    The rows of a block of ``BLOCK`` are the bits of one number, and the next block's first ones follow them, so that every
+    run lies in a block. A row is met once, but for those few, and whatever the size of a sheet nothing is gathered.
     """
-    votes = rows.select(*keys, "row_no").distinct().select(
-        *keys, F.explode(F.sequence(F.col("row_no") - (length - 1), F.col("row_no"))).alias("start"),
-        "row_no")
-    counted = votes.groupBy(*keys, "start").agg(F.count("*").alias("n"), F.min("row_no").alias("low"))
-    return counted.groupBy(*keys).agg(F.coalesce(
-        F.min(F.when(F.col("n") == length, F.col("start"))), F.min("low")).alias("data_start"))
+    if not 1 <= length <= 64 - BLOCK:
+        raise ValueError(f"length must be 1 to {64 - BLOCK}")
+    kind = rows.schema["row_no"].dataType
+    at = F.pmod(F.col("row_no").cast("long"), F.lit(BLOCK))
+    block = ((F.col("row_no") - at) / BLOCK).cast("long")
+    own = F.struct(block.alias("block"), at.cast("int").alias("bit"))
+    before = F.struct((block - 1).alias("block"), (at + BLOCK).cast("int").alias("bit"))
+    placed = rows.filter("row_no IS NOT NULL").select(*keys, F.explode(F.when(at < length - 1, F.array(own, before)).otherwise(F.array(own))).alias("p"))
+    one = F.lit(1).cast("long")
+    blocks = placed.groupBy(*keys, "p.block").agg(F.bit_or(F.call_function("shiftleft", one, F.col("p.bit"))).alias("bits"))
+    runs = F.col("bits")
+    for i in range(1, length):
+        runs = runs.bitwiseAND(F.shiftright("bits", i))
+
+    def lowest(bits):
+        return F.when(bits != 0, F.col("block") * BLOCK + F.bit_count(bits.bitwiseAND(-bits) - 1)).cast(kind)
+
+    present = F.col("bits").bitwiseAND(F.lit((1 << BLOCK) - 1))
+    return blocks.select(*keys, lowest(runs).alias("run"), lowest(present).alias("low")).groupBy(*keys).agg(
+        F.coalesce(F.min("run"), F.min("low")).alias("data_start"))
 
 
 def column_labels(table: DataFrame, starts: DataFrame) -> DataFrame:

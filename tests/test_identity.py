@@ -1,6 +1,7 @@
 import difflib
 import itertools
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.operators import cohort, identity, roster, similarity
@@ -160,3 +161,17 @@ def test_equal_endings_are_spelled_once(spark, monkeypatch):
 
     assert seen == [5]
     assert got == {k: first([r for r in rows if d is None or r[0].endswith(d)]) for k, d in ((1, "3"), (2, "2"), (3, "4"), (4, None), (5, None))}
+
+
+def test_first_runs_across_blocks_of_rows(spark):
+    from tallyloom.operators import roster
+
+    sheets = {"edge": [3, 46, 47, 48, 49], "late": [0, 1, 47, 95, 96, 97, 200], "none": [500, 7, 9, 95, 96], "two": [0, 2, 4, 5, 5, 4], "first": [0, 1, 2, 3],
+              "next": [47, 50, 51, 144, 145, 146]}
+    rows = spark.createDataFrame([(s, r) for s, at in sheets.items() for r in at], "sheet string, row_no int")
+    found = roster.first_run(rows, ["sheet"])
+    assert dict(found.dtypes)["data_start"] == "int"
+    assert {r.sheet: r.data_start for r in found.collect()} == {"edge": 46, "late": 95, "none": 7, "two": 0, "first": 0, "next": 144}
+    assert "Expand" not in (plan := found._jdf.queryExecution().toString()) and plan.count("HashAggregate") <= 8
+    with pytest.raises(ValueError, match="length"):
+        roster.first_run(rows, ["sheet"], 17)
