@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators import review
 from tallyloom.plans.registry import TWINS, query, view
-from tallyloom.plans.review_plans import WHOLE, _cells_text, judged, new_readings, old_copies, whole_new, whole_old, whole_text
+from tallyloom.plans.review_plans import WHOLE, _cells_text, new_readings, old_copies, state_judged, whole_new, whole_old, whole_text
 from tallyloom.schemas import BY_QUESTION
 from tallyloom.session import durable, scratch_folder
 from tallyloom.streaming import events, ingest
@@ -70,7 +70,7 @@ FROM {fx_copy} k LEFT JOIN c ON c.copy_key = k.copy_key LEFT JOIN d ON d.copy_ke
 def _open_counts(t):
     """The stream of decisions run to its end over the cells that wait for one."""
     out, state = scratch_folder(t.spark, "open"), scratch_folder(t.spark, "state")
-    waiting = durable(events.open_totals(t.fx_copy, review.open_cells(judged(t))))
+    waiting = durable(events.open_totals(t.fx_copy, review.open_cells(state_judged(t))))
     letter = F.substring(F.lit("ABCD"), (F.floor(F.abs("value")).cast("int") % 4 + 1), F.lit(1))
     decisions = _events(t).filter("batch = 'click'").select(
         "ts", "event_id", "copy_key", (1 + F.col("event_id") % 7).cast("int").alias("q"), letter.alias("ch"), (F.col("event_id") % 3 > 0).alias("reviewed"))

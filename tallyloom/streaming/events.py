@@ -32,7 +32,9 @@ def running_toggles(events: DataFrame) -> DataFrame:
 
 #: time of a decision whose order no longer matters
 LONG_AGO = -(1 << 62)
-OPEN_STATE = "cells array<string>, times array<long>, ids array<long>, reviewed array<boolean>"
+OPEN_STATE = "copies array<long>, cells array<string>, times array<long>, ids array<long>, reviewed array<boolean>"
+#: states that the copies are spread over by hash; a call to Python serves all copies of one
+STATE_PARTS = 1 << 11
 OPEN_COUNTS = "copy_key long, batch string, n_total long, n_open long, n_decided long, last_ts timestamp"
 
 
@@ -45,41 +47,47 @@ def open_totals(copies: DataFrame, open_cells: DataFrame) -> DataFrame:
     return copies.select("copy_key", "batch").join(waiting, "copy_key", "left").withColumn("cells", F.coalesce("cells", F.array().cast("array<string>")))
 
 
-def running_open_counts(events: DataFrame, totals: DataFrame, delay: str = "1 hour") -> DataFrame:
+def running_open_counts(events: DataFrame, totals: DataFrame, delay: str = "1 hour", parts: int = STATE_PARTS) -> DataFrame:
     """Open cells of each copy as its review events come, an update row per copy and micro-batch.
 
     ``events(ts, event_id, copy_key, q, ch, reviewed)`` is a stream; ``totals`` comes from ``open_totals``. The decision latest in
     (ts, event_id) stands, whatever the order of arrival, so events that come late or twice count as if they had come in
-    order and once; those that come after the watermark (``delay``) are dropped. The state is one row per copy. When the
-    watermark has passed all events of a copy, the times leave its state: whatever still comes is later than they are.
+    order and once; those that come after the watermark (``delay``) are dropped. The copies share ``parts`` states by hash, fixed for a checkpoint, so that the
+    calls to Python do not grow with the copies. When the watermark has passed all events of a state, the times leave it: whatever
+    still comes is later than they are.
     """
-    placed = events.select("ts", "event_id", "copy_key", cell_key("q", "ch").alias("cell"), "reviewed").join(totals, "copy_key").withWatermark("ts", delay)
+    part = F.pmod(F.xxhash64("copy_key"), F.lit(parts)).alias("part")
+    placed = events.select("ts", "event_id", "copy_key", cell_key("q", "ch").alias("cell"), "reviewed").join(totals, "copy_key").withColumn("part", part).withWatermark("ts", delay)
 
-    def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = {c: (t, i, r) for c, t, i, r in zip(*state.get, strict=True)} if state.exists else {}
+    def fold(key: tuple, pieces: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = {(k, c): (t, i, r) for k, c, t, i, r in zip(*state.get, strict=True)} if state.exists else {}
         if state.hasTimedOut:
-            state.update(([*held], [LONG_AGO] * len(held), [LONG_AGO] * len(held), [r for *_, r in held.values()]))
+            state.update(([k for k, _ in held], [c for _, c in held], [LONG_AGO] * len(held), [LONG_AGO] * len(held), [r for *_, r in held.values()]))
             return
-        last = None
-        for rows in parts:
+        touched, last = {}, None
+        for rows in pieces:
             if not len(rows):
                 continue
-            cells, batch = rows["cells"].iloc[0], rows["batch"].iloc[0]
             times = rows["ts"].astype("int64") if rows["ts"].dtype.kind == "M" else pd.to_datetime(rows["ts"]).astype("int64")
-            for cell, time, number, reviewed in zip(rows["cell"], times.tolist(), rows["event_id"].tolist(), rows["reviewed"].tolist(), strict=True):
-                if cell not in held or (time, number) > held[cell][:2]:
-                    held[cell] = (time, number, bool(reviewed))
+            for copy, cell, stamp, time, number, reviewed, cells, batch in zip(
+                    *(rows[c].tolist() for c in ("copy_key", "cell", "ts")), times.tolist(), *(rows[c].tolist() for c in ("event_id", "reviewed", "cells", "batch")), strict=True):
+                if (copy, cell) not in held or (time, number) > held[copy, cell][:2]:
+                    held[copy, cell] = (time, number, bool(reviewed))
+                before = touched.get(copy)
+                touched[copy] = (cells, batch, stamp if before is None or stamp > before[2] else before[2])
             newest = rows["ts"].max()
             last = newest if last is None or newest > last else last
         if last is None:
             return
-        state.update(([*held], [t for t, *_ in held.values()], [i for _, i, _ in held.values()], [r for *_, r in held.values()]))
+        state.update(([k for k, _ in held], [c for _, c in held], [t for t, *_ in held.values()], [i for _, i, _ in held.values()], [r for *_, r in held.values()]))
         now = state.getCurrentWatermarkMs()
         state.setTimeoutTimestamp(max(int(last.timestamp() * 1000), now) + 1)
-        decided = sum(held[c][2] for c in cells if c in held)
-        yield pd.DataFrame({"copy_key": [key[0]], "batch": [batch], "n_total": [len(cells)], "n_open": [len(cells) - decided], "n_decided": [decided], "last_ts": [last]})
+        decided = [sum(held[k, c][2] for c in cells if (k, c) in held) for k, (cells, *_) in touched.items()]
+        sizes = [len(cells) for cells, *_ in touched.values()]
+        yield pd.DataFrame({"copy_key": [*touched], "batch": [b for _, b, _ in touched.values()], "n_total": sizes, "n_open": [n - d for n, d in zip(sizes, decided, strict=True)],
+                            "n_decided": decided, "last_ts": [t for *_, t in touched.values()]})
 
-    return placed.groupBy("copy_key").applyInPandasWithState(fold, OPEN_COUNTS, OPEN_STATE, "update", GroupStateTimeout.EventTimeTimeout)
+    return placed.groupBy("part").applyInPandasWithState(fold, OPEN_COUNTS, OPEN_STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def open_counts_now(totals: DataFrame, state: DataFrame) -> DataFrame:
