@@ -30,13 +30,15 @@ def manual_truth(zones: DataFrame) -> DataFrame:
 def human_labels(copies: DataFrame, current: DataFrame, reviewed: DataFrame, cells: DataFrame) -> DataFrame:
     """Labels of cells a person saw: all of a validated copy, else the reviewed or edited ones.
 
-    ``cells(copy_key, q, ch)`` are the option cells of the copies.
+    ``cells(copy_key, q, ch)`` are the option cells of the copies. All that is known of a cell meets in one aggregation of bits.
     """
-    ticked = current.select(*CELL).distinct().withColumn("_on", F.lit(1))
-    seen = reviewed.select(*CELL).distinct().withColumn("_seen", F.lit(True))
-    joined = cells.select(*CELL).join(copies.select("copy_key", "validated"), "copy_key").join(seen, CELL, "left") \
-        .filter(F.col("validated") | F.coalesce("_seen", F.lit(False))).join(ticked, CELL, "left")
-    return joined.select(*CELL, F.coalesce("_on", F.lit(0)).alias("label"), F.when(F.col("validated"), "ui_validated").otherwise("ui_reviewed").alias("source"))
+    rows = cells.select(*CELL, F.lit(1).alias("s"))
+    for source, bit in ((current, 2), (reviewed, 4)):
+        rows = rows.unionByName(source.select(*CELL, F.lit(bit).alias("s")))
+    has = lambda bit: F.col("s").bitwiseAND(F.lit(bit)) != 0
+    known = rows.groupBy(*CELL).agg(F.bit_or("s").alias("s")).filter(has(1))
+    joined = known.join(copies.select("copy_key", "validated"), "copy_key").filter(F.col("validated") | has(4))
+    return joined.select(*CELL, has(2).cast("int").alias("label"), F.when(F.col("validated"), "ui_validated").otherwise("ui_reviewed").alias("source"))
 
 
 def label_precedence(human: DataFrame, manual: DataFrame) -> DataFrame:

@@ -202,7 +202,7 @@ SELECT copy_key, q, ch, CASE WHEN (manual IN (0, 1) AND manual = 1) OR (manual =
 
 def _reviewed(t):
     from tallyloom.operators import review
-    return review.reviewed_cells(t.fx_review_mark, review.edited_cells(t.fx_current, t.fx_response))
+    return review.reviewed_cells(t.fx_review_mark, review.edited_cells(t.fx_current, t.fx_tick))
 
 
 def _manual(t):
