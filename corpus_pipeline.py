@@ -13,8 +13,8 @@ from tallyloom.session import scratch_folder
 MASK = "[SECRET]"
 
 
-#: words whose ids one worker keeps while packing; the stages share their workers' memory
-PACK_CACHE = 300_000
+#: words whose ids one worker keeps while packing, and the bytes of text it encodes at a time; the stages share their workers' memory
+PACK_CACHE, PACK_BYTES = 150_000, 1 << 18
 
 
 def beside_text(docs: DataFrame) -> DataFrame:
@@ -61,7 +61,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token sequences of binary lengths, with their ids; nulls, repeated rows and other columns as ``packing.pack`` states."""
-    return packing.pack(docs, cached=PACK_CACHE)
+    return packing.pack(docs, cached=PACK_CACHE, most_bytes=PACK_BYTES)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -101,13 +101,15 @@ def binary_lengths(n: int, longest: int) -> list[int]:
     return pieces
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = "word_bpe_49k.json", end: int = 2, longest: int = 4096, cached: int = CACHED_RUNS) -> DataFrame:
+def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = "word_bpe_49k.json", end: int = 2, longest: int = 4096, cached: int = CACHED_RUNS,
+         most_bytes: int = 8 << 20) -> DataFrame:
     """One row per piece: ``key``, start, length, ids, doc_tokens, sequence_id, offset, bucket.
 
     ``ids`` are the little-endian unsigned 32-bit ids; ``bucket`` is the binary logarithm of the length: sequences of one
     bucket have one length, a power of two up to ``longest``, and need no padding. A null or empty text has only its end id. Rows
     that repeat a document or have no key are packed like any other, each with sequences of its own; an empty table
     gives none; other columns of ``docs`` are not read. ``sequence_id`` is unique: partition number, then position in it.
+    A worker encodes about ``most_bytes`` of text at a time, which bounds its memory and not the texts: none is cut.
     """
     if longest < 1 or longest & (longest - 1):
         raise ValueError("longest must be a power of two")
@@ -120,7 +122,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: s
         sequence = TaskContext.get().partitionId() << 33
         encode = encoder(vocabulary, cached).texts
         for whole in batches:
-            for batch in chunks(whole, "doc_text"):
+            for batch in chunks(whole, "doc_text", most_bytes):
                 keys = batch.column(0)
                 rows, starts, lengths, ids, totals = [], [], [], [], []
                 for i, found in enumerate(encode([t or "" for t in batch.column(1).to_pylist()])):
