@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import chunks
+from tallyloom.llm.common import chunks, release
 from tallyloom.session import durable
 
 END = b"\n"
@@ -415,6 +415,7 @@ def histogram_of(training: DataFrame) -> np.ndarray:
                 total += np.bincount(np.frombuffer("".join(t or "" for t in texts).encode("utf-8").lower(), np.uint8), minlength=256)
                 total[0x0A] += len(texts)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(256, dtype=np.int32)), pa.array(total)], ["byte", "n"])
+        release()
 
     out = np.zeros(256, np.int64)
     for row in training.select("doc_text").mapInArrow(count, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect():
@@ -437,6 +438,8 @@ def counted(texts: DataFrame, code: Code, settings: Settings, parts: int) -> Dat
                     own.add(decisions(units, code, settings.table_bits))
         for row in own.rows(TaskContext.get().partitionId()):
             yield pa.RecordBatch.from_pylist([row], pa.schema([("predictor", pa.int32()), ("block", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())]))
+        del own, row
+        release()
 
     return summed(texts.select("doc_text").coalesce(parts).mapInArrow(run, COUNT_ROWS), parts)
 
@@ -453,6 +456,7 @@ def learnt(texts: DataFrame, code: Code, tables, settings: Settings) -> np.ndarr
         place = np.arange(GATES * PREDICTORS, dtype=np.int32)
         seen = np.full(len(place), float(own.seen))
         yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(own.weights.ravel() * seen), pa.array(seen)], ["place", "w", "seen"])
+        release()
 
     out = np.full(GATES * PREDICTORS, FIRST_WEIGHT)
     sums = texts.select("doc_text").mapInArrow(run, "place int, w double, seen double").groupBy("place").agg(F.sum("w").alias("w"), F.sum("seen").alias("seen"))
@@ -499,6 +503,7 @@ def scored(table: DataFrame, key: str, buckets: int, code: Code, tables, weights
                     pa.ListArray.from_arrays(pa.array([0, *[len(texts)] * (1 + len(asked))], pa.int32()), docs, mask=pa.array([False, *[True] * len(asked)])),
                     *(pa.array([None, *(x[at].tobytes() for _, at in asked)], pa.binary()) for x in (owners, hashes, times))], ["bucket", "chunk", "docs", "owners", "hashes", "times"])
                 chunk += 1
+        release()
 
     return table.mapInArrow(run, ddl)
 
