@@ -175,15 +175,21 @@ def later_wins(maps: Column, kind: str) -> Column:
     return F.aggregate(maps, empty, lambda held, m: F.map_concat(F.map_filter(held, lambda k, v: ~F.map_contains_key(m, k)), m).cast(kind))
 
 
+#: what a second reading says of a copy
+SECOND = ("amc_copy", "amc_answers", "amc_validated_cells")
+
+
 def merge_copies(sheets: DataFrame) -> DataFrame:
     """One whole reading per ``copy_group``, from all its sheets in (batch, page) order, in one shuffle.
 
     Answers and free answers are united by question (the later sheet wins), doubts follow each other, the fullest number
     wins (the earlier of equal ones), counters are summed, notes joined. All else is that of the first sheet, whose place
-    the copy takes; a copy of several sheets lists them in ``sheets``. A group is as large as one copy.
+    the copy takes, a second reading (columns of ``SECOND``) that its row already carries included; a copy of several sheets lists
+    them in ``sheets``. A group is as large as one copy.
     """
+    carried = [c for c in SECOND if c in sheets.columns]
     fields = ["batch", "page", "sheet_page", "student_id", "answers", "ambiguous_cells", "open_answers", "notes", "n_frame_fail", "n_cells",
-              "copy_id", "copy_id_source", "page_no", "sheet_source", "n_sheets"]
+              "copy_id", "copy_id_source", "page_no", "sheet_source", "n_sheets", *carried]
     place = lambda x: F.struct(x["batch"], x["page"])
     ordered = F.array_sort(F.collect_list(F.struct(*fields)), lambda a, b: F.when(place(a) < place(b), -1).when(place(a) > place(b), 1).otherwise(0))
     grouped = sheets.groupBy("copy_group").agg(ordered.alias("s"))
@@ -201,7 +207,7 @@ def merge_copies(sheets: DataFrame) -> DataFrame:
                        lambda x: F.coalesce(x["id"], F.lit("")) != "")
     note = lambda x: F.coalesce(x["notes"], F.lit(""))
     notes = F.transform(s, lambda x: F.when(several, F.concat(F.lit("f"), F.coalesce(x["sheet_page"].cast("string"), F.lit("None")), F.lit(": "), note(x))).otherwise(note(x)))
-    first = [F.get(s, F.lit(0))[c].alias(c) for c in ("batch", "page", "copy_id", "copy_id_source", "page_no", "sheet_page", "sheet_source", "n_sheets")]
+    first = [F.get(s, F.lit(0))[c].alias(c) for c in ("batch", "page", "copy_id", "copy_id_source", "page_no", "sheet_page", "sheet_source", "n_sheets", *carried)]
     none = F.array().cast(sheets.schema["ambiguous_cells"].dataType)
     return grouped.select(
         "copy_group", *first, F.coalesce(F.array_min(numbers)["id"], F.lit("")).alias("student_id"), maps("answers", letters).alias("answers"),
@@ -217,15 +223,15 @@ def cell_differences(first: str, second: str, options: str) -> Column:
     return F.filter(cells, lambda c: c["cv"] != c["amc"])
 
 
-def fresh_copies(merged: DataFrame, second: DataFrame, options: DataFrame) -> DataFrame:
+def fresh_copies(merged: DataFrame, second: DataFrame | None, options: DataFrame) -> DataFrame:
     """Copies as a new reading gives them, ready for ``upsert_readings``.
 
     ``merged`` is the result of ``merge_copies``; ``second(batch, page, amc_copy, amc_answers, amc_validated_cells)`` the second reading,
-    placed at the first sheet; ``options(q, ch)`` in order of their position, one small table for the exam.
+    placed at the first sheet, or None if ``merged`` carries it; ``options(q, ch)`` in order of their position, one small table for the exam.
     """
     letters = options.groupBy("q").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ch"))), lambda o: o["ch"]).alias("l"))
     every = letters.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("q", "l")))))
-    both = merged.join(second, ["batch", "page"], "left").withColumn("_options", every.scalar())
+    both = (merged if second is None else merged.join(second, ["batch", "page"], "left")).withColumn("_options", every.scalar())
     differ = F.when(F.col("amc_answers").isNotNull(), cell_differences("answers", "amc_answers", "_options"))
     both = both.withColumn("cv_amc_diff", differ).withColumn("n_diff", F.size("cv_amc_diff")).withColumn("n_validated", F.col("amc_validated_cells"))
     return both.select("batch", "page", "student_id", "answers", derive_flags().alias("flags"), *[c for c in MACHINE_COLUMNS if c != "source"],
@@ -288,14 +294,22 @@ def upsert_readings(old: DataFrame, new: DataFrame) -> DataFrame:
     are, but for pages that a copy read anew lists among its ``sheets``: these are no copies any more.
     """
     key = ["batch", "page"]
-    machine = [c for c in MACHINE_COLUMNS if c in old.columns and c in new.columns]
-    free = [c for c in OPEN_COLUMNS if c in old.columns and "open_answers" in new.columns]
+    machine, free = shared_columns(old.columns, new.columns)
     if "sheets" in machine:
         old = old.join(swallowed_pages(new), key, "left_anti")
     o = old.select(*key, *[F.col(c).alias(f"o_{c}") for c in (*COPY_COLUMNS, *machine, *free)], F.lit(True).alias("_old"))
-    n = new.select(*key, *[F.col(c).alias(f"n_{c}") for c in ("student_id", "answers", "flags", *machine, *free[:1])],
-                   F.col("answers").alias("n_cv_answers"), F.lit(True).alias("_new"))
-    both = o.join(n, key, "full")
+    n = new.select(*key, *[F.col(c).alias(f"n_{c}") for c in ("student_id", "answers", "flags", *machine, *free[:1])], F.lit(True).alias("_new"))
+    return refreshed(o.join(n, key, "full"), key, machine, free)
+
+
+def shared_columns(old: list[str], new: list[str]) -> tuple[list[str], list[str]]:
+    """Machine fields and free answers that take part in ``upsert_readings`` of tables with these columns."""
+    return [c for c in MACHINE_COLUMNS if c in old and c in new], [c for c in OPEN_COLUMNS if c in old and "open_answers" in new]
+
+
+def refreshed(both: DataFrame, key: list[str], machine: list[str], free: list[str]) -> DataFrame:
+    """The rule of ``upsert_readings`` for rows that hold a stored copy (``o_*``, ``_old``), its new reading (``n_*``, ``_new``) or both."""
+    both = both.withColumn("n_cv_answers", F.col("n_answers"))
     fresh = F.col("_new").isNotNull()
     human = F.coalesce("_old", F.lit(False)) & has_human_work()
     edited_id = human & (F.coalesce("o_cv_student_id", F.lit("")) != "")

@@ -28,6 +28,12 @@ class Tables:
         self.folder = folder
         self._open: dict[str, DataFrame] = {}
 
+    def replaced(self, **tables: DataFrame) -> Tables:
+        """The same folder with other rows for some tables; views follow them."""
+        other = Tables(self.spark, self.folder)
+        other._open.update(tables)
+        return other
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_") or (name not in TABLES and name not in VIEWS):
             raise AttributeError(name)

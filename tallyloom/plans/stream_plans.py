@@ -14,7 +14,7 @@ from tallyloom.streaming import events, ingest
 def s1(t):
     incoming, store, state = (scratch_folder(t.spark, n) for n in ("incoming", "store", "state"))
     ingest.write_store(old_copies(t), store)
-    new_readings(t).withColumn("answers", F.transform_keys("answers", lambda k, v: k.cast("string"))).write.json(incoming)
+    new_readings(t).withColumn("answers", F.transform_keys("answers", lambda k, v: k.cast("string"))).write.option("compression", "gzip").json(incoming)
     ingest.ingest_readings(t.spark, incoming, store, state).awaitTermination()
     return ingest.read_store(t.spark, store).select(
         "page", "student_id", "student_name", _cells_text("answers").alias("answers"), _cells_text("cv_answers").alias("cv_answers"),
@@ -27,7 +27,7 @@ def s1_full(t):
     ingest.write_store(whole_old(t), store)
     new = whole_new(t)
     maps = [c for c in BY_QUESTION if c in new.columns]
-    new.withColumns({c: F.transform_keys(c, lambda k, v: k.cast("string")) for c in maps}).write.json(incoming)
+    new.withColumns({c: F.transform_keys(c, lambda k, v: k.cast("string")) for c in maps}).write.option("compression", "gzip").json(incoming)
     ingest.ingest_readings(t.spark, incoming, store, state).awaitTermination()
     return whole_text(ingest.read_store(t.spark, store))
 

@@ -179,3 +179,37 @@ def test_documents_keep_doubts_sheets_and_free_answers(spark, tmp_path):
 def test_narrow_readings_still_merge(spark):
     t = Tables(spark, FOLDER)
     assert merging.upsert_readings(old_copies(t), new_readings(t)).columns == ["batch", "page", *merging.COPY_COLUMNS]
+
+
+def exchanges(df):
+    with redirect_stdout(io.StringIO()) as plan:
+        df.explain()
+    return plan.getvalue().count("Exchange hashpartitioning")
+
+
+def test_letters_of_copies_take_one_shuffle_and_stored_ranges_none(spark, tmp_path):
+    from tallyloom.plans.review_plans import _map
+
+    ticks = spark.createDataFrame([(1, 2, "B"), (1, 2, "A"), (1, 2, "B"), (1, 5, "C"), (2, 1, "D")], "copy_key long, q int, ch string")
+    letters = _map(ticks, "answers")
+    assert exchanges(letters) == 1
+    assert {r.copy_key: r.answers for r in letters.collect()} == {1: {2: ["A", "B"], 5: ["C"]}, 2: {1: ["D"]}}
+    path = str(tmp_path / "store")
+    fill(spark, path, [("a", p, str(p), {}, []) for p in (1, 10_001)])
+    assert exchanges(ingest.read_ranges(spark, path, spark.createDataFrame([("a", 1)], "batch string, page_range long"))) == 0
+
+
+def test_only_the_last_reading_of_a_page_swallows_others(spark, tmp_path):
+    path = str(tmp_path / "store")
+    fill(spark, path, [("a", 1, "1", {}, []), ("a", 2, "2", {}, []), ("a", 10_000, "3", {}, [])])
+    ingest.merge_batch(reading(spark, [("a", 1, "8", {}, [], [("a", 1, 1), ("a", 2, 2)]), ("a", 1, "9", {}, [], [("a", 1, 1), ("a", 10_000, 2)]), ("b", 1, "4", {}, [], [("b", 1, 1), ("b", 2, 2)])]), path)
+    assert pages(spark, path) == {("a", 1): "9", ("a", 2): "2", ("b", 1): "4"}
+
+
+def test_a_second_reading_may_come_with_the_sheets(spark):
+    rows = spark.createDataFrame([sheet(1, answers={1: ["A"]}), sheet(2, number=16, answers={2: ["B"]})], SHEETS).withColumns({
+        "amc_copy": F.col("page"), "amc_answers": F.expr("map(1, array(if(page = 1, 'B', 'C')))"), "amc_validated_cells": F.lit(0).cast("long")})
+    options = spark.createDataFrame([(1, 1, "A"), (1, 2, "B")], "q int, pos int, ch string")
+    joined = merging.fresh_copies(merging.merge_copies(rows.drop(*merging.SECOND)), rows.filter("page = 1").select("batch", "page", *merging.SECOND), options)
+    carried = merging.fresh_copies(merging.merge_copies(rows), None, options)
+    assert carried.collect() == joined.select(*carried.columns).collect() and [tuple(d) for d in carried.first().cv_amc_diff] == [(1, "A", True, False), (1, "B", False, True)]
