@@ -36,7 +36,8 @@ END = b"\n"
 PAD = 5  # bytes before a text, so that no context reaches into another
 CHUNK = 2 << 20  # bytes of texts of a batch that are in work at once
 SEGMENT = 256 << 10  # bytes of a text that are in work at once; contexts go on across segments
-GROUP = 32 << 10  # bytes of short texts that are in work at once
+GROUP = 32 << 10  # bytes of short texts that weights are learnt from at once
+FAST_GROUP = 16 << 10  # bytes of short texts that are counted or scored at once: their arrays stay in a core's cache
 PREDICTORS = 4
 #: of each predictor before anything is learnt
 FIRST_WEIGHT = 0.3
@@ -46,7 +47,6 @@ START = (0.3, 0.15, 0.1, 0.03)
 #: the gate: the predictors it looks at, and the sizes of log odds (steps of a byte) at which it changes; below 1 is unseen
 GATE, STEPS = (1, 2, 3), (1, 24, 56)
 GATES = (1 + len(STEPS)) ** len(GATE)
-STEP_OF = np.array([sum(abs(v) >= t for t in STEPS) for v in np.arange(256, dtype=np.uint8).view(np.int8).astype(int)], np.uint8)
 UNIT = 8 / 127  # log odds of one step of a byte
 MULTIPLIER = 0x9E3779B1
 BLOCK_SLOTS = 1 << 18  # slots of one row of counts
@@ -149,22 +149,29 @@ def contexts(data: np.ndarray, table_bits: tuple[int, ...]) -> list[np.ndarray]:
     ahead = np.concatenate((np.zeros(1, np.uint32), sums[:-1]))
     blank = (data == 0x20) | (data == 0x0A)
     starts = np.concatenate((np.zeros(1, np.int64), np.flatnonzero(blank) + 1))
-    number = np.concatenate((np.zeros(1, np.int64), np.cumsum(blank)[:-1]))
-    at = starts[number]
-    word = (ahead - ahead[np.minimum(at, n - 1)]) * down[np.minimum(at, n - 1)]
+    sizes = np.diff(starts, append=n)  # bytes of each word, its blank included
+    first = np.minimum(starts, n - 1)
+    word = (ahead - np.repeat(ahead[first], sizes)) * np.repeat(down[first], sizes)
     ended = word[starts[1:] - 1] if len(starts) > 1 else np.empty(0, np.uint32)
-    previous = np.concatenate((np.zeros(1, np.uint32), ended))[number]
+    previous = np.repeat(np.concatenate((np.zeros(1, np.uint32), ended)), sizes)
     pair = word * np.uint32(0xC2B2AE35) ^ previous * np.uint32(0x27D4EB2F) ^ np.uint32(0x165667B1)
     out = []
     for k, (h, bits) in enumerate(zip((three, five, word, pair), table_bits, strict=True)):
-        h = (h + np.uint32(k + 1)) * np.uint32(MULTIPLIER)
+        h = h + np.uint32(k + 1)
+        h *= np.uint32(MULTIPLIER)
         h ^= h >> np.uint32(15)
         h *= np.uint32(0x85EBCA6B)
         h ^= h >> np.uint32(13)
-        out.append((h & np.uint32((1 << bits) - 1)).astype(np.int64))
+        h &= np.uint32((1 << bits) - 1)
+        out.append(h.astype(np.int64))
     return out
 
 
+def picked(values: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """``values[places]`` for places that are all valid; numpy is several times faster where it need not raise."""
+    return values.take(places, out=np.empty(len(places), values.dtype), mode="clip")
+
+
 @dataclass
 class Decisions:
     """Decisions of a group of units: slots by predictor, bits, and where each unit's begin."""
@@ -180,36 +187,41 @@ def decisions(units: list[tuple[bytes, bytes]], code: Code, table_bits: tuple[in
     sizes = np.array([len(own) for _, own in units])
     bases = contexts(data, table_bits)
     counted = np.repeat(np.tile([False, True], len(units)), np.column_stack((leads, sizes)).ravel())
-    own = data[counted]
-    lengths = code.lengths[own]
+    where = np.flatnonzero(counted)
+    own = picked(data, where)
+    lengths = picked(code.lengths, own)
     ends = np.cumsum(lengths)
-    places = np.arange(ends[-1]) + np.repeat(code.offsets[own] - ends + lengths, lengths)
-    nodes = code.nodes[places]
+    byte = np.repeat(where, lengths)  # the byte of each decision
+    before = np.zeros(len(data), np.int64)
+    before[where] = picked(code.offsets, own) - ends + lengths
+    places = picked(before, byte)
+    places += np.arange(ends[-1])
+    nodes = picked(code.nodes, places)
     slots = []
     for base in bases:
-        slot = np.repeat(base[counted], lengths)
+        slot = picked(base, byte)
         slot += nodes
         slots.append(slot)
     last = np.cumsum(sizes) - 1
-    return Decisions(slots, code.bits[places], np.concatenate(([0], ends[last])))
+    return Decisions(slots, picked(code.bits, places), np.concatenate(([0], ends[last])))
 
 
-def groups_of(units: Iterator[tuple[int, bytes, bytes]]) -> Iterator[tuple[list[int], list[tuple[bytes, bytes]]]]:
-    """Units in groups of about ``GROUP`` bytes, with the text that each belongs to."""
+def groups_of(units: Iterator[tuple[int, bytes, bytes]], most: int) -> Iterator[tuple[list[int], list[tuple[bytes, bytes]]]]:
+    """Units in groups of about ``most`` bytes, with the text that each belongs to."""
     owners, held, size = [], [], 0
     for owner, lead, own in units:
         owners.append(owner)
         held.append((lead, own))
         size += len(lead) + len(own)
-        if size >= GROUP:
+        if size >= most:
             yield owners, held
             owners, held, size = [], [], 0
     if held:
         yield owners, held
 
 
-def groups_of_texts(texts: list[str]) -> Iterator[tuple[list[int], list[tuple[bytes, bytes]]]]:
-    return groups_of((i, lead, own) for i, text in enumerate(texts) for lead, own in units_of(words_of(text)))
+def groups_of_texts(texts: list[str], most: int = GROUP) -> Iterator[tuple[list[int], list[tuple[bytes, bytes]]]]:
+    return groups_of(((i, lead, own) for i, text in enumerate(texts) for lead, own in units_of(words_of(text))), most)
 
 
 # ---- mixing
@@ -220,37 +232,53 @@ def odds_of(found: Decisions, tables: list[np.ndarray]) -> tuple[np.ndarray, np.
     n = len(found.bits)
     odds, gates = np.empty((PREDICTORS, n), np.float32), np.zeros(n, np.uint8)
     for p, (table, slot) in enumerate(zip(tables, found.slots, strict=True)):
-        steps = table.take(slot)
+        steps = picked(table, slot)
         np.multiply(steps, np.float32(UNIT), out=odds[p])
         if p in GATE:
             gates *= np.uint8(1 + len(STEPS))
-            gates += STEP_OF.take(steps.view(np.uint8))
+            np.abs(steps, out=steps)
+            for step in STEPS:
+                gates += steps >= step
     return odds, gates.astype(np.int64)
 
 
 def certain(z: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(z, -13, 13, out=z), out=z))
+    np.minimum(z, 13, out=z)
+    np.maximum(z, -13, out=z)
+    np.negative(z, out=z)
+    np.exp(z, out=z)
+    z += 1
+    return np.divide(1, z, out=z)
 
 
 def mixed(found: Decisions, tables: list[np.ndarray], weights: np.ndarray, settings: Settings) -> list[float]:
     """Natural logarithm of the probability of each unit. ``weights``: by gate and predictor."""
     odds, gates = odds_of(found, tables)
-    fixed = sum(own.take(gates) * odds[p] for p, own in enumerate(weights.T.astype(np.float32).copy()))
+    fixed = np.zeros(len(gates), np.float32)
+    for p, own in enumerate(weights.T.astype(np.float32).copy()):
+        part = picked(own, gates)
+        part *= odds[p]
+        fixed += part
     bits = found.bits.astype(np.float32)
-    out = []
-    for start, end in zip(found.begins[:-1].tolist(), found.begins[1:].tolist(), strict=True):
-        total, size, at = 0.0, settings.first_block, start
+    errors = np.empty(len(bits), np.float32)
+    blocks = []  # unit, and its decisions from the first to the last
+    for unit, (start, end) in enumerate(zip(found.begins[:-1].tolist(), found.begins[1:].tolist(), strict=True)):
+        size, at = settings.first_block, start
         own = np.zeros(PREDICTORS, np.float32)
         while at < end:
             stop = min(at + size, end)
             block = odds[:, at:stop]
             p = certain(fixed[at:stop] + own @ block if at > start else fixed[at:stop].copy())
-            error = bits[at:stop] - p
-            total += float(np.log(1 - np.abs(error)).sum(dtype=np.float64))
+            error = np.subtract(bits[at:stop], p, out=errors[at:stop])
+            blocks.append((unit, at, stop))
             if stop < end:
                 own += (block @ error) / np.float32(settings.inertia + stop - start)
             at, size = stop, 2 * size
-        out.append(total)
+    np.abs(errors, out=errors)
+    logs = np.log(np.subtract(1, errors, out=errors), out=errors)
+    out = [0.0] * (len(found.begins) - 1)
+    for unit, at, stop in blocks:
+        out[unit] += float(logs[at:stop].sum(dtype=np.float64))
     return out
 
 
@@ -296,8 +324,12 @@ class SlotCounts:
         self.counts = [np.zeros((2 << bits) + 2 * NODES, np.uint32) for bits in table_bits]
 
     def add(self, found: Decisions) -> None:
+        # both counts of a slot as one number, that of the bit 1 in its upper half
+        ones = found.bits.astype("<u8")
+        ones *= (1 << 32) - 1
+        ones += 1
         for own, slot in zip(self.counts, found.slots, strict=True):
-            np.add.at(own, 2 * slot + found.bits, np.uint32(1))
+            np.add.at(own.view("<u8"), slot, ones)
 
     def rows(self, part: int) -> Iterator[dict]:
         for p, own in enumerate(self.counts):
@@ -434,7 +466,7 @@ def counted(texts: DataFrame, code: Code, settings: Settings, parts: int) -> Dat
         own = SlotCounts(settings.table_bits)
         for whole in batches:
             for batch in chunks(whole, "doc_text", CHUNK):
-                for _, units in groups_of_texts([t or "" for t in batch.column(0).to_pylist()]):
+                for _, units in groups_of_texts([t or "" for t in batch.column(0).to_pylist()], FAST_GROUP):
                     own.add(decisions(units, code, settings.table_bits))
         for row in own.rows(TaskContext.get().partitionId()):
             yield pa.RecordBatch.from_pylist([row], pa.schema([("predictor", pa.int32()), ("block", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())]))
@@ -485,7 +517,7 @@ def scored(table: DataFrame, key: str, buckets: int, code: Code, tables, weights
             for batch in chunks(whole, "doc_text", CHUNK):
                 texts = [words_of(t or "") for t in batch.column(0).to_pylist()]
                 logs, sizes = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-                for owners, units in groups_of((i, lead, own) for i, words in enumerate(texts) for lead, own in units_of(words)):
+                for owners, units in groups_of(((i, lead, own) for i, words in enumerate(texts) for lead, own in units_of(words)), FAST_GROUP):
                     found = mixed(decisions(units, code, settings.table_bits), tables.value, weights, settings)
                     for i, (_, own), log in zip(owners, units, found, strict=True):
                         logs[i] += log
@@ -541,17 +573,16 @@ def with_base(met: DataFrame, key: str, total: int, types: int) -> DataFrame:
     below = math.log10(total + types + 1)
 
     def finish(part: pa.Table) -> pa.Table:
-        own = [r for r in part.column("docs").to_pylist() if r is not None][0]
-        logs, known = np.zeros(len(own)), np.zeros(len(own), np.int64)
+        docs = part.filter(pc.is_valid(part.column("docs"))).column("docs").combine_chunks().flatten()
+        keys, held, n_tokens, n_bytes, scores = docs.flatten()
+        tokens = n_tokens.to_numpy()
+        logs, known = np.zeros(len(tokens)), np.zeros(len(tokens), np.int64)
         for texts, log, n in zip(*(part.column(c).to_pylist() for c in ("owners", "logs", "known")), strict=True):
             if texts is not None:
                 at = np.frombuffer(texts, np.uint32)
                 logs[at] += np.frombuffer(log, np.float64)
                 known[at] += np.frombuffer(n, np.int64)
-        docs = part.filter(pc.is_valid(part.column("docs"))).column("docs").combine_chunks().flatten()
-        tokens = np.array([r["n_tokens"] for r in own], np.int64)
-        keys, held, n_tokens, n_bytes, scores = docs.flatten()
-        return pa.table([keys, held, n_tokens, pa.array(known), pa.array(np.full(len(own), total)), pa.array(logs - tokens * below), scores, n_bytes],
+        return pa.table([keys, held, n_tokens, pa.array(known), pa.array(np.full(len(tokens), total)), pa.array(logs - tokens * below), scores, n_bytes],
                         [key, "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"])
 
     ddl = f"`{key}` {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
