@@ -155,8 +155,11 @@ def column_labels(table: DataFrame, starts: DataFrame) -> DataFrame:
     return columns.join(found, ["sheet", "col"], "left").select("sheet", "col", F.coalesce("label", default).alias("label"))
 
 
-def analyze_roster(table: DataFrame) -> DataFrame:
-    """Guessed columns of each sheet: number, family name, first name, e-mail and first data row."""
+def analyze_roster(table: DataFrame, id_width: int | None = None) -> DataFrame:
+    """Guessed columns of each sheet: number, family name, first name, e-mail and first data row.
+
+    Data start at the first run of numbers of ``id_width`` digits, or of the most frequent width if it is not given.
+    """
     prof = durable(profile(table))  # one row per column
     score = F.when(F.col("modal_width") >= MIN_ID_WIDTH, F.col("n_digit")).otherwise(0)
     picks = prof.groupBy("sheet").agg(
@@ -174,8 +177,9 @@ def analyze_roster(table: DataFrame) -> DataFrame:
         F.count("*").alias("n_names"), F.min("col").alias("left_col"), F.max("col").alias("right_col"),
         F.min_by("upper_ratio", "col").alias("left_upper"), F.max_by("upper_ratio", "col").alias("right_upper"))
     swapped = F.col("right_upper") > F.col("left_upper") + 0.3
+    width = F.col("id_width") if id_width is None else F.lit(id_width)
     id_rows = filled_cells(table).join(picks, "sheet").filter(
-        (F.col("col") == F.col("id_idx")) & F.col("txt").rlike("^[0-9]+$") & (F.length("txt") == F.col("id_width")))
+        (F.col("col") == F.col("id_idx")) & F.col("txt").rlike("^[0-9]+$") & (F.length("txt") == width))
     starts = first_run(id_rows, ["sheet"])
     return picks.join(names, "sheet", "left").join(starts, "sheet", "left").select(
         "sheet", "id_idx",
@@ -186,10 +190,10 @@ def analyze_roster(table: DataFrame) -> DataFrame:
         "mail_idx", F.coalesce("data_start", F.lit(1)).alias("data_start"))
 
 
-def sheet_summaries(table: DataFrame) -> DataFrame:
-    """Rows, columns and usable students of every sheet; null students when not understood."""
+def sheet_summaries(table: DataFrame, id_width: int | None = None) -> DataFrame:
+    """Rows, columns and usable students of every sheet; null students when not understood. ``id_width`` as in ``analyze_roster``."""
     sizes = table.groupBy("sheet").agg(F.count("*").alias("nrow"), F.max(F.size("cells")).alias("ncol"))
-    guess = analyze_roster(table)
+    guess = analyze_roster(table, id_width)
     usable = table.join(guess.filter("id_idx >= 0 AND nom_idx >= 0"), "sheet").filter(
         (F.col("row_no") >= F.col("data_start")) & (cell_text(F.get("cells", F.col("id_idx"))) != ""))
     counts = usable.groupBy("sheet").agg(F.count("*").alias("n_students"))
